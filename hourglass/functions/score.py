@@ -28,13 +28,12 @@ def _lists(df: DataFrame, cols, as_text: bool) -> DataFrame:
 def _observe(records: DataFrame, round_expected: bool, terms, normalise_terms: bool) -> DataFrame:
     """Expected (optionally rounded to 2), observed values and found terms."""
     exp = (lambda c: F.round(F.col(c).cast("double"), 2)) if round_expected else (lambda c: F.col(c).cast("double"))
-    x = records.select(
+    base = records.select(
         "case_id", "system", "request_time", "response",
         F.col("expected_time").alias("forecast_target_time_expected"),
         *[exp(f"expected_{m}").alias(f"expected_{m}") for m in MEASURES],
-        T.extract_forecast_fields(F.col("response")).alias("_x"),
-        T.found_terms(F.col("response"), terms, normalise=normalise_terms).alias("_terms"),
     )
+    x = T.with_terms(T.with_extracted(base, "response"), "response", {"_terms": (terms, normalise_terms)})
     return x.select(
         "*",
         F.col("_x.forecast_target_time").alias("forecast_target_time_observed"),
@@ -102,8 +101,8 @@ def score_v1(records: DataFrame, lists_as_text: bool = True) -> DataFrame:
         F.col("expected_time").alias("forecast_target_time_expected"),
         *[F.round(F.col(f"expected_{m}").cast("double"), 2).alias(f"expected_{m}") for m in MEASURES],
         F.transform(T.all_numbers(F.col("response")), lambda n: F.round(n, 2)).alias("_nums"),
-        T.found_terms(F.col("response"), vocab.TERMS_V1, normalise=False).alias("unsupported_terms"),
     )
+    x = T.with_terms(x, "response", {"unsupported_terms": (vocab.TERMS_V1, False)})
     x = x.select(
         "*",
         F.coalesce(F.contains(F.col("response"), F.col("forecast_target_time_expected")), F.lit(False)).alias("target_time_match"),

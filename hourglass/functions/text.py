@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
@@ -66,11 +66,12 @@ def text_after(text, needle) -> Column:
 
 
 def extract_forecast_fields(text) -> Column:
-    """Four-field extraction with positional fallback (FN-11), as one struct.
+    """Four-field extraction with positional fallback (FN-11), as one struct expression.
 
     Labels are searched in the normalised text; the datetime and the fallback
     numbers use the raw text.  The fallback fills only the absent fields, with
     numbers[0], [1], [2] after the datetime, when at least 3 numbers follow it.
+    Prefer :func:`with_extracted` on a DataFrame: it projects each regex once.
     """
     t = _c(text)
     norm = normalize_text(t)
@@ -78,7 +79,10 @@ def extract_forecast_fields(text) -> Column:
     temp = number_near_label(norm, vocab.LABELS["predicted_temperature"])
     dew = number_near_label(norm, vocab.LABELS["predicted_dew_point"])
     wind = number_near_label(norm, vocab.LABELS["predicted_wind_speed"])
-    nums = all_numbers(text_after(t, dt))
+    return _fallback(dt, temp, dew, wind, all_numbers(text_after(t, dt)))
+
+
+def _fallback(dt, temp, dew, wind, nums) -> Column:
     use_fb = (temp.isNull() | dew.isNull() | wind.isNull()) & (F.size(nums) >= 3)
     return F.struct(
         dt.alias("forecast_target_time"),
@@ -88,10 +92,44 @@ def extract_forecast_fields(text) -> Column:
     )
 
 
+def with_extracted(df: DataFrame, text_col: str, out_col: str = "_x") -> DataFrame:
+    """Add the FN-11 extraction struct as ``out_col``, evaluating every regex once per row.
+
+    Each stage is its own projection of plain columns that the next stage
+    references several times, so the optimizer keeps them materialised
+    instead of inlining (and re-running) the regular expressions.
+    """
+    t = F.col(text_col)
+    a = df.withColumns({"_xn": normalize_text(t), "_xdt": extract_datetime(t)})
+    b = a.withColumns({
+        "_xt": number_near_label(F.col("_xn"), vocab.LABELS["predicted_temperature"]),
+        "_xd": number_near_label(F.col("_xn"), vocab.LABELS["predicted_dew_point"]),
+        "_xw": number_near_label(F.col("_xn"), vocab.LABELS["predicted_wind_speed"]),
+        "_xnums": all_numbers(text_after(t, F.col("_xdt"))),
+    })
+    c = b.withColumn(out_col, _fallback(F.col("_xdt"), F.col("_xt"), F.col("_xd"), F.col("_xw"), F.col("_xnums")))
+    return c.drop("_xn", "_xdt", "_xt", "_xd", "_xw", "_xnums")
+
+
 def found_terms(text, terms, normalise: bool) -> Column:
-    """Vocabulary terms that occur as substrings, in vocabulary order (FN-15..17)."""
+    """Vocabulary terms that occur as substrings, in vocabulary order (FN-15..17).
+
+    Written as one ``contains`` per term (no lambda), so a shared lowered text
+    is a common subexpression evaluated once per row.
+    """
     t = normalize_text(text) if normalise else F.lower(_c(text))
-    return F.filter(F.array(*[F.lit(x) for x in terms]), lambda term: F.contains(t, term))
+    return F.array_compact(F.array(*[F.when(F.contains(t, F.lit(x)), F.lit(x)) for x in terms]))
+
+
+def with_terms(df: DataFrame, text_col: str, spec: dict) -> DataFrame:
+    """Add one found-terms array per ``{out_col: (terms, normalise)}``, lowering the text once."""
+    a = df.withColumns({"_tl": F.lower(F.col(text_col))})
+    a = a.withColumns({"_tn": F.replace(F.col("_tl"), F.lit("_"), F.lit(" "))})
+    cols = {}
+    for out, (terms, normalise) in spec.items():
+        src = F.col("_tn") if normalise else F.col("_tl")
+        cols[out] = F.array_compact(F.array(*[F.when(F.contains(src, F.lit(x)), F.lit(x)) for x in terms]))
+    return a.withColumns(cols).drop("_tl", "_tn")
 
 
 def numeric_match(expected, observed, tolerance: float = vocab.MATCH_TOLERANCE) -> Column:

@@ -277,7 +277,7 @@ def _responses_norm(spark: SparkSession, sf: str, profile: str = "v2") -> DataFr
 
 def q_extract_fields(spark: SparkSession, sf: str) -> DataFrame:
     r = fx.responses(spark, sf)
-    x = r.select("case_id", "system", T.extract_forecast_fields(records.response_text(r)).alias("x"))
+    x = T.with_extracted(r.select("case_id", "system", records.response_text(r).alias("response")), "response", "x")
     return x.select("case_id", "system", F.col("x.forecast_target_time").alias("observed_time"),
                     *[F.col(f"x.predicted_{m}").alias(f"observed_{m}") for m in MEASURES])
 
@@ -296,12 +296,9 @@ def q_score_single(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_terms_found(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    return d.select(
-        "doc_id",
-        T.join_list(T.found_terms(F.col("text"), vocab.TERMS_V2, normalise=False)).alias("terms_v2"),
-        T.join_list(T.found_terms(F.col("text"), vocab.TERMS_V1, normalise=False)).alias("terms_v1"),
-        T.join_list(T.found_terms(F.col("text"), vocab.TERMS_SINGLE, normalise=True)).alias("terms_single"),
-    )
+    t = T.with_terms(d, "text", {"terms_v2": (vocab.TERMS_V2, False), "terms_v1": (vocab.TERMS_V1, False),
+                                 "terms_single": (vocab.TERMS_SINGLE, True)})
+    return t.select("doc_id", *[T.join_list(F.col(c)).alias(c) for c in ("terms_v2", "terms_v1", "terms_single")])
 
 
 # -- stage 7: summaries --------------------------------------------------------------
