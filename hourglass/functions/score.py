@@ -3,20 +3,25 @@
 Input is a *normalised record* frame (see ``operators.records.normalise``)
 with the columns ``case_id, system, request_time, expected_time,
 expected_temperature, expected_dew_point, expected_wind_speed, response``.
-Every profile is a chain of narrow projections over that frame: no shuffle
-and no Python worker.  Extraction is projected once into its own columns and
-reused by the comparisons.
+
+Each profile computes the whole score row as one struct expression: the
+expensive parts (regex extraction, term search) are bound once per row with
+:func:`text.let` and every derived field reads the bound values.  The plan is
+one narrow projection -- no shuffle, no Python worker -- and a filter on a
+derived flag (say ``response_issue``) can be pushed below it without copying
+the extraction into the filter more than once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 from . import vocab
 
 MEASURES = vocab.MEASURES
+_OBS = {"forecast_target_time": "forecast_target_time_observed", **{f"predicted_{m}": f"observed_{m}" for m in MEASURES}}
 
 
 def _lists(df: DataFrame, cols, as_text: bool) -> DataFrame:
@@ -25,49 +30,49 @@ def _lists(df: DataFrame, cols, as_text: bool) -> DataFrame:
     return df.withColumns({c: T.join_list(F.col(c)) for c in cols})
 
 
-def _observe(records: DataFrame, round_expected: bool, terms, normalise_terms: bool) -> DataFrame:
-    """Expected (optionally rounded to 2), observed values and found terms."""
+def _inputs(round_expected: bool, terms, normalise_terms: bool) -> Column:
     exp = (lambda c: F.round(F.col(c).cast("double"), 2)) if round_expected else (lambda c: F.col(c).cast("double"))
-    base = records.select(
-        "case_id", "system", "request_time", "response",
-        F.col("expected_time").alias("forecast_target_time_expected"),
-        *[exp(f"expected_{m}").alias(f"expected_{m}") for m in MEASURES],
-    )
-    x = T.with_terms(T.with_extracted(base, "response"), "response", {"_terms": (terms, normalise_terms)})
-    return x.select(
-        "*",
-        F.col("_x.forecast_target_time").alias("forecast_target_time_observed"),
-        *[F.col(f"_x.predicted_{m}").alias(f"observed_{m}") for m in MEASURES],
-    ).drop("_x")
-
-
-def _value_checks(x: DataFrame) -> DataFrame:
-    """Match flags plus missing / mismatch lists (same rule in v2 and single)."""
-    x = x.select(
-        "*",
-        F.col("forecast_target_time_observed").eqNullSafe(F.col("forecast_target_time_expected")).alias("target_time_match"),
-        *[T.numeric_match(F.col(f"expected_{m}"), F.col(f"observed_{m}")).alias(f"{m}_match") for m in MEASURES],
+    return F.struct(
+        F.col("expected_time").alias("te"),
+        *[exp(f"expected_{m}").alias(f"e_{m}") for m in MEASURES],
+        T.extract_forecast_fields(F.col("response")).alias("x"),
+        T.found_terms(F.col("response"), terms, normalise_terms).alias("terms"),
     )
-    obs = {"forecast_target_time": "forecast_target_time_observed", **{f"predicted_{m}": f"observed_{m}" for m in MEASURES}}
-    match = {"forecast_target_time": "target_time_match", **{f"predicted_{m}": f"{m}_match" for m in MEASURES}}
-    missing = T.compact(*[(F.col(obs[f]).isNull(), f) for f in vocab.FORECAST_FIELDS])
-    mismatch = T.compact(*[(F.col(obs[f]).isNotNull() & ~F.col(match[f]), f) for f in vocab.FORECAST_FIELDS])
-    return x.withColumns({"missing_fields": missing, "mismatch_fields": mismatch})
+
+
+def _value_row(s: Column, terms_name: str) -> Column:
+    """Score fields from bound inputs ``s`` (same rule for v2 and single)."""
+    x = s["x"]
+    match = {"forecast_target_time": x["forecast_target_time"].eqNullSafe(s["te"])}
+    for m in MEASURES:
+        match[f"predicted_{m}"] = T.numeric_match(s[f"e_{m}"], x[f"predicted_{m}"])
+    missing = T.compact(*[(x[f].isNull(), f) for f in vocab.FORECAST_FIELDS])
+    mismatch = T.compact(*[(x[f].isNotNull() & ~match[f], f) for f in vocab.FORECAST_FIELDS])
+    value = (F.size(missing) > 0) | (F.size(mismatch) > 0)
+    policy = F.size(s["terms"]) > 0
+    fields = [
+        s["te"].alias("forecast_target_time_expected"),
+        x["forecast_target_time"].alias("forecast_target_time_observed"),
+        match["forecast_target_time"].alias("target_time_match"),
+    ]
+    for m in MEASURES:
+        fields += [s[f"e_{m}"].alias(f"expected_{m}"), x[f"predicted_{m}"].alias(f"observed_{m}"),
+                   match[f"predicted_{m}"].alias(f"{m}_match")]
+    fields += [missing.alias("missing_fields"), mismatch.alias("mismatch_fields"), s["terms"].alias(terms_name),
+               value.alias("value_hallucinated"), policy.alias("policy_violation"),
+               (value | policy).alias("response_issue")]
+    return F.struct(*fields)
+
+
+def _profile(records: DataFrame, round_expected: bool, terms, normalise_terms: bool, terms_name: str) -> DataFrame:
+    row = T.let(_inputs(round_expected, terms, normalise_terms), lambda s: _value_row(s, terms_name))
+    return records.select("case_id", "system", "request_time", row.alias("_s"), "response").select(
+        "case_id", "system", "request_time", "_s.*", F.col("response").alias("llm_response"))
 
 
 def score_v2(records: DataFrame, lists_as_text: bool = True) -> DataFrame:
     """Profile ``v2``: expectations rounded to 2, 29 terms on lower-cased text."""
-    x = _value_checks(_observe(records, True, vocab.TERMS_V2, False))
-    x = x.withColumn("value_hallucinated", (F.size("missing_fields") > 0) | (F.size("mismatch_fields") > 0))
-    x = x.withColumn("policy_violation", F.size("_terms") > 0)
-    x = x.withColumn("response_issue", F.col("value_hallucinated") | F.col("policy_violation"))
-    out = x.select(
-        "case_id", "system", "request_time", "forecast_target_time_expected", "forecast_target_time_observed",
-        "target_time_match",
-        *[c for m in MEASURES for c in (f"expected_{m}", f"observed_{m}", f"{m}_match")],
-        "missing_fields", "mismatch_fields", F.col("_terms").alias("unsupported_terms"),
-        "value_hallucinated", "policy_violation", "response_issue", F.col("response").alias("llm_response"),
-    )
+    out = _profile(records, True, vocab.TERMS_V2, False, "unsupported_terms")
     return _lists(out, ["missing_fields", "mismatch_fields", "unsupported_terms"], lists_as_text)
 
 
@@ -76,51 +81,40 @@ def score_single(records: DataFrame, lists_as_text: bool = False) -> DataFrame:
 
     Lists stay arrays (the JSONL form) unless ``lists_as_text``.
     """
-    x = _value_checks(_observe(records, False, vocab.TERMS_SINGLE, True))
-    x = x.withColumn("value_hallucinated", (F.size("missing_fields") > 0) | (F.size("mismatch_fields") > 0))
-    x = x.withColumn("policy_violation", F.size("_terms") > 0)
-    x = x.withColumn("response_issue", F.col("value_hallucinated") | F.col("policy_violation"))
-    out = x.select(
-        "case_id", "system", "request_time", "forecast_target_time_expected", "forecast_target_time_observed",
-        "target_time_match",
-        *[c for m in MEASURES for c in (f"expected_{m}", f"observed_{m}", f"{m}_match")],
-        "missing_fields", "mismatch_fields", F.col("_terms").alias("extra_terms"),
-        "value_hallucinated", "policy_violation", "response_issue", F.col("response").alias("llm_response"),
-    )
+    out = _profile(records, False, vocab.TERMS_SINGLE, True, "extra_terms")
     return _lists(out, ["missing_fields", "mismatch_fields", "extra_terms"], lists_as_text)
 
 
+def _v1_row(s: Column) -> Column:
+    nums = s["nums"]
+    match = {"forecast_target_time": F.coalesce(F.contains(s["r"], s["te"]), F.lit(False))}
+    for m in MEASURES:
+        match[m] = T.number_present(nums, s[f"e_{m}"])
+    failed = T.compact(*[(~match[k], k) for k in ("forecast_target_time", *MEASURES)])
+    hall = F.size(failed) > 0
+    fields = [s["te"].alias("forecast_target_time_expected"), match["forecast_target_time"].alias("target_time_match")]
+    for m in MEASURES:
+        fields += [s[f"e_{m}"].alias(f"expected_{m}"), match[m].alias(f"{m}_match")]
+    fields += [failed.alias("missing_fields"), failed.alias("mismatch_fields"), s["terms"].alias("unsupported_terms"),
+               (hall | (F.size(s["terms"]) > 0)).alias("hallucinated")]
+    return F.struct(*fields)
+
+
 def score_v1(records: DataFrame, lists_as_text: bool = True) -> DataFrame:
     """Profile ``v1``: time by substring, values as any number within 0.01, one flag.
 
     Kept as the original defines it: the same names land in both lists, and any
     number in the text counts, date digits included.
     """
-    x = records.select(
-        "case_id", "system", "request_time", "response",
-        F.col("expected_time").alias("forecast_target_time_expected"),
-        *[F.round(F.col(f"expected_{m}").cast("double"), 2).alias(f"expected_{m}") for m in MEASURES],
-        F.transform(T.all_numbers(F.col("response")), lambda n: F.round(n, 2)).alias("_nums"),
-    )
-    x = T.with_terms(x, "response", {"unsupported_terms": (vocab.TERMS_V1, False)})
-    x = x.select(
-        "*",
-        F.coalesce(F.contains(F.col("response"), F.col("forecast_target_time_expected")), F.lit(False)).alias("target_time_match"),
-        *[T.number_present(F.col("_nums"), F.col(f"expected_{m}")).alias(f"{m}_match") for m in MEASURES],
-    )
-    names = [("target_time_match", "forecast_target_time")] + [(f"{m}_match", m) for m in MEASURES]
-    failed = T.compact(*[(~F.col(flag), name) for flag, name in names])
-    x = x.withColumns({"missing_fields": failed, "mismatch_fields": failed})
-    hall = F.lit(False)
-    for flag, _ in names:
-        hall = hall | ~F.col(flag)
-    x = x.withColumn("hallucinated", hall | (F.size("unsupported_terms") > 0))
-    out = x.select(
-        "case_id", "system", "request_time", "forecast_target_time_expected", "target_time_match",
-        *[c for m in MEASURES for c in (f"expected_{m}", f"{m}_match")],
-        "missing_fields", "mismatch_fields", "unsupported_terms", "hallucinated",
-        F.col("response").alias("llm_response"),
+    inputs = F.struct(
+        F.col("response").alias("r"),
+        F.col("expected_time").alias("te"),
+        *[F.round(F.col(f"expected_{m}").cast("double"), 2).alias(f"e_{m}") for m in MEASURES],
+        F.transform(T.all_numbers(F.col("response")), lambda n: F.round(n, 2)).alias("nums"),
+        T.found_terms(F.col("response"), vocab.TERMS_V1, False).alias("terms"),
     )
+    out = records.select("case_id", "system", "request_time", T.let(inputs, _v1_row).alias("_s"), "response").select(
+        "case_id", "system", "request_time", "_s.*", F.col("response").alias("llm_response"))
     return _lists(out, ["missing_fields", "mismatch_fields", "unsupported_terms"], lists_as_text)
 
 

@@ -65,21 +65,15 @@ def text_after(text, needle) -> Column:
     return F.when(n.isNotNull() & (pos > 0), F.substring(t, pos + F.length(n), F.lit(1 << 30))).otherwise(t)
 
 
-def extract_forecast_fields(text) -> Column:
-    """Four-field extraction with positional fallback (FN-11), as one struct expression.
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once per row and use it several times in ``body``.
 
-    Labels are searched in the normalised text; the datetime and the fallback
-    numbers use the raw text.  The fallback fills only the absent fields, with
-    numbers[0], [1], [2] after the datetime, when at least 3 numbers follow it.
-    Prefer :func:`with_extracted` on a DataFrame: it projects each regex once.
+    A one-element ``transform``: the element is evaluated once and the body
+    sees it as a lambda variable.  Unlike stacked projections this keeps the
+    expression linear in size when the optimizer substitutes aliases (e.g.
+    when a filter on a derived flag is pushed below the projection).
     """
-    t = _c(text)
-    norm = normalize_text(t)
-    dt = extract_datetime(t)
-    temp = number_near_label(norm, vocab.LABELS["predicted_temperature"])
-    dew = number_near_label(norm, vocab.LABELS["predicted_dew_point"])
-    wind = number_near_label(norm, vocab.LABELS["predicted_wind_speed"])
-    return _fallback(dt, temp, dew, wind, all_numbers(text_after(t, dt)))
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _fallback(dt, temp, dew, wind, nums) -> Column:
@@ -92,44 +86,61 @@ def _fallback(dt, temp, dew, wind, nums) -> Column:
     )
 
 
-def with_extracted(df: DataFrame, text_col: str, out_col: str = "_x") -> DataFrame:
-    """Add the FN-11 extraction struct as ``out_col``, evaluating every regex once per row.
+def extract_forecast_fields(text) -> Column:
+    """Four-field extraction with positional fallback (FN-11), as one struct.
 
-    Each stage is its own projection of plain columns that the next stage
-    references several times, so the optimizer keeps them materialised
-    instead of inlining (and re-running) the regular expressions.
+    Labels are searched in the normalised text; the datetime and the fallback
+    numbers use the raw text.  The fallback fills only the absent fields, with
+    numbers[0], [1], [2] after the datetime, when at least 3 numbers follow it.
+    Every regular expression appears once in the expression tree.
     """
-    t = F.col(text_col)
-    a = df.withColumns({"_xn": normalize_text(t), "_xdt": extract_datetime(t)})
-    b = a.withColumns({
-        "_xt": number_near_label(F.col("_xn"), vocab.LABELS["predicted_temperature"]),
-        "_xd": number_near_label(F.col("_xn"), vocab.LABELS["predicted_dew_point"]),
-        "_xw": number_near_label(F.col("_xn"), vocab.LABELS["predicted_wind_speed"]),
-        "_xnums": all_numbers(text_after(t, F.col("_xdt"))),
-    })
-    c = b.withColumn(out_col, _fallback(F.col("_xdt"), F.col("_xt"), F.col("_xd"), F.col("_xw"), F.col("_xnums")))
-    return c.drop("_xn", "_xdt", "_xt", "_xd", "_xw", "_xnums")
+    t = _c(text)
+    first = F.struct(t.alias("t"), normalize_text(t).alias("n"), extract_datetime(t).alias("dt"))
+
+    def stage2(s):
+        found = F.struct(
+            s["dt"].alias("dt"),
+            number_near_label(s["n"], vocab.LABELS["predicted_temperature"]).alias("a"),
+            number_near_label(s["n"], vocab.LABELS["predicted_dew_point"]).alias("b"),
+            number_near_label(s["n"], vocab.LABELS["predicted_wind_speed"]).alias("c"),
+            all_numbers(text_after(s["t"], s["dt"])).alias("nums"),
+        )
+        return let(found, lambda v: _fallback(v["dt"], v["a"], v["b"], v["c"], v["nums"]))
+
+    return let(first, stage2)
+
+
+def with_extracted(df: DataFrame, text_col: str, out_col: str = "_x") -> DataFrame:
+    """Add the FN-11 extraction struct as ``out_col``."""
+    return df.withColumn(out_col, extract_forecast_fields(F.col(text_col)))
+
+
+def _terms_in(t: Column, terms) -> Column:
+    return F.array_compact(F.array(*[F.when(F.contains(t, F.lit(x)), F.lit(x)) for x in terms]))
 
 
 def found_terms(text, terms, normalise: bool) -> Column:
     """Vocabulary terms that occur as substrings, in vocabulary order (FN-15..17).
 
-    Written as one ``contains`` per term (no lambda), so a shared lowered text
-    is a common subexpression evaluated once per row.
+    The lowered text is bound once; each term is one ``contains`` over it.
     """
     t = normalize_text(text) if normalise else F.lower(_c(text))
-    return F.array_compact(F.array(*[F.when(F.contains(t, F.lit(x)), F.lit(x)) for x in terms]))
+    return let(t, lambda s: _terms_in(s, terms))
+
+
+def terms_struct(text, spec: dict) -> Column:
+    """One found-terms array per ``{name: (terms, normalise)}`` from a single lowering of the text."""
+    low = F.lower(_c(text))
+    both = F.struct(low.alias("l"), F.replace(low, F.lit("_"), F.lit(" ")).alias("n"))
+    return let(both, lambda s: F.struct(*[
+        _terms_in(s["n"] if normalise else s["l"], terms).alias(name) for name, (terms, normalise) in spec.items()
+    ]))
 
 
 def with_terms(df: DataFrame, text_col: str, spec: dict) -> DataFrame:
-    """Add one found-terms array per ``{out_col: (terms, normalise)}``, lowering the text once."""
-    a = df.withColumns({"_tl": F.lower(F.col(text_col))})
-    a = a.withColumns({"_tn": F.replace(F.col("_tl"), F.lit("_"), F.lit(" "))})
-    cols = {}
-    for out, (terms, normalise) in spec.items():
-        src = F.col("_tn") if normalise else F.col("_tl")
-        cols[out] = F.array_compact(F.array(*[F.when(F.contains(src, F.lit(x)), F.lit(x)) for x in terms]))
-    return a.withColumns(cols).drop("_tl", "_tn")
+    """Add one found-terms array column per ``{out_col: (terms, normalise)}``."""
+    d = df.withColumn("_terms_all", terms_struct(F.col(text_col), spec))
+    return d.withColumns({name: F.col(f"_terms_all.{name}") for name in spec}).drop("_terms_all")
 
 
 def numeric_match(expected, observed, tolerance: float = vocab.MATCH_TOLERANCE) -> Column:
