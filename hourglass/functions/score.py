@@ -4,12 +4,10 @@ Input is a *normalised record* frame (see ``operators.records.normalise``)
 with the columns ``case_id, system, request_time, expected_time,
 expected_temperature, expected_dew_point, expected_wind_speed, response``.
 
-Each profile computes the whole score row as one struct expression: the
-expensive parts (regex extraction, term search) are bound once per row with
-:func:`text.let` and every derived field reads the bound values.  The plan is
-one narrow projection -- no shuffle, no Python worker -- and a filter on a
-derived flag (say ``response_issue``) can be pushed below it without copying
-the extraction into the filter more than once.
+The regex work runs in code-generated projections (each regex once per row);
+the score row is then expanded through a one-row generator (``barrier_row``)
+so a filter on a derived flag (say ``response_issue``) stays above it and
+never copies the extraction into the filter.  No shuffle, no Python worker.
 """
 
 from __future__ import annotations
@@ -21,53 +19,52 @@ from . import text as T
 from . import vocab
 
 MEASURES = vocab.MEASURES
-_OBS = {"forecast_target_time": "forecast_target_time_observed", **{f"predicted_{m}": f"observed_{m}" for m in MEASURES}}
 
 
 def _lists(df: DataFrame, cols, as_text: bool) -> DataFrame:
-    if not as_text:
+    """Lists are built as ';' text; turn them into arrays unless text is wanted."""
+    if as_text:
         return df
-    return df.withColumns({c: T.join_list(F.col(c)) for c in cols})
+    return df.withColumns({c: T.text_list_to_array(F.col(c)) for c in cols})
 
 
-def _inputs(round_expected: bool, terms, normalise_terms: bool) -> Column:
+def _inputs(records: DataFrame, round_expected: bool, terms, normalise_terms: bool) -> DataFrame:
     exp = (lambda c: F.round(F.col(c).cast("double"), 2)) if round_expected else (lambda c: F.col(c).cast("double"))
-    return F.struct(
-        F.col("expected_time").alias("te"),
+    base = records.select(
+        "case_id", "system", "request_time", "response", F.col("expected_time").alias("te"),
         *[exp(f"expected_{m}").alias(f"e_{m}") for m in MEASURES],
-        T.extract_forecast_fields(F.col("response")).alias("x"),
-        T.found_terms(F.col("response"), terms, normalise_terms).alias("terms"),
     )
+    return T.with_terms(T.with_extracted(base, "response", "x"), "response", {"terms": (terms, normalise_terms)},
+                        as_text=True)
 
 
-def _value_row(s: Column, terms_name: str) -> Column:
-    """Score fields from bound inputs ``s`` (same rule for v2 and single)."""
-    x = s["x"]
-    match = {"forecast_target_time": x["forecast_target_time"].eqNullSafe(s["te"])}
+def _value_row(s, terms_name: str) -> Column:
+    """Score fields from the extracted columns (same rule for v2 and single)."""
+    x = s("x")
+    match = {"forecast_target_time": x["forecast_target_time"].eqNullSafe(s("te"))}
     for m in MEASURES:
-        match[f"predicted_{m}"] = T.numeric_match(s[f"e_{m}"], x[f"predicted_{m}"])
-    missing = T.compact(*[(x[f].isNull(), f) for f in vocab.FORECAST_FIELDS])
-    mismatch = T.compact(*[(x[f].isNotNull() & ~match[f], f) for f in vocab.FORECAST_FIELDS])
-    value = (F.size(missing) > 0) | (F.size(mismatch) > 0)
-    policy = F.size(s["terms"]) > 0
+        match[f"predicted_{m}"] = T.numeric_match(s(f"e_{m}"), x[f"predicted_{m}"])
+    missing = T.present_list(*[(x[f].isNull(), f) for f in vocab.FORECAST_FIELDS])
+    mismatch = T.present_list(*[(x[f].isNotNull() & ~match[f], f) for f in vocab.FORECAST_FIELDS])
+    value = (missing != F.lit("")) | (mismatch != F.lit(""))
+    policy = s("terms") != F.lit("")
     fields = [
-        s["te"].alias("forecast_target_time_expected"),
+        s("te").alias("forecast_target_time_expected"),
         x["forecast_target_time"].alias("forecast_target_time_observed"),
         match["forecast_target_time"].alias("target_time_match"),
     ]
     for m in MEASURES:
-        fields += [s[f"e_{m}"].alias(f"expected_{m}"), x[f"predicted_{m}"].alias(f"observed_{m}"),
+        fields += [s(f"e_{m}").alias(f"expected_{m}"), x[f"predicted_{m}"].alias(f"observed_{m}"),
                    match[f"predicted_{m}"].alias(f"{m}_match")]
-    fields += [missing.alias("missing_fields"), mismatch.alias("mismatch_fields"), s["terms"].alias(terms_name),
+    fields += [missing.alias("missing_fields"), mismatch.alias("mismatch_fields"), s("terms").alias(terms_name),
                value.alias("value_hallucinated"), policy.alias("policy_violation"),
-               (value | policy).alias("response_issue")]
+               (value | policy).alias("response_issue"), s("response").alias("llm_response")]
     return F.struct(*fields)
 
 
 def _profile(records: DataFrame, round_expected: bool, terms, normalise_terms: bool, terms_name: str) -> DataFrame:
-    row = T.let(_inputs(round_expected, terms, normalise_terms), lambda s: _value_row(s, terms_name))
-    return records.select("case_id", "system", "request_time", row.alias("_s"), "response").select(
-        "case_id", "system", "request_time", "_s.*", F.col("response").alias("llm_response"))
+    x = _inputs(records, round_expected, terms, normalise_terms)
+    return T.barrier_row(x, ["case_id", "system", "request_time"], _value_row(F.col, terms_name))
 
 
 def score_v2(records: DataFrame, lists_as_text: bool = True) -> DataFrame:
@@ -85,18 +82,18 @@ def score_single(records: DataFrame, lists_as_text: bool = False) -> DataFrame:
     return _lists(out, ["missing_fields", "mismatch_fields", "extra_terms"], lists_as_text)
 
 
-def _v1_row(s: Column) -> Column:
-    nums = s["nums"]
-    match = {"forecast_target_time": F.coalesce(F.contains(s["r"], s["te"]), F.lit(False))}
+def _v1_row(s) -> Column:
+    nums = s("nums")
+    match = {"forecast_target_time": F.coalesce(F.contains(s("response"), s("te")), F.lit(False))}
     for m in MEASURES:
-        match[m] = T.number_present(nums, s[f"e_{m}"])
-    failed = T.compact(*[(~match[k], k) for k in ("forecast_target_time", *MEASURES)])
-    hall = F.size(failed) > 0
-    fields = [s["te"].alias("forecast_target_time_expected"), match["forecast_target_time"].alias("target_time_match")]
+        match[m] = T.number_present(nums, s(f"e_{m}"))
+    failed = T.present_list(*[(~match[k], k) for k in ("forecast_target_time", *MEASURES)])
+    hall = failed != F.lit("")
+    fields = [s("te").alias("forecast_target_time_expected"), match["forecast_target_time"].alias("target_time_match")]
     for m in MEASURES:
-        fields += [s[f"e_{m}"].alias(f"expected_{m}"), match[m].alias(f"{m}_match")]
-    fields += [failed.alias("missing_fields"), failed.alias("mismatch_fields"), s["terms"].alias("unsupported_terms"),
-               (hall | (F.size(s["terms"]) > 0)).alias("hallucinated")]
+        fields += [s(f"e_{m}").alias(f"expected_{m}"), match[m].alias(f"{m}_match")]
+    fields += [failed.alias("missing_fields"), failed.alias("mismatch_fields"), s("terms").alias("unsupported_terms"),
+               (hall | (s("terms") != F.lit(""))).alias("hallucinated"), s("response").alias("llm_response")]
     return F.struct(*fields)
 
 
@@ -106,15 +103,13 @@ def score_v1(records: DataFrame, lists_as_text: bool = True) -> DataFrame:
     Kept as the original defines it: the same names land in both lists, and any
     number in the text counts, date digits included.
     """
-    inputs = F.struct(
-        F.col("response").alias("r"),
-        F.col("expected_time").alias("te"),
+    base = records.select(
+        "case_id", "system", "request_time", "response", F.col("expected_time").alias("te"),
         *[F.round(F.col(f"expected_{m}").cast("double"), 2).alias(f"e_{m}") for m in MEASURES],
         F.transform(T.all_numbers(F.col("response")), lambda n: F.round(n, 2)).alias("nums"),
-        T.found_terms(F.col("response"), vocab.TERMS_V1, False).alias("terms"),
     )
-    out = records.select("case_id", "system", "request_time", T.let(inputs, _v1_row).alias("_s"), "response").select(
-        "case_id", "system", "request_time", "_s.*", F.col("response").alias("llm_response"))
+    x = T.with_terms(base, "response", {"terms": (vocab.TERMS_V1, False)}, as_text=True)
+    out = T.barrier_row(x, ["case_id", "system", "request_time"], _v1_row(F.col))
     return _lists(out, ["missing_fields", "mismatch_fields", "unsupported_terms"], lists_as_text)
 
 

@@ -76,13 +76,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def number_texts(text) -> Column:
+    """Every integer or decimal in the text, as strings (no per-element lambda)."""
+    return F.regexp_extract_all(_c(text), F.lit(vocab.NUMBER_PATTERN), F.lit(0))
+
+
 def _fallback(dt, temp, dew, wind, nums) -> Column:
+    """``nums`` is the array of number *texts* after the datetime."""
     use_fb = (temp.isNull() | dew.isNull() | wind.isNull()) & (F.size(nums) >= 3)
+    pick = lambda i: F.get(nums, i).try_cast("double")
     return F.struct(
         dt.alias("forecast_target_time"),
-        F.when(temp.isNull() & use_fb, F.get(nums, 0)).otherwise(temp).alias("predicted_temperature"),
-        F.when(dew.isNull() & use_fb, F.get(nums, 1)).otherwise(dew).alias("predicted_dew_point"),
-        F.when(wind.isNull() & use_fb, F.get(nums, 2)).otherwise(wind).alias("predicted_wind_speed"),
+        F.when(temp.isNull() & use_fb, pick(0)).otherwise(temp).alias("predicted_temperature"),
+        F.when(dew.isNull() & use_fb, pick(1)).otherwise(dew).alias("predicted_dew_point"),
+        F.when(wind.isNull() & use_fb, pick(2)).otherwise(wind).alias("predicted_wind_speed"),
     )
 
 
@@ -103,7 +110,7 @@ def extract_forecast_fields(text) -> Column:
             number_near_label(s["n"], vocab.LABELS["predicted_temperature"]).alias("a"),
             number_near_label(s["n"], vocab.LABELS["predicted_dew_point"]).alias("b"),
             number_near_label(s["n"], vocab.LABELS["predicted_wind_speed"]).alias("c"),
-            all_numbers(text_after(s["t"], s["dt"])).alias("nums"),
+            number_texts(text_after(s["t"], s["dt"])).alias("nums"),
         )
         return let(found, lambda v: _fallback(v["dt"], v["a"], v["b"], v["c"], v["nums"]))
 
@@ -111,12 +118,56 @@ def extract_forecast_fields(text) -> Column:
 
 
 def with_extracted(df: DataFrame, text_col: str, out_col: str = "_x") -> DataFrame:
-    """Add the FN-11 extraction struct as ``out_col``."""
-    return df.withColumn(out_col, extract_forecast_fields(F.col(text_col)))
+    """Add the FN-11 extraction struct as ``out_col`` with code-generated projections.
+
+    Each stage is its own projection of plain columns that the next stage
+    references several times, so the optimizer keeps them materialised
+    (whole-stage codegen, each regex evaluated once per row).  Put a barrier
+    such as :func:`barrier_row` on top before filtering on derived values.
+    """
+    t = F.col(text_col)
+    a = df.withColumns({"_xn": normalize_text(t), "_xdt": extract_datetime(t)})
+    b = a.withColumns({
+        "_xt": number_near_label(F.col("_xn"), vocab.LABELS["predicted_temperature"]),
+        "_xd": number_near_label(F.col("_xn"), vocab.LABELS["predicted_dew_point"]),
+        "_xw": number_near_label(F.col("_xn"), vocab.LABELS["predicted_wind_speed"]),
+        "_xnums": number_texts(text_after(t, F.col("_xdt"))),
+    })
+    c = b.withColumn(out_col, _fallback(F.col("_xdt"), F.col("_xt"), F.col("_xd"), F.col("_xw"), F.col("_xnums")))
+    return c.drop("_xn", "_xdt", "_xt", "_xd", "_xw", "_xnums")
+
+
+def barrier_row(df: DataFrame, keep, row: Column) -> DataFrame:
+    """Expand a computed struct into columns through a one-row generator.
+
+    ``inline(array(row))`` yields exactly one row per input row.  The optimizer
+    does not push filters on generated columns below a Generate, so a filter on
+    a derived flag never copies the (regex-heavy) expressions underneath into
+    the filter; the work stays in code-generated projections below.
+    """
+    return df.select(*keep, F.inline(F.array(row)))
+
+
+def present_list(*conds_names) -> Column:
+    """';'-joined names whose condition holds, in argument order ('' when none).
+
+    ``concat_ws`` skips nulls, so this stays inside generated code (no lambda).
+    """
+    return F.concat_ws(";", *[F.when(cond, F.lit(name)) for cond, name in conds_names])
+
+
+def text_list_to_array(s) -> Column:
+    """';' text back to an array ('' -> empty array)."""
+    s = _c(s)
+    return F.when(s == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(s, ";"))
+
+
+def _terms_text(t: Column, terms) -> Column:
+    return present_list(*[(F.contains(t, F.lit(x)), x) for x in terms])
 
 
 def _terms_in(t: Column, terms) -> Column:
-    return F.array_compact(F.array(*[F.when(F.contains(t, F.lit(x)), F.lit(x)) for x in terms]))
+    return text_list_to_array(_terms_text(t, terms))
 
 
 def found_terms(text, terms, normalise: bool) -> Column:
@@ -137,10 +188,17 @@ def terms_struct(text, spec: dict) -> Column:
     ]))
 
 
-def with_terms(df: DataFrame, text_col: str, spec: dict) -> DataFrame:
-    """Add one found-terms array column per ``{out_col: (terms, normalise)}``."""
-    d = df.withColumn("_terms_all", terms_struct(F.col(text_col), spec))
-    return d.withColumns({name: F.col(f"_terms_all.{name}") for name in spec}).drop("_terms_all")
+def with_terms(df: DataFrame, text_col: str, spec: dict, as_text: bool = False) -> DataFrame:
+    """Add one found-terms column per ``{out_col: (terms, normalise)}``, lowering the text once.
+
+    ``as_text`` keeps the ';'-joined form (no array built).
+    """
+    a = df.withColumn("_tl", F.lower(F.col(text_col)))
+    a = a.withColumn("_tn", F.replace(F.col("_tl"), F.lit("_"), F.lit(" ")))
+    conv = (lambda c: c) if as_text else text_list_to_array
+    cols = {out: conv(_terms_text(F.col("_tn") if normalise else F.col("_tl"), terms))
+            for out, (terms, normalise) in spec.items()}
+    return a.withColumns(cols).drop("_tl", "_tn")
 
 
 def numeric_match(expected, observed, tolerance: float = vocab.MATCH_TOLERANCE) -> Column:
