@@ -93,7 +93,7 @@ def q_time_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_history_check(spark: SparkSession, sf: str) -> DataFrame:
-    h = W.history_counts(fx.series(spark, sf, with_idx=False), hours=72)
+    h = W.history_counts(fx.series(spark, sf), hours=72)
     return h.select("date", "history_rows", "history_complete")
 
 
@@ -168,12 +168,13 @@ def q_even_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_request_lookup(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.series(spark, sf)
-    return requests.request_lookup(fx.requests(spark, sf), s)
+    return requests.request_lookup(fx.requests(spark, sf, s), s)
 
 
 def q_history_records(spark: SparkSession, sf: str) -> DataFrame:
-    req = fx.requests(spark, sf).withColumnRenamed("request_time", "target_time")
-    h = requests.history_records(req, fx.series(spark, sf, with_idx=False), window_size=72)
+    s = fx.series(spark, sf)
+    req = fx.requests(spark, sf, s).withColumnRenamed("request_time", "target_time")
+    h = requests.history_records(req, s, window_size=72)
     rec = F.coalesce(F.col("records"), F.array())
     return h.select(
         "target_time", "status", "expected_records", "returned_records", "history_start", "history_end",

@@ -74,3 +74,20 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (survives lost executors)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Used where a derived table feeds several branches of a plan: it is
+    computed once, the lineage is cut (a lost executor re-reads files instead
+    of recomputing upstream shuffles), and later reads get column pruning and
+    filter pushdown that an RDD checkpoint would not give.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/hourglass-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -19,6 +19,7 @@ from ..functions import text as T
 from ..functions import vocab
 from ..functions.answers import render_template
 from ..operators import clean, position
+from ..session import materialize
 from .tables import read_table
 
 
@@ -35,16 +36,27 @@ def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def series(spark: SparkSession, sf_dir: str, with_idx: bool = True) -> DataFrame:
-    """SERIES: the clean hourly table (``date``, 3 measures), with ``idx`` and ``n``."""
+def series(spark: SparkSession, sf_dir: str, with_idx: bool = True, materialized: bool = True) -> DataFrame:
+    """SERIES: the clean hourly table (``date``, 3 measures), with ``idx`` and ``n``.
+
+    ``materialized``: the collapse is written once to the checkpoint folder
+    before positions are taken (the position step reads its input twice), and
+    the indexed table is written once more for plans that use it in several
+    branches.
+    """
     s = clean.clean_hourly(raw_reports(spark, sf_dir), tie_cols=["event_id"])
-    return position.with_position(s, ["date"]) if with_idx else s
+    if not with_idx:
+        return s
+    if not materialized:
+        return position.with_position(s, ["date"])
+    s = materialize(s, "series-clean")
+    return materialize(position.with_position(s, ["date"]), "series")
 
 
 PANEL_MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
-def panel(spark: SparkSession, sf_dir: str, with_idx: bool = True) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, with_idx: bool = True, materialized: bool = True) -> DataFrame:
     """PANEL: last value per (l_suppkey, day), ties by order key, line, part, value."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_suppkey", F.col("l_shipdate").cast("timestamp_ntz").alias("date"),
@@ -52,7 +64,11 @@ def panel(spark: SparkSession, sf_dir: str, with_idx: bool = True) -> DataFrame:
     )
     p = clean.last_per_period(li, "date", PANEL_MEASURES, keys=["l_suppkey"],
                               tie_cols=["l_orderkey", "l_linenumber", "l_partkey"], period="day")
-    return position.with_position(p, ["date"], keys=["l_suppkey"]) if with_idx else p
+    if not with_idx:
+        return p
+    if materialized:
+        p = materialize(p, "panel-daily")
+    return position.with_position(p, ["date"], keys=["l_suppkey"])
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
