@@ -4,7 +4,7 @@ Input is a *normalised record* frame (see ``operators.records.normalise``)
 with the columns ``case_id, system, request_time, expected_time,
 expected_temperature, expected_dew_point, expected_wind_speed, response``.
 
-The regex work runs in code-generated projections (each regex once per row);
+The regex work runs in one projection (each regex once per row, see text.let);
 the score row is then expanded through a one-row generator (``barrier_row``)
 so a filter on a derived flag (say ``response_issue``) stays above it and
 never copies the extraction into the filter.  No shuffle, no Python worker.
@@ -29,13 +29,14 @@ def _lists(df: DataFrame, cols, as_text: bool) -> DataFrame:
 
 
 def _inputs(records: DataFrame, round_expected: bool, terms, normalise_terms: bool) -> DataFrame:
+    """One projection: expectations, the extraction struct and the found-terms text."""
     exp = (lambda c: F.round(F.col(c).cast("double"), 2)) if round_expected else (lambda c: F.col(c).cast("double"))
-    base = records.select(
+    return records.select(
         "case_id", "system", "request_time", "response", F.col("expected_time").alias("te"),
         *[exp(f"expected_{m}").alias(f"e_{m}") for m in MEASURES],
+        T.extract_forecast_fields(F.col("response")).alias("x"),
+        T.found_terms_text(F.col("response"), terms, normalise_terms).alias("terms"),
     )
-    return T.with_terms(T.with_extracted(base, "response", "x"), "response", {"terms": (terms, normalise_terms)},
-                        as_text=True)
 
 
 def _value_row(s, terms_name: str) -> Column:
@@ -103,12 +104,12 @@ def score_v1(records: DataFrame, lists_as_text: bool = True) -> DataFrame:
     Kept as the original defines it: the same names land in both lists, and any
     number in the text counts, date digits included.
     """
-    base = records.select(
+    x = records.select(
         "case_id", "system", "request_time", "response", F.col("expected_time").alias("te"),
         *[F.round(F.col(f"expected_{m}").cast("double"), 2).alias(f"e_{m}") for m in MEASURES],
         F.transform(T.all_numbers(F.col("response")), lambda n: F.round(n, 2)).alias("nums"),
+        T.found_terms_text(F.col("response"), vocab.TERMS_V1, False).alias("terms"),
     )
-    x = T.with_terms(base, "response", {"terms": (vocab.TERMS_V1, False)}, as_text=True)
     out = T.barrier_row(x, ["case_id", "system", "request_time"], _v1_row(F.col))
     return _lists(out, ["missing_fields", "mismatch_fields", "unsupported_terms"], lists_as_text)
 

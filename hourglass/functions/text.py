@@ -31,7 +31,9 @@ def extract_datetime(text) -> Column:
 
 
 def _num(s: Column) -> Column:
-    return F.nullif(s, F.lit("")).try_cast("double")
+    # regexp_extract gives '' on no match; try_cast('' as double) is null.  (nullif
+    # would be rewritten to if(s = '', null, s) and evaluate the regex twice.)
+    return s.try_cast("double")
 
 
 def number_near_label(norm_text, labels) -> Column:
@@ -118,23 +120,8 @@ def extract_forecast_fields(text) -> Column:
 
 
 def with_extracted(df: DataFrame, text_col: str, out_col: str = "_x") -> DataFrame:
-    """Add the FN-11 extraction struct as ``out_col`` with code-generated projections.
-
-    Each stage is its own projection of plain columns that the next stage
-    references several times, so the optimizer keeps them materialised
-    (whole-stage codegen, each regex evaluated once per row).  Put a barrier
-    such as :func:`barrier_row` on top before filtering on derived values.
-    """
-    t = F.col(text_col)
-    a = df.withColumns({"_xn": normalize_text(t), "_xdt": extract_datetime(t)})
-    b = a.withColumns({
-        "_xt": number_near_label(F.col("_xn"), vocab.LABELS["predicted_temperature"]),
-        "_xd": number_near_label(F.col("_xn"), vocab.LABELS["predicted_dew_point"]),
-        "_xw": number_near_label(F.col("_xn"), vocab.LABELS["predicted_wind_speed"]),
-        "_xnums": number_texts(text_after(t, F.col("_xdt"))),
-    })
-    c = b.withColumn(out_col, _fallback(F.col("_xdt"), F.col("_xt"), F.col("_xd"), F.col("_xw"), F.col("_xnums")))
-    return c.drop("_xn", "_xdt", "_xt", "_xd", "_xw", "_xnums")
+    """Add the FN-11 extraction struct as ``out_col`` (one projection, each regex once per row)."""
+    return df.withColumn(out_col, extract_forecast_fields(F.col(text_col)))
 
 
 def barrier_row(df: DataFrame, keep, row: Column) -> DataFrame:
@@ -166,6 +153,13 @@ def _terms_text(t: Column, terms) -> Column:
     return present_list(*[(F.contains(t, F.lit(x)), x) for x in terms])
 
 
+def found_terms_text(text, terms, normalise: bool) -> Column:
+    """Found terms as ';' text, fully inside generated code: the lowered text is a
+    common subexpression of the per-term ``contains`` calls, evaluated once."""
+    t = normalize_text(text) if normalise else F.lower(_c(text))
+    return _terms_text(t, terms)
+
+
 def _terms_in(t: Column, terms) -> Column:
     return text_list_to_array(_terms_text(t, terms))
 

@@ -297,9 +297,12 @@ def q_score_single(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_terms_found(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    t = T.with_terms(d, "text", {"terms_v2": (vocab.TERMS_V2, False), "terms_v1": (vocab.TERMS_V1, False),
-                                 "terms_single": (vocab.TERMS_SINGLE, True)}, as_text=True)
-    return t.select("doc_id", "terms_v2", "terms_v1", "terms_single")
+    return d.select(
+        "doc_id",
+        T.found_terms_text(F.col("text"), vocab.TERMS_V2, False).alias("terms_v2"),
+        T.found_terms_text(F.col("text"), vocab.TERMS_V1, False).alias("terms_v1"),
+        T.found_terms_text(F.col("text"), vocab.TERMS_SINGLE, True).alias("terms_single"),
+    )
 
 
 # -- stage 7: summaries --------------------------------------------------------------
