@@ -92,3 +92,90 @@ def model_cases(model: PipelineModel, samples: DataFrame, series: DataFrame, key
     w = W.verify_windows(series, keys=keys, window=window, horizon=horizon)
     j = samples.select(*keys, "idx", "case_id").join(w, on=keys + ["idx"], how="inner")
     return predict(model, features(j))
+
+
+def model_eval_cases(model: PipelineModel, samples: DataFrame, series: DataFrame, keys=(), window: int = 72,
+                     horizon: int = 24) -> DataFrame:
+    """Nested evaluation cases with model predictions, values rounded to 2 (ML-5)."""
+    from ..functions.text import fmt_ts
+
+    s = model_cases(model, samples, series, keys, window, horizon)
+    r2 = lambda c: F.round(c, 2)
+    return s.select(
+        *keys, "case_id", fmt_ts(F.col("date")).alias("request_time"),
+        fmt_ts(F.col("target_date")).alias("forecast_target_time"),
+        F.struct(*[r2(F.col(f"p_{m}")).alias(m) for m in MEASURES]).alias("prediction"),
+        F.struct(*[r2(F.col(f"y_{m}")).alias(m) for m in MEASURES]).alias("actual"),
+        F.struct(*[r2(F.abs(F.col(f"p_{m}") - F.col(f"y_{m}"))).alias(m) for m in MEASURES]).alias("absolute_error"),
+    )
+
+
+def verify_model(model: PipelineModel, series: DataFrame, keys=(), window: int = 72, horizon: int = 24,
+                 ratio: float = 0.8) -> DataFrame:
+    """Re-verify a saved model on the verification alignment (ML-7, WIN-4, AGG-9).
+
+    Windows i-W .. i-1 with target i+H; the last ``1 - ratio`` of them (per
+    key) are scored; returns one row of MAE per measure, their average and
+    the test size.
+    """
+    from .accuracy import error_metrics
+
+    keys = list(keys)
+    w = W.verify_windows(series, keys=keys, window=window, horizon=horizon).withColumn("sample_idx", F.col("idx") - window)
+    test = W.time_split(w, keys=keys, ratio=ratio).where(F.col("split") == "test")
+    m = error_metrics(predict(model, features(test)))
+    return m.select(*[f"{c}_mae" for c in MEASURES], "average_mae", "test_examples")
+
+
+def single_forecast_check(model: PipelineModel, series: DataFrame, keys=(), window: int = 72, horizon: int = 24,
+                          at: float = 0.85) -> DataFrame:
+    """One known-safe forecast per key at ``max(int(n * at), W)`` (ML-8), unrounded values.
+
+    Returns no row for a key whose target row would fall past the end.
+    """
+    keys = list(keys)
+    pick = series.groupBy(*keys).agg(F.max("n").alias("n")).select(
+        *keys, F.greatest(F.floor(F.col("n").cast("double") * F.lit(float(at))), F.lit(window)).cast("bigint").alias("idx"))
+    samples = pick.withColumn("case_id", F.lit(1).cast("bigint"))
+    scored = model_cases(model, samples, series, keys=keys, window=window, horizon=horizon)
+    from ..functions.text import fmt_ts
+
+    return scored.select(
+        *keys, fmt_ts(F.col("date")).alias("request_time"), fmt_ts(F.col("target_date")).alias("forecast_target_time"),
+        F.struct(*[F.col(f"p_{m}").alias(m) for m in MEASURES]).alias("prediction"),
+        F.struct(*[F.col(f"y_{m}").alias(m) for m in MEASURES]).alias("actual"),
+        F.struct(*[F.abs(F.col(f"p_{m}") - F.col(f"y_{m}")).alias(m) for m in MEASURES]).alias("absolute_error"),
+    )
+
+
+def model_requests(model: PipelineModel, requests: DataFrame, series: DataFrame, keys=(), window: int = 72,
+                   horizon: int = 24, request_col: str = "request_time") -> DataFrame:
+    """Batch of single-request predictions with a fitted model (ML-4, UDF-4).
+
+    Like :func:`requests.request_lookup` (statuses not_found / no_history /
+    no_future), but the prediction comes from the model on the window
+    r-W+1 .. r ending at the request row.
+    """
+    from ..functions.text import fmt_ts
+
+    keys = list(keys)
+    w = W.window_samples(series, keys=keys, window=window, horizon=horizon, include_request_row=True)
+    scored = predict(model, features(w))
+    r = requests.select(*keys, F.col(request_col).cast("timestamp_ntz").alias("_rt"))
+    s = series.select(*keys, F.col("date").alias("_rt"), "idx", "n")
+    j = r.join(s, on=keys + ["_rt"], how="left").join(
+        scored.select(*keys, "idx", "target_date", *[f"p_{m}" for m in MEASURES], *[f"y_{m}" for m in MEASURES]),
+        on=keys + ["idx"], how="left")
+    status = (F.when(F.col("idx").isNull(), F.lit("not_found"))
+              .when(F.col("idx") < F.lit(window - 1), F.lit("no_history"))
+              .when(F.col("idx") + F.lit(horizon) >= F.col("n"), F.lit("no_future"))
+              .otherwise(F.lit("ok")))
+    err = {m: F.abs(F.col(f"p_{m}") - F.col(f"y_{m}")) for m in MEASURES}
+    return j.select(
+        *keys, fmt_ts(F.col("_rt")).alias("request_time"), status.alias("status"),
+        fmt_ts(F.col("target_date")).alias("forecast_target_time"),
+        *[F.round(F.col(f"p_{m}"), 2).alias(f"predicted_{m}") for m in MEASURES],
+        *[F.round(F.col(f"y_{m}"), 2).alias(f"actual_{m}") for m in MEASURES],
+        *[F.round(err[m], 2).alias(f"{m}_abs_error") for m in MEASURES],
+        F.round((err["temperature"] + err["dew_point"] + err["wind_speed"]) / F.lit(3.0), 2).alias("average_abs_error"),
+    )

@@ -115,3 +115,21 @@ def test_streaming_scores(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert spark.table("score_stream_test").count() == 3000
+
+
+def test_model_cases_verify_and_requests(spark):
+    from hourglass.operators import requests as R, sampling
+    s = fx.series(spark, SF_SMALL)
+    m = forecast.fit(forecast.training_frame(s).where("split = 'train'"), "forest", numTrees=5, maxDepth=4)
+    v = forecast.verify_model(m, s).first()
+    assert v["test_examples"] == (480 - 96) - int((480 - 96) * 0.8)
+    chk = forecast.single_forecast_check(m, s).collect()
+    assert len(chk) == 1 and chk[0]["request_time"] is not None
+    samples = sampling.even_positions(sampling.series_lengths(s), 50)
+    cases = forecast.model_eval_cases(m, samples, s)
+    assert cases.count() == samples.count()
+    # same request alignment and statuses as the persistence lookup
+    req = fx.requests(spark, SF_SMALL, s)
+    a = forecast.model_requests(m, req, s).select("request_time", "status")
+    b = R.request_lookup(req, s).select("request_time", "status")
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
