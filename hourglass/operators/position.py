@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def day_bucket(c: Column) -> Column:
-    return F.date_trunc("day", c).cast("timestamp_ntz")
+def day_bucket(c: Column, unit: str = "day") -> Column:
+    return F.date_trunc(unit, c).cast("timestamp_ntz")
 
 
 def with_position(
@@ -31,15 +31,18 @@ def with_position(
     idx_col: str = "idx",
     count_col: str | None = "n",
     bucket: Column | None = None,
+    unit: str = "day",
 ) -> DataFrame:
     """Add a dense 0-based position per key in ``order_cols`` order, plus the series length.
 
     ``order_cols`` must identify rows uniquely within a key (ties would make
     the position arbitrary); the first column must be monotone with ``bucket``.
+    ``unit`` sets the calendar bucket (``day`` for hourly data, ``month`` or
+    ``year`` for daily data) so that a bucket holds many rows but a bounded number.
     """
     keys = list(keys)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    b = df.withColumn("_bucket", bucket if bucket is not None else day_bucket(order_cols[0]))
+    b = df.withColumn("_bucket", bucket if bucket is not None else day_bucket(order_cols[0], unit))
     counts = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
     per_key = Window.partitionBy(*keys).orderBy("_bucket")
     offsets = counts.select(

@@ -68,7 +68,7 @@ def panel(spark: SparkSession, sf_dir: str, with_idx: bool = True, materialized:
         return p
     if materialized:
         p = materialize(p, "panel-daily")
-    return position.with_position(p, ["date"], keys=["l_suppkey"])
+    return position.with_position(p, ["date"], keys=["l_suppkey"], unit="month")
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
