@@ -165,21 +165,8 @@ def _terms_in(t: Column, terms) -> Column:
 
 
 def found_terms(text, terms, normalise: bool) -> Column:
-    """Vocabulary terms that occur as substrings, in vocabulary order (FN-15..17).
-
-    The lowered text is bound once; each term is one ``contains`` over it.
-    """
-    t = normalize_text(text) if normalise else F.lower(_c(text))
-    return let(t, lambda s: _terms_in(s, terms))
-
-
-def terms_struct(text, spec: dict) -> Column:
-    """One found-terms array per ``{name: (terms, normalise)}`` from a single lowering of the text."""
-    low = F.lower(_c(text))
-    both = F.struct(low.alias("l"), F.replace(low, F.lit("_"), F.lit(" ")).alias("n"))
-    return let(both, lambda s: F.struct(*[
-        _terms_in(s["n"] if normalise else s["l"], terms).alias(name) for name, (terms, normalise) in spec.items()
-    ]))
+    """Found terms as an array, in vocabulary order (FN-15..17)."""
+    return text_list_to_array(found_terms_text(text, terms, normalise))
 
 
 def with_terms(df: DataFrame, text_col: str, spec: dict, as_text: bool = False) -> DataFrame:
@@ -207,19 +194,6 @@ def number_present(numbers, expected, tolerance: float = vocab.PRESENCE_TOLERANC
     return F.coalesce(F.exists(_c(numbers), lambda n: F.abs(n - e) <= F.lit(float(tolerance))), F.lit(False))
 
 
-def compact(*conds_names) -> Column:
-    """Array of the names whose condition holds, in argument order (FN-18)."""
-    return F.filter(
-        F.array(*[F.when(cond, F.lit(name)) for cond, name in conds_names]),
-        lambda x: x.isNotNull(),
-    )
-
-
-def join_list(arr) -> Column:
-    """List to ';' text (FN-21)."""
-    return F.array_join(_c(arr), ";")
-
-
 def fmt_num(x) -> Column:
     """Double to its shortest decimal text, as Python's str() prints it."""
     return _c(x).cast("double").cast("string")
