@@ -56,7 +56,7 @@ cases AS (
          strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS request_time,
          strftime(o_orderdate + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS forecast_target_time,
          CAST(o_totalprice AS DOUBLE) AS p_t, (o_custkey % 1000) / 10.0 AS p_d, (o_orderkey % 300) / 10.0 AS p_w,
-         250000.0 AS a_t, (o_custkey % 970) / 10.0 AS a_d, (o_orderkey % 290) / 10.0 AS a_w,
+         CAST(250000.0 AS DOUBLE) AS a_t, (o_custkey % 970) / 10.0 AS a_d, (o_orderkey % 290) / 10.0 AS a_w,
          o_orderstatus, o_orderpriority
   FROM orders)"""
 
