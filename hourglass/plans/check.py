@@ -7,6 +7,7 @@ order-insensitive comparison of values (columns sorted by name).
 from __future__ import annotations
 
 import datetime as _dt
+import decimal as _dec
 import math
 import os
 
@@ -25,9 +26,21 @@ def duckdb_connection(sf_dir: str):
     return con
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+def type_mismatches(sdf, con, sql: str) -> list:
+    """Columns whose Spark type has no equal DuckDB type in the oracle result."""
+    duck = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [(c, t, duck.get(c)) for c, t in sdf.dtypes if _SPARK_TO_DUCK.get(t, t) != duck.get(c)]
+
+
 def _norm(v, digits: int | None):
     if v is None:
         return None
+    if isinstance(v, _dec.Decimal):
+        return ("decimal", str(v))  # never equal to a float: hashes differ too
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_MID, SF_SMALL
-from hourglass.plans.check import compare, duckdb_connection
+from hourglass.plans.check import compare, duckdb_connection, type_mismatches
 
 NAMES = sorted(E.oracle_sql())
 
@@ -37,3 +37,9 @@ def test_query_matches_oracle_sf001(spark, name):
 def test_entry_smoke(spark):
     rows = E.entry(spark).collect()
     assert len(rows) == 1 and rows[0]["test_examples"] > 0
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_types_match_oracle(spark, con_small, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    assert type_mismatches(df, con_small, E.oracle_sql()[name]) == []
