@@ -542,6 +542,12 @@ FROM v1 GROUP BY system""",
 }
 
 
+SQL["hallucinated_preview"] = "WITH " + SCORE_V1 + """
+SELECT case_id, forecast_target_time_expected, expected_temperature, expected_dew_point, expected_wind_speed,
+       missing_fields, mismatch_fields, unsupported_terms, llm_response
+FROM v1 WHERE system = 'single_tool' AND hallucinated ORDER BY case_id LIMIT 5"""
+
+
 def _fill_prompts():
     from ..operators.answers import ANSWER_PROMPT, PLANNING_PROMPT_V2
     q = SQL["prompts"]

@@ -328,6 +328,15 @@ def q_named_agg(spark: SparkSession, sf: str) -> DataFrame:
     return summary.named_summary(S.score_v1(_responses_norm(spark, sf, "v1")))
 
 
+def q_hallucinated_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """First 5 hallucinated single-tool cases by id (FLT-5, ORD-2): a preview report."""
+    sc = S.score_v1(_responses_norm(spark, sf, "v1"))
+    flagged = sc.where((F.col("system") == "single_tool") & F.col("hallucinated"))
+    return quality.preview(flagged, 5).select(
+        "case_id", "forecast_target_time_expected", *[f"expected_{m}" for m in MEASURES],
+        "missing_fields", "mismatch_fields", "unsupported_terms", "llm_response")
+
+
 QUERIES = {
     "clean_hourly": q_clean_hourly,
     "null_counts": q_null_counts,
@@ -364,4 +373,5 @@ QUERIES = {
     "summary_single": q_summary_single,
     "flag_counts": q_flag_counts,
     "named_agg": q_named_agg,
+    "hallucinated_preview": q_hallucinated_preview,
 }
