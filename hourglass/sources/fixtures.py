@@ -25,7 +25,11 @@ from .tables import read_table
 
 def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW: ``date``, three text measures and ``event_id`` (order inside the hour)."""
-    ev = read_table(spark, sf_dir, "events")
+    return raw_from(read_table(spark, sf_dir, "events"))
+
+
+def raw_from(ev: DataFrame) -> DataFrame:
+    """The RAW mapping on any frame with the ``events`` columns (batch or streaming)."""
     return ev.select(
         F.col("event_id"),
         F.col("ts").cast("timestamp_ntz").alias("date"),
@@ -36,6 +40,15 @@ def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+    """RAW as a file stream over the ``events`` parquet (schema taken from the table)."""
+    import os
+
+    schema = read_table(spark, sf_dir, "events").schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return raw_from(src.parquet(os.path.join(sf_dir, "events*.parquet")))
+
+
 def series(spark: SparkSession, sf_dir: str, with_idx: bool = True, materialized: bool = True) -> DataFrame:
     """SERIES: the clean hourly table (``date``, 3 measures), with ``idx`` and ``n``.
 

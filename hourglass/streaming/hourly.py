@@ -45,3 +45,29 @@ def score_stream(responses: DataFrame, profile: str = "v2", fallback_system: str
     """Streaming scorer: normalise each arriving record and score it with a profile."""
     norm = records.normalise(responses, fallback_system, profile="v1" if profile == "v1" else "v2")
     return S.score(norm, profile)
+
+
+def run_available_now(stream_df: DataFrame, name: str = "stream", output_mode: str = "append",
+                      timeout_s: int = 3600) -> DataFrame:
+    """Run a streaming frame over everything available now into a parquet file sink.
+
+    Output and checkpoint go to the session's shared checkpoint folder (the
+    file sink is exactly-once and survives restarts); returns the written
+    table as a batch DataFrame.
+    """
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    spark = stream_df.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/hourglass-{name}-{uuid.uuid4().hex}"
+    q = (stream_df.writeStream.outputMode(output_mode).format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.schema(stream_df.schema).parquet(f"{base}/out")
