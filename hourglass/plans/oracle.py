@@ -554,6 +554,10 @@ SELECT date, temperature, dew_point, wind_speed
 FROM series, mx WHERE date + INTERVAL 1 HOUR <= m - INTERVAL 2 HOUR"""
 
 
+SQL["csv_clean_hourly"] = SQL["clean_hourly"]
+SQL["stream_score_v2"] = SQL["score_v2"]
+
+
 def _fill_prompts():
     from ..operators.answers import ANSWER_PROMPT, PLANNING_PROMPT_V2
     q = SQL["prompts"]

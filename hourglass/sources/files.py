@@ -50,18 +50,20 @@ RESPONSE_SCHEMA = StructType([
 ])
 
 
-def read_raw_reports(spark: SparkSession, path: str, renames: dict | None = None) -> DataFrame:
+def read_raw_reports(spark: SparkSession, path: str, renames: dict | None = None, keep=()) -> DataFrame:
     """CSV scan of raw hourly reports, the four used columns as text (SRC-1, PRJ-1).
 
     Every column is read as a string (the file may have many); only the
-    renamed four are kept, so the scan prunes the rest.
+    renamed four (plus ``keep``) are selected, so the CSV reader parses only
+    those columns.
     """
     renames = renames or RAW_RENAMES
     df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    missing = [c for c in renames if c not in df.columns]
+    missing = [c for c in list(renames) + list(keep) if c not in df.columns]
     if missing:
         raise ValueError(f"raw report file lacks columns: {missing}")
-    return df.select(*[F.col(f"`{src}`").cast("string").alias(dst) for src, dst in renames.items()])
+    return df.select(*[F.col(f"`{src}`").cast("string").alias(dst) for src, dst in renames.items()],
+                     *[F.col(f"`{c}`") for c in keep])
 
 
 def read_series(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True) -> DataFrame:
