@@ -133,3 +133,11 @@ def test_model_cases_verify_and_requests(spark):
     a = forecast.model_requests(m, req, s).select("request_time", "status")
     b = R.request_lookup(req, s).select("request_time", "status")
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
+def test_strict_series_parse_fails_on_bad_time(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_text("date,temperature,dew_point,wind_speed\nnot a time,1,2,3\n")
+    with pytest.raises(Exception):
+        files.read_series(spark, str(p)).collect()
+    assert files.read_series(spark, str(p), strict=False).first()["date"] is None
