@@ -104,9 +104,13 @@ def window_samples(
     ]
     if arrays:
         cols.append(F.collect_list(_feature_struct(value_cols)).over(frame).alias("x"))
-    out = fr.df.select(*keys, idx_col, date_col, "_chunk", *cols)
+    carry = ["n"] if "n" in series.columns else []
+    out = fr.df.select(*keys, idx_col, date_col, *carry, "_chunk", *cols)
     out = fr.home(out)
-    return out.where((F.col("x_size") == window) & F.col("target_date").isNotNull())
+    out = out.where((F.col("x_size") == window) & F.col("target_date").isNotNull())
+    if carry:  # samples per key follow from the series length: no count pass needed
+        out = out.withColumn("n_samples", F.col("n") - F.lit(window + horizon - (1 if include_request_row else 0)))
+    return out
 
 
 def train_windows(series: DataFrame, value_cols=None, keys=(), window: int = 72, horizon: int = 24, **kw) -> DataFrame:
@@ -126,10 +130,14 @@ def verify_windows(series: DataFrame, value_cols=None, keys=(), window: int = 72
 def time_split(samples: DataFrame, keys=(), ratio: float = 0.8, sample_col: str = "sample_idx", n_col: str = "n_samples") -> DataFrame:
     """Chronological split at ``int(n_samples * ratio)`` per key (WIN-9).
 
-    ``n_samples`` comes from a per-key count (small aggregate joined back), so
-    no window sees a whole key.
+    ``n_samples`` is taken from the column of that name when the samples carry
+    it (windows over an indexed series do: it follows from the series length),
+    else from a per-key count joined back.  No window sees a whole key.
     """
     keys = list(keys)
+    if n_col in samples.columns:
+        split_at = F.floor(F.col(n_col).cast("double") * F.lit(float(ratio)))
+        return samples.withColumn("split", F.when(F.col(sample_col) < split_at, F.lit("train")).otherwise(F.lit("test")))
     counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_col))
     if not keys:  # one global count: attach it through a constant key (a 1-row broadcast)
         samples, counts, keys = samples.withColumn("_one", F.lit(1)), counts.withColumn("_one", F.lit(1)), ["_one"]
@@ -150,12 +158,15 @@ def persistence(series: DataFrame, value_cols=None, keys=(), window: int = 72, h
     value_cols = list(value_cols or vocab.MEASURES)
     keys = list(keys)
     fr = framed(series, idx_col, keys, back=horizon, forward=0, chunk=chunk)
+    carry = ["n"] if "n" in series.columns else []
     out = fr.df.select(
-        *keys, idx_col, date_col, "_chunk",
+        *keys, idx_col, date_col, *carry, "_chunk",
         *[F.col(c).alias(f"y_{c}") for c in value_cols],
         *[F.lag(F.col(c), horizon).over(fr.spec).alias(f"p_{c}") for c in value_cols],
     )
     out = fr.home(out).withColumn("sample_idx", F.col(idx_col) - F.lit(window + horizon - 1))
+    if carry:
+        out = out.withColumn("n_samples", F.col("n") - F.lit(window + horizon - 1))
     return out.where(F.col("sample_idx") >= 0).withColumnRenamed(date_col, "target_date")
 
 
