@@ -203,8 +203,8 @@ def q_verified_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cases_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    c = fx.cases(spark, sf).join(o.withColumnRenamed("o_orderkey", "case_id"), on="case_id", how="inner")
+    """CASES with fields nulled by rule: dew point when status is P, wind when priority is 1-URGENT."""
+    c = fx.cases(spark, sf, extra=("o_orderstatus", "o_orderpriority"))
     return c.withColumn("prediction", F.struct(
         F.col("prediction.temperature").alias("temperature"),
         F.when(F.col("o_orderstatus") != "P", F.col("prediction.dew_point")).alias("dew_point"),
@@ -213,13 +213,15 @@ def _cases_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
-    c = _cases_with_gaps(spark, sf)
-    v2 = answers.verified_run(c)
-    v1 = answers.verified_run_v1(c)
-    return v2.select(
-        "case_id", F.col("verification.verified").alias("verified"),
-        F.array_join("verification.missing_fields", ";").alias("missing_fields"), "final_response",
-    ).join(v1.select("case_id", F.col("llm_response").alias("v1_response")), on="case_id", how="inner")
+    c = _cases_with_gaps(spark, sf).withColumn("tool_output", answers.tool_view())
+    v2 = answers.verify_v2(F.col("tool_output"))
+    v1 = answers.verify_v1(c)
+    return c.select("case_id", v2.alias("v2"), v1.alias("v1")).select(
+        "case_id", F.col("v2.verified").alias("verified"),
+        F.array_join("v2.missing_fields", ";").alias("missing_fields"),
+        answers.answer_v2(F.col("v2")).alias("final_response"),
+        answers.answer_v1(F.col("v1")).alias("v1_response"),
+    )
 
 
 def q_prompts(spark: SparkSession, sf: str) -> DataFrame:

@@ -84,9 +84,9 @@ def panel(spark: SparkSession, sf_dir: str, with_idx: bool = True, materialized:
     return position.with_position(p, ["date"], keys=["l_suppkey"], unit="month")
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CASES in the nested evaluation-case shape."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+def cases(spark: SparkSession, sf_dir: str, extra=()) -> DataFrame:
+    """CASES in the nested evaluation-case shape (``extra`` order columns carried along)."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", *extra)
     d = F.col("o_orderdate").cast("timestamp_ntz")
     pred = F.struct(
         F.col("o_totalprice").cast("double").alias("temperature"),
@@ -104,6 +104,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.fmt_ts(d + F.expr("INTERVAL 24 HOURS")).alias("forecast_target_time"),
         pred.alias("prediction"),
         act.alias("actual"),
+        *extra,
     )
     return c.withColumn("absolute_error", F.struct(*[
         F.round(F.abs(F.col(f"prediction.{m}") - F.col(f"actual.{m}")), 2).alias(m) for m in vocab.MEASURES
