@@ -141,3 +141,32 @@ def test_strict_series_parse_fails_on_bad_time(spark, tmp_path):
     with pytest.raises(Exception):
         files.read_series(spark, str(p)).collect()
     assert files.read_series(spark, str(p), strict=False).first()["date"] is None
+
+
+def test_single_score_csv_layout(spark, tmp_path):
+    from hourglass.operators import records as R
+    rec = files.read_jsonl(spark, os.path.join(os.path.dirname(__file__), "data", "single_response.jsonl"),
+                           files.RESPONSE_SCHEMA)
+    sc = S.score_single(R.normalise(rec))
+    p = str(tmp_path / "single_csv")
+    assert files.write_csv(sc, p, columns=files.SINGLE_SCORE_COLUMNS, python_bools=True)
+    part = [f for f in os.listdir(p) if f.startswith("part-") and f.endswith(".csv")]
+    text = "".join(open(os.path.join(p, f)).read() for f in part)
+    header, row = text.split("\n", 1)
+    assert header.split(",") == files.SINGLE_SCORE_COLUMNS
+    assert row.startswith("2005-04-12 08:00:00,2005-04-13 08:00:00,2005-04-13 08:00:00,True,57.39,57.39,True,")
+    assert ",actual;absolute error,False,True,True," in row
+    assert not files.write_csv(sc.where("false"), str(tmp_path / "empty"), skip_empty=True)
+    assert not os.path.exists(str(tmp_path / "empty"))
+
+
+def test_single_score_csv_golden_bytes(spark, tmp_path):
+    from hourglass.operators import records as R
+    data = os.path.join(os.path.dirname(__file__), "data")
+    rec = files.read_jsonl(spark, os.path.join(data, "single_response.jsonl"), files.RESPONSE_SCHEMA)
+    sc = S.score_single(R.normalise(rec)).coalesce(1)
+    p = str(tmp_path / "golden_csv")
+    files.write_csv(sc, p, columns=files.SINGLE_SCORE_COLUMNS, python_bools=True)
+    part = [f for f in os.listdir(p) if f.startswith("part-") and f.endswith(".csv")][0]
+    ours = open(os.path.join(p, part), encoding="utf-8").read()
+    assert ours == open(os.path.join(data, "single_scores.csv"), encoding="utf-8").read()
