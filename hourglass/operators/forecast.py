@@ -8,7 +8,7 @@ for the rows that are fitted or scored.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -36,7 +36,7 @@ def training_frame(series: DataFrame, keys=(), window: int = 72, horizon: int =
 def estimator(kind: str, label: str, pred: str, **params):
     if kind == "forest":
         p = {"numTrees": 100, "seed": 42, "featureSubsetStrategy": "all", "maxDepth": 12, "maxBins": 32,
-             "maxMemoryInMB": 2048, "cacheNodeIds": True}
+             "maxMemoryInMB": 256, "cacheNodeIds": True}
         p.update(params)
         return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol=pred, **p)
     if kind == "linear":
@@ -46,20 +46,29 @@ def estimator(kind: str, label: str, pred: str, **params):
     raise ValueError(f"unknown model kind {kind!r}")
 
 
-def fit(train: DataFrame, kind: str = "forest", value_cols=None, **params) -> PipelineModel:
-    """Fit one regressor per measure (ML-1 forest, ML-2 linear) as one pipeline.
+def fit(train: DataFrame, kind: str = "forest", value_cols=None, concurrent: bool = False, **params) -> PipelineModel:
+    """Fit one regressor per measure (ML-1 forest, ML-2 linear) as one pipeline model.
 
-    The training rows are persisted (memory and disk) for the passes the
-    fits make and released afterwards.
+    The training rows are persisted (memory and disk) for the passes the fits
+    make and released afterwards.  The per-measure fits are independent; with
+    ``concurrent`` they are submitted from separate threads so their jobs share
+    the cluster.  Off by default: each tree fit holds ``maxMemoryInMB`` of split
+    statistics per task, and concurrent fits multiply that.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     value_cols = list(value_cols or MEASURES)
     stages = [estimator(kind, f"y_{c}", f"p_{c}", **params) for c in value_cols]
     data = train.select("features", *[f"y_{c}" for c in value_cols]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = Pipeline(stages=stages).fit(data)
+        if concurrent and len(stages) > 1:
+            with ThreadPoolExecutor(max_workers=len(stages)) as pool:
+                models = list(pool.map(lambda est: est.fit(data), stages))
+        else:
+            models = [est.fit(data) for est in stages]
     finally:
         data.unpersist()
-    return model
+    return PipelineModel(stages=models)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
