@@ -62,4 +62,53 @@ def python_list_text(arr: Column) -> Column:
     return F.concat(F.lit("["), inner, F.lit("]"))
 
 
-__all__ = ["render_template", "pretty_json", "struct_fields", "python_list_text", "json_value", "StringType"]
+def _ascii_escaped(literal: Column) -> Column:
+    """Escape every non-ASCII character of an ASCII-safe JSON literal as ``\\uXXXX``.
+
+    The text is encoded as UTF-16BE, cut into 4-hex-digit code units (so
+    astral characters become surrogate pairs, as Python writes them), and
+    each unit at or above 0x80 becomes ``\\u`` + lower-case hex.  Only texts
+    that contain non-ASCII characters take this per-character path.
+    """
+    units = F.regexp_extract_all(F.hex(F.encode(literal, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    chars = F.transform(units, lambda u: F.when(u < F.lit("0080"), F.decode(F.unhex(u), "UTF-16BE"))
+                        .otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+    return F.when(literal.rlike("[^\\x00-\\x7F]"), F.array_join(chars, "")).otherwise(literal)
+
+
+def python_json_string(c: Column) -> Column:
+    """A string as ``json.dumps`` writes it (quotes, backslash and control escapes, ASCII only)."""
+    lit = F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)   # Jackson-escaped "..."
+    return F.when(c.isNull(), F.lit("null")).otherwise(_ascii_escaped(lit))
+
+
+def python_json_value(c: Column, dtype) -> Column:
+    """One value in ``json.dumps`` form for string, number, boolean and string-array columns."""
+    from pyspark.sql.types import ArrayType, BooleanType
+
+    if isinstance(dtype, StringType):
+        return python_json_string(c)
+    if isinstance(dtype, BooleanType):
+        return F.when(c.isNull(), F.lit("null")).when(c, F.lit("true")).otherwise(F.lit("false"))
+    if isinstance(dtype, ArrayType):
+        inner = F.array_join(F.transform(c, lambda x: python_json_value(x, dtype.elementType)), ", ")
+        return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
+    if isinstance(dtype, NumericType):
+        return F.coalesce(c.cast("string"), F.lit("null"))
+    raise TypeError(f"no JSON form for {dtype.simpleString()}")
+
+
+def python_json_line(df, columns=None) -> Column:
+    """A whole row as one ``json.dumps(record)`` line (keys in column order)."""
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    if columns is not None:
+        order = {c: i for i, c in enumerate(columns)}
+        fields.sort(key=lambda f: order[f.name])
+    parts = []
+    for i, f in enumerate(fields):
+        parts += [F.lit(("" if i == 0 else ", ") + '"' + f.name + '": '), python_json_value(F.col(f.name), f.dataType)]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
+
+
+__all__ = ["render_template", "pretty_json", "struct_fields", "python_list_text", "json_value",
+           "python_json_string", "python_json_value", "python_json_line"]

@@ -156,9 +156,20 @@ def write_csv(df: DataFrame, path: str, columns=None, mode: str = "overwrite", s
     return True
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSONL sink keeping null fields (SNK-4 overwrite, SNK-5 append)."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", python_compatible: bool = False,
+                columns=None) -> None:
+    """JSONL sink keeping null fields (SNK-4 overwrite, SNK-5 append).
+
+    ``python_compatible`` writes each row exactly as Python's ``json.dumps``
+    would (``", "`` / ``": "`` separators, non-ASCII as ``\\uXXXX``); flat
+    records of strings, numbers, booleans and string lists.
+    """
+    if not python_compatible:
+        df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+        return
+    from ..functions.answers import python_json_line
+
+    df.select(python_json_line(df, columns).alias("value")).write.mode(mode).text(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:

@@ -170,3 +170,24 @@ def test_single_score_csv_golden_bytes(spark, tmp_path):
     part = [f for f in os.listdir(p) if f.startswith("part-") and f.endswith(".csv")][0]
     ours = open(os.path.join(p, part), encoding="utf-8").read()
     assert ours == open(os.path.join(data, "single_scores.csv"), encoding="utf-8").read()
+
+
+def test_single_score_jsonl_golden_bytes(spark, tmp_path):
+    from hourglass.operators import records as R
+    data = os.path.join(os.path.dirname(__file__), "data")
+    rec = files.read_jsonl(spark, os.path.join(data, "single_response.jsonl"), files.RESPONSE_SCHEMA)
+    sc = S.score_single(R.normalise(rec)).coalesce(1)
+    p = str(tmp_path / "golden_jsonl")
+    files.write_jsonl(sc, p, python_compatible=True, columns=files.SINGLE_SCORE_COLUMNS)
+    part = [f for f in os.listdir(p) if f.startswith("part-")][0]
+    ours = open(os.path.join(p, part), encoding="utf-8").read()
+    assert ours == open(os.path.join(data, "single_scores.jsonl"), encoding="utf-8").read()
+
+
+def test_python_json_escapes(spark):
+    from hourglass.functions.answers import python_json_line
+    vals = ['a"b\\c', "tab\there\nnew", "°F ok", "emoji \U0001F600", "", None]
+    df = spark.createDataFrame([(v, [v or "x"], True, 1.5) for v in vals], "s string, l array<string>, b boolean, d double")
+    got = [r[0] for r in df.select(python_json_line(df)).collect()]
+    exp = [json.dumps({"s": v, "l": [v or "x"], "b": True, "d": 1.5}) for v in vals]
+    assert got == exp
