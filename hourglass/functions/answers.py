@@ -83,8 +83,8 @@ def python_json_string(c: Column) -> Column:
 
 
 def python_json_value(c: Column, dtype) -> Column:
-    """One value in ``json.dumps`` form for string, number, boolean and string-array columns."""
-    from pyspark.sql.types import ArrayType, BooleanType
+    """One value in ``json.dumps`` form: strings, numbers, booleans, arrays and structs (nested)."""
+    from pyspark.sql.types import ArrayType, BooleanType, StructType
 
     if isinstance(dtype, StringType):
         return python_json_string(c)
@@ -93,13 +93,18 @@ def python_json_value(c: Column, dtype) -> Column:
     if isinstance(dtype, ArrayType):
         inner = F.array_join(F.transform(c, lambda x: python_json_value(x, dtype.elementType)), ", ")
         return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
+    if isinstance(dtype, StructType):
+        parts = []
+        for i, f in enumerate(dtype.fields):
+            parts += [F.lit(("" if i == 0 else ", ") + '"' + f.name + '": '), python_json_value(c[f.name], f.dataType)]
+        return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("{"), *parts, F.lit("}")))
     if isinstance(dtype, NumericType):
         return F.coalesce(c.cast("string"), F.lit("null"))
     raise TypeError(f"no JSON form for {dtype.simpleString()}")
 
 
 def python_json_line(df, columns=None) -> Column:
-    """A whole row as one ``json.dumps(record)`` line (keys in column order)."""
+    """A whole row as one ``json.dumps(record)`` line (keys in column order, nested structs kept)."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     if columns is not None:
         order = {c: i for i, c in enumerate(columns)}

@@ -191,3 +191,24 @@ def test_python_json_escapes(spark):
     got = [r[0] for r in df.select(python_json_line(df)).collect()]
     exp = [json.dumps({"s": v, "l": [v or "x"], "b": True, "d": 1.5}) for v in vals]
     assert got == exp
+
+
+def test_flat_case_csv_golden_bytes(spark, tmp_path):
+    from hourglass.operators import requests as R
+    data = os.path.join(os.path.dirname(__file__), "data")
+    cases = files.read_jsonl(spark, os.path.join(data, "eval_cases_50.jsonl"), files.CASE_SCHEMA)
+    p = str(tmp_path / "flat_csv")
+    files.write_csv(R.flatten_case(cases).orderBy("case_id").coalesce(1), p)
+    part = [f for f in os.listdir(p) if f.startswith("part-") and f.endswith(".csv")][0]
+    ours = open(os.path.join(p, part), encoding="utf-8").read()
+    assert ours == open(os.path.join(data, "eval_cases_50.csv"), encoding="utf-8").read()
+
+
+def test_nested_case_jsonl_golden_bytes(spark, tmp_path):
+    data = os.path.join(os.path.dirname(__file__), "data")
+    cases = files.read_jsonl(spark, os.path.join(data, "eval_cases_50.jsonl"), files.CASE_SCHEMA)
+    p = str(tmp_path / "cases_jsonl")
+    files.write_jsonl(cases.orderBy("case_id").coalesce(1), p, python_compatible=True)
+    part = [f for f in os.listdir(p) if f.startswith("part-")][0]
+    ours = open(os.path.join(p, part), encoding="utf-8").read()
+    assert ours == open(os.path.join(data, "eval_cases_50.jsonl"), encoding="utf-8").read()
