@@ -153,22 +153,34 @@ def planning_prompt(df: DataFrame, version: str = "v2", tool_col: str = "tool_ou
                            request_time=F.col("request_time"))
 
 
-def verified_run(cases: DataFrame, run_timestamp: str | None = None, plan: DataFrame | None = None) -> DataFrame:
-    """Verified system (UDF-3): tool view -> verify -> template; the plan never changes the answer.
+def verified_run(cases: DataFrame, run_timestamp: str | None = None,
+                 plan_generator_factory: Callable[[], "Generator"] | None = None,
+                 model_path: str | None = None, parallelism: int | None = None) -> DataFrame:
+    """Verified system (UDF-3): tool view -> verify -> template.
 
     ``cases`` needs ``case_id, request_time, forecast_target_time, prediction``
-    (``actual`` / ``absolute_error`` are carried when present).
+    (``actual`` / ``absolute_error`` are carried when present).  With a
+    ``plan_generator_factory`` the planning prompt is sent through
+    :func:`generate` and stored as ``agent_plan``; the plan never changes the
+    answer, which is built from the verified fields only.
     """
     c = cases if "tool_output" in cases.columns else cases.withColumn("tool_output", tool_view())
+    if plan_generator_factory is not None:
+        c = c.withColumn("_plan_prompt", planning_prompt(c, "v2"))
+        c = generate(c, "_plan_prompt", plan_generator_factory, out_col="agent_plan", parallelism=parallelism)
+        c = c.drop("_plan_prompt")
+    else:
+        c = c.withColumn("agent_plan", F.lit(None).cast("string"))
     c = c.withColumn("verification", verify_v2(F.col("tool_output")))
     keep = [x for x in ("actual", "absolute_error") if x in c.columns]
     out = c.select(
         *([F.lit(run_timestamp).alias("run_timestamp")] if run_timestamp else []),
         F.lit("agentic").alias("system"),
         F.lit("agentic_verification_pipeline").alias("system_type"),
+        *([F.lit(model_path).alias("model_path")] if model_path else []),
         "case_id", "request_time", "forecast_target_time", "tool_output", "prediction", *keep,
         user_request(F.col("request_time")).alias("user_request"),
-        F.lit(None).cast("string").alias("agent_plan"),
+        "agent_plan",
         "verification",
         answer_v2(F.col("verification")).alias("final_response"),
     )
@@ -211,7 +223,7 @@ def generate(df: DataFrame, prompt_col: str, generator_factory: Callable[[], Gen
 
 
 def single_tool_run(cases: DataFrame, generator_factory: Callable[[], Generator], run_timestamp: str | None = None,
-                    parallelism: int | None = None) -> DataFrame:
+                    parallelism: int | None = None, model_path: str | None = None) -> DataFrame:
     """Single-tool system (UDF-2): tool view + prompt -> generator -> response record."""
     c = cases if "tool_output" in cases.columns else cases.withColumn("tool_output", tool_view())
     c = c.withColumn("prompt", answer_prompt(c))
@@ -221,6 +233,7 @@ def single_tool_run(cases: DataFrame, generator_factory: Callable[[], Generator]
         *([F.lit(run_timestamp).alias("run_timestamp")] if run_timestamp else []),
         F.lit("single_tool").alias("system"),
         F.lit("single_tool_local_model").alias("system_type"),
+        *([F.lit(model_path).alias("model_path")] if model_path else []),
         "case_id", "request_time", "forecast_target_time", "tool_output", "prediction", *keep,
         user_request(F.col("request_time")).alias("user_request"),
         "llm_response",

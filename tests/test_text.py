@@ -135,3 +135,16 @@ def test_refusal_texts(spark):
     v1 = answers.verified_run_v1(df).first()
     assert v1["llm_response"] == ("I cannot produce a forecast because the tool output is missing required fields: "
                                   "['prediction.dew_point', 'prediction.wind_speed']")
+
+
+def test_plan_is_stored_but_never_changes_the_answer(spark):
+    def planner():
+        return lambda pdf: ["1. Identify the request time. It will likely rain." for _ in range(len(pdf))]
+    c = fx.cases(spark, SF_SMALL)
+    with_plan = answers.verified_run(c, plan_generator_factory=planner, model_path="/models/m.gguf")
+    plain = answers.verified_run(c)
+    assert with_plan.where("agent_plan IS NULL").count() == 0
+    a = with_plan.select("case_id", "final_response")
+    b = plain.select("case_id", "final_response")
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count() == 1500
+    assert with_plan.select("model_path").distinct().first()[0] == "/models/m.gguf"
