@@ -357,10 +357,8 @@ def q_stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_csv_clean_hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Raw reports written as a report CSV (SNK-1) and scanned back (SRC-1), then cleaned."""
-    import uuid
-
     from ..operators.clean import RAW_RENAMES
-    from ..session import checkpoint_dir
+    from ..session import scratch_path
     from ..sources import files
 
     names = {v: k for k, v in RAW_RENAMES.items()}
@@ -369,7 +367,7 @@ def q_csv_clean_hourly(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(names["date"]),
         *[F.col(m).alias(names[m]) for m in MEASURES],
     )
-    path = f"{checkpoint_dir(spark).rstrip('/')}/hourglass-raw-csv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "raw-csv")
     files.write_csv(raw, path)
     back = files.read_raw_reports(spark, path, keep=["REPORT_ID"])
     back = back.withColumn("REPORT_ID", F.col("REPORT_ID").cast("bigint"))
@@ -378,13 +376,11 @@ def q_csv_clean_hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stream_score_v2(spark: SparkSession, sf: str) -> DataFrame:
     """Response records written as JSONL (SNK-4), read as a file stream (SRC-6) and scored (v2)."""
-    import uuid
-
-    from ..session import checkpoint_dir
+    from ..session import scratch_path
     from ..sources import files
     from ..streaming import hourly
 
-    path = f"{checkpoint_dir(spark).rstrip('/')}/hourglass-responses-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "responses-jsonl")
     files.write_jsonl(fx.responses(spark, sf), path)
     stream = spark.readStream.schema(files.RESPONSE_SCHEMA).option("maxFilesPerTrigger", 64).json(path)
     return hourly.run_available_now(hourly.score_stream(stream, "v2"), "stream-score")

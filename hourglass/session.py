@@ -77,6 +77,34 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: list = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new unique folder under the shared checkpoint folder, remembered for :func:`release_scratch`."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/hourglass-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process wrote (only those), through the Hadoop file system.
+
+    Call it when no DataFrame reading them is needed any more; returns how
+    many folders were removed.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        fs = path.getFileSystem(conf)
+        if fs.exists(path) and fs.delete(path, True):
+            removed += 1
+    return removed
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
@@ -85,10 +113,7 @@ def materialize(df, name: str = "table"):
     of recomputing upstream shuffles), and later reads get column pruning and
     filter pushdown that an RDD checkpoint would not give.
     """
-    import uuid
-
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/hourglass-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -55,12 +55,10 @@ def run_available_now(stream_df: DataFrame, name: str = "stream", output_mode: s
     file sink is exactly-once and survives restarts); returns the written
     table as a batch DataFrame.
     """
-    import uuid
-
-    from ..session import checkpoint_dir
+    from ..session import scratch_path
 
     spark = stream_df.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/hourglass-{name}-{uuid.uuid4().hex}"
+    base = scratch_path(spark, name)
     q = (stream_df.writeStream.outputMode(output_mode).format("parquet")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())

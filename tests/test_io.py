@@ -212,3 +212,12 @@ def test_nested_case_jsonl_golden_bytes(spark, tmp_path):
     part = [f for f in os.listdir(p) if f.startswith("part-")][0]
     ours = open(os.path.join(p, part), encoding="utf-8").read()
     assert ours == open(os.path.join(data, "eval_cases_50.jsonl"), encoding="utf-8").read()
+
+
+def test_release_scratch_removes_only_own_tables(spark):
+    from hourglass.session import materialize, release_scratch, _SCRATCH
+    before = list(_SCRATCH)
+    t = materialize(fx.series(spark, SF_SMALL, with_idx=False), "scratch-test")
+    assert t.count() == 480
+    n = release_scratch(spark)
+    assert n >= 1 and _SCRATCH == []
