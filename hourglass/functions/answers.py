@@ -115,5 +115,26 @@ def python_json_line(df, columns=None) -> Column:
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
+def python_json_pretty(c: Column, dtype, indent: int = 2, level: int = 0) -> Column:
+    """A value as ``json.dump(obj, indent=2)`` lays it out (nested structs and arrays)."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    pad, end = " " * (indent * (level + 1)), " " * (indent * level)
+    if isinstance(dtype, StructType):
+        if not dtype.fields:
+            return F.lit("{}")
+        parts = []
+        for i, f in enumerate(dtype.fields):
+            parts += [F.lit(("" if i == 0 else ",\n") + pad + '"' + f.name + '": '),
+                      python_json_pretty(c[f.name], f.dataType, indent, level + 1)]
+        return F.when(c.isNull(), F.lit("null")).otherwise(
+            F.concat(F.lit("{\n"), *parts, F.lit("\n" + end + "}")))
+    if isinstance(dtype, ArrayType):
+        items = F.transform(c, lambda x: F.concat(F.lit(pad), python_json_pretty(x, dtype.elementType, indent, level + 1)))
+        return (F.when(c.isNull(), F.lit("null")).when(F.size(c) == 0, F.lit("[]"))
+                .otherwise(F.concat(F.lit("[\n"), F.array_join(items, ",\n"), F.lit("\n" + end + "]"))))
+    return python_json_value(c, dtype)
+
+
 __all__ = ["render_template", "pretty_json", "struct_fields", "python_list_text", "json_value",
-           "python_json_string", "python_json_value", "python_json_line"]
+           "python_json_string", "python_json_value", "python_json_line", "python_json_pretty"]

@@ -86,8 +86,25 @@ def named_summary(scores: DataFrame, flag: str = "hallucinated", by=("system",))
     )
 
 
-def summary_document(summary: DataFrame, key: str = "system") -> DataFrame:
-    """One-row JSON document ``{system: {metric: value}}`` (SNK-6), built by aggregation."""
+def summary_document(summary: DataFrame, key: str | None = "system", pretty: bool = False) -> DataFrame:
+    """One-row JSON document ``{system: {metric: value}}`` (SNK-6), built by aggregation.
+
+    ``key=None`` renders a one-row summary as a flat object.  ``pretty`` lays
+    it out as ``json.dump(obj, indent=2)`` does (keys sorted by system).
+    """
+    from ..functions.answers import python_json_pretty, python_json_string
+
+    if key is None:
+        dtype = summary.schema
+        row = F.struct(*summary.columns)
+        text = python_json_pretty(row, dtype) if pretty else F.to_json(row)
+        return summary.select(text.alias("json"))
     metrics = [c for c in summary.columns if c != key]
-    entry = F.struct(F.col(key).alias("key"), F.struct(*metrics).alias("value"))
-    return summary.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("json"))
+    mtype = summary.select(F.struct(*metrics).alias("m")).schema["m"].dataType
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.struct(*metrics).alias("value"))))
+    if not pretty:
+        return summary.agg(F.to_json(F.map_from_entries(entries)).alias("json"))
+    body = F.array_join(F.transform(entries, lambda e: F.concat(
+        F.lit("  "), python_json_string(e["key"]), F.lit(": "), python_json_pretty(e["value"], mtype, 2, 1))), ",\n")
+    return summary.agg(F.when(F.size(entries) == 0, F.lit("{}"))
+                       .otherwise(F.concat(F.lit("{\n"), body, F.lit("\n}"))).alias("json"))

@@ -180,8 +180,12 @@ def write_parquet(df: DataFrame, path: str, partition_by=None, mode: str = "over
     w.parquet(path)
 
 
-def write_summary_json(summary: DataFrame, path: str, key: str = "system") -> None:
-    """One JSON document ``{key: {metric: value}}`` (SNK-6) as a single text file."""
+def write_summary_json(summary: DataFrame, path: str, key: str | None = "system", pretty: bool = False) -> None:
+    """One JSON document ``{key: {metric: value}}`` (SNK-6) as a single text file.
+
+    ``key=None`` writes a one-row summary as a flat object; ``pretty`` uses
+    the ``json.dump(obj, indent=2)`` layout.
+    """
     from ..operators.summary import summary_document
 
-    summary_document(summary, key).coalesce(1).write.mode("overwrite").text(path)
+    summary_document(summary, key, pretty).coalesce(1).write.mode("overwrite").text(path)

@@ -221,3 +221,39 @@ def test_release_scratch_removes_only_own_tables(spark):
     assert t.count() == 480
     n = release_scratch(spark)
     assert n >= 1 and _SCRATCH == []
+
+
+def _layout_frame(spark, records, first_key=None):
+    """A DataFrame holding the given dicts' values with their key order and JSON types."""
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+    keys = list(records[0].keys())
+    kind = lambda v: StringType() if isinstance(v, str) else LongType() if isinstance(v, int) else DoubleType()
+    fields = ([StructField(first_key, StringType())] if first_key else []) + \
+        [StructField(k, kind(records[0][k])) for k in keys]
+    return spark.createDataFrame([tuple(r.values()) if not first_key else (r["__key"], *[r[k] for k in keys if k != "__key"])
+                                  for r in records], StructType([f for f in fields if f.name != "__key"]))
+
+
+def _read_text(p):
+    part = [f for f in os.listdir(p) if f.startswith("part-")][0]
+    return open(os.path.join(p, part), encoding="utf-8").read().rstrip("\n")
+
+
+def test_summary_json_layouts(spark, tmp_path):
+    """Documents rendered from the committed summaries' own values reproduce their bytes."""
+    data = os.path.join(os.path.dirname(__file__), "data")
+    flat_text = open(os.path.join(data, "accuracy_summary_layout.json"), encoding="utf-8").read()
+    flat = json.loads(flat_text)
+    p = str(tmp_path / "flat")
+    files.write_summary_json(_layout_frame(spark, [flat]), p, key=None, pretty=True)
+    assert _read_text(p) == flat_text
+    nested_text = open(os.path.join(data, "system_summary_layout.json"), encoding="utf-8").read()
+    nested = json.loads(nested_text)
+    rows = [{"__key": k, **v} for k, v in nested.items()]
+    metrics = list(next(iter(nested.values())).keys())
+    df = spark.createDataFrame(
+        [(r["__key"], *[r[m] for m in metrics]) for r in rows],
+        ", ".join(["system string"] + [f"{m} {'bigint' if isinstance(rows[0][m], int) else 'double'}" for m in metrics]))
+    q = str(tmp_path / "nested")
+    files.write_summary_json(df, q, key="system", pretty=True)
+    assert _read_text(q) == nested_text
