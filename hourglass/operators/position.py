@@ -59,6 +59,6 @@ def with_position(
 
 
 def with_position_global(df: DataFrame, order_cols, keys=(), idx_col: str = "idx") -> DataFrame:
-    """Reference form: one window per key (single task when ``keys`` is empty)."""
+    """Plain form: one window per key (a single task when ``keys`` is empty); used as a check."""
     w = Window.partitionBy(*keys).orderBy(*order_cols) if keys else Window.orderBy(*order_cols)
     return df.withColumn(idx_col, (F.row_number().over(w) - 1).cast("bigint"))
