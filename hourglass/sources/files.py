@@ -138,21 +138,39 @@ def _text_lists(df: DataFrame, python_bools: bool) -> DataFrame:
     return df.withColumns(cols)
 
 
+def _csv_field(c) -> "F.Column":
+    """One field with minimal quoting: quoted when it holds a comma, quote, CR or LF."""
+    s = c.cast("string")
+    quoted = F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(s.rlike('[,"\r\n]'), quoted).otherwise(s), F.lit(""))
+
+
 def write_csv(df: DataFrame, path: str, columns=None, mode: str = "overwrite", skip_empty: bool = False,
-              python_bools: bool = False) -> bool:
+              python_bools: bool = False, line_sep: str = "\n") -> bool:
     """CSV sink with header (SNK-1..3): list columns joined by ';', optional fixed column order.
 
     ``skip_empty`` writes nothing for an empty result (one limit-1 probe job);
-    ``python_bools`` renders booleans as ``True`` / ``False``.  Returns whether
-    anything was written.
+    ``python_bools`` renders booleans as ``True`` / ``False``.  ``line_sep``
+    other than ``\n`` (e.g. ``\r\n``, as Python's csv module writes) renders
+    the lines as text into one file -- meant for summary-sized results.
+    Returns whether anything was written.
     """
     out = _text_lists(df, python_bools)
     if columns:
         out = out.select(*columns)
     if skip_empty and out.isEmpty():
         return False
-    (out.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
-        .option("emptyValue", "").csv(path))
+    if line_sep == "\n":
+        (out.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
+            .option("emptyValue", "").csv(path))
+        return True
+    spark = out.sparkSession
+    header = spark.createDataFrame([(0, 0, ",".join(out.columns))], "_o int, _r long, value string")
+    # keep the input row order (partition index is in the id's high bits) through the single-file shuffle
+    body = out.select(F.lit(1).alias("_o"), F.monotonically_increasing_id().alias("_r"),
+                      F.concat_ws(",", *[_csv_field(F.col(f"`{c}`")) for c in out.columns]).alias("value"))
+    lines = header.unionByName(body).repartition(1).sortWithinPartitions("_o", "_r").select("value")
+    lines.write.mode(mode).option("lineSep", line_sep).text(path)
     return True
 
 

@@ -257,3 +257,23 @@ def test_summary_json_layouts(spark, tmp_path):
     q = str(tmp_path / "nested")
     files.write_summary_json(df, q, key="system", pretty=True)
     assert _read_text(q) == nested_text
+
+
+def test_summary_csv_layouts_crlf(spark, tmp_path):
+    """Summary CSVs rendered from the committed summaries' values reproduce their bytes (CRLF lines)."""
+    data = os.path.join(os.path.dirname(__file__), "data")
+    flat = json.loads(open(os.path.join(data, "accuracy_summary_layout.json"), encoding="utf-8").read())
+    p = str(tmp_path / "flat_csv")
+    files.write_csv(_layout_frame(spark, [flat]), p, line_sep="\r\n")
+    part = [f for f in os.listdir(p) if f.startswith("part-")][0]
+    assert open(os.path.join(p, part), "rb").read() == open(os.path.join(data, "accuracy_summary_layout.csv"), "rb").read()
+    nested = json.loads(open(os.path.join(data, "system_summary_layout.json"), encoding="utf-8").read())
+    metrics = list(next(iter(nested.values())).keys())
+    df = spark.createDataFrame(
+        [(k, *[v[m] for m in metrics]) for k, v in nested.items()],
+        ", ".join(["system string"] + [f"{m} {'bigint' if isinstance(next(iter(nested.values()))[m], int) else 'double'}"
+                                       for m in metrics]))
+    q = str(tmp_path / "nested_csv")
+    files.write_csv(df, q, line_sep="\r\n")
+    part = [f for f in os.listdir(q) if f.startswith("part-")][0]
+    assert open(os.path.join(q, part), "rb").read() == open(os.path.join(data, "system_summary_layout.csv"), "rb").read()
