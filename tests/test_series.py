@@ -87,3 +87,30 @@ def test_windowed_plan_has_no_single_partition_on_rows(spark, tmp_path):
 def test_hourly_scan_prunes_columns(spark):
     plan = fx.series(spark, SF_SMALL, with_idx=False)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan or "FileScan" in plan
+
+
+def test_range_scan_reads_only_date(spark):
+    from hourglass.operators import quality
+    plan = quality.series_range(fx.series(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<date:timestamp_ntz>" in plan
+
+
+def test_scoring_plan_has_no_shuffle(spark):
+    from hourglass.functions import score as S
+    from hourglass.operators import records
+    plan = S.score_v2(records.normalise(fx.responses(spark, SF_SMALL)))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_generator_loaded_once_per_task(spark):
+    from hourglass.operators import answers
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        calls.add(1)          # stands for loading a model
+        return lambda pdf: ["ok"] * len(pdf)
+
+    c = fx.tool_output(fx.cases(spark, SF_SMALL)).repartition(4)
+    out = answers.generate(c, "case_id", factory, parallelism=3)
+    assert out.where("llm_response = 'ok'").count() == 1500
+    assert calls.value == 3
