@@ -58,12 +58,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a scratch folder is created.
+    is (unset on a cluster is an error).  Only a local-mode session without
+    one (tests) gets a scratch folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: a machine-local folder "
+                               "is not visible to every executor")
         d = tempfile.mkdtemp(prefix="hourglass-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
