@@ -24,10 +24,12 @@ NUM_CASES = 1000
 # -- stage 1: clean + quality -------------------------------------------------
 
 def q_clean_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """RAW -> clean hourly series (SRC-1 mapping, PRJ-2/4/5, FLT-1/2, AGG-1)."""
     return fx.series(spark, sf, with_idx=False)
 
 
 def q_null_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Null count per coerced report column plus rows (AGG-12, PRJ-4)."""
     r = fx.raw_reports(spark, sf)
     coerced = r.select(
         F.col("date"),
@@ -37,20 +39,24 @@ def q_null_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_series_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, first and last hour of the series (AGG-13)."""
     return quality.series_range(fx.series(spark, sf, with_idx=False))
 
 
 def q_step_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """Five most common steps between consecutive hours (AGG-14, WIN-2, ORD-5)."""
     return quality.step_frequency(fx.series(spark, sf), top=5)
 
 
 def q_panel_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Last value per (supplier, day) from lineitem (AGG-1 keyed, daily period)."""
     return fx.panel(spark, sf, with_idx=False)
 
 
 # -- stage 2: positions + windows ------------------------------------------------
 
 def q_row_position(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense position and series length per row (WIN-1)."""
     return fx.series(spark, sf).select("date", "idx", "n")
 
 
@@ -66,23 +72,27 @@ def _array_stats(df: DataFrame) -> list:
 
 
 def q_window_train(spark: SparkSession, sf: str) -> DataFrame:
+    """Training windows: size, sum, first, last of the 72-row array and the target (WIN-3, WIN-7)."""
     w = W.train_windows(fx.series(spark, sf))
     return w.select("sample_idx", "target_date", *_array_stats(w), *[f"y_{m}" for m in MEASURES])
 
 
 def q_window_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """Verification windows r-72 .. r-1 with target r+24 (WIN-4, WIN-6)."""
     w = W.verify_windows(fx.series(spark, sf))
     return w.select("idx", F.col("date").alias("request_date"), *_array_stats(w), "target_date",
                     *[f"y_{m}" for m in MEASURES])
 
 
 def q_window_flat(spark: SparkSession, sf: str) -> DataFrame:
+    """Training windows flattened time-major to 216 values each (WIN-8)."""
     w = W.train_windows(fx.series(spark, sf))
     flat = w.select("sample_idx", F.posexplode(W.flatten_window(F.col("x"), MEASURES)).alias("pos", "value"))
     return flat.select("sample_idx", F.col("pos").cast("bigint").alias("pos"), "value")
 
 
 def q_time_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Chronological 80/20 split of the training windows (WIN-9)."""
     w = W.train_windows(fx.series(spark, sf), arrays=False)
     sp = W.time_split(w)
     return sp.groupBy("split").agg(
@@ -93,11 +103,13 @@ def q_time_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_history_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in [t-72h, t-1h] before each hour and the exact-count flag (WIN-11)."""
     h = W.history_counts(fx.series(spark, sf), hours=72)
     return h.select("date", "history_rows", "history_complete")
 
 
 def q_panel_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-supplier training windows as frame aggregates, no arrays (WIN-3 keyed)."""
     p = fx.panel(spark, sf)
     fr = W.framed(p, "idx", ["l_suppkey"], back=71, forward=24)
     frame = fr.spec.rowsBetween(-71, 0)
@@ -123,21 +135,25 @@ def _persistence_test(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_persistence_mae(spark: SparkSession, sf: str) -> DataFrame:
+    """Persistence forecast MAE on the test split (WIN-10, WIN-9, AGG-9)."""
     m = accuracy.error_metrics(_persistence_test(spark, sf))
     return m.select(*[F.round(f"{c}_mae", 6).alias(f"{c}_mae") for c in MEASURES],
                     F.round("average_mae", 6).alias("average_mae"), F.col("test_examples").cast("bigint"))
 
 
 def q_persistence_rmse_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Persistence MAE / RMSE in long form, 4 rows (AGG-10, AGG-11)."""
     long = accuracy.metrics_long(accuracy.error_metrics(_persistence_test(spark, sf)))
     return long.select("target", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
 
 
 def q_case_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-case accuracy rows from CASES (FN-1..5, PRJ-10)."""
     return accuracy.case_scores(fx.cases(spark, sf))
 
 
 def q_accuracy_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy summary of the rounded case errors (AGG-2, AGG-3)."""
     return accuracy.summarize_cases(accuracy.case_scores(fx.cases(spark, sf)), system="ml_baseline")
 
 
@@ -166,16 +182,19 @@ def q_verification_report(spark: SparkSession, sf: str) -> DataFrame:
 # -- stage 4: requests + cases -------------------------------------------------
 
 def q_even_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Evenly spread request rows over the test region, numbered from 1 (ORD-4)."""
     e = sampling.even_sample(spark, fx.series(spark, sf), NUM_CASES)
     return e.select("case_id", "idx", F.col("date").alias("request_time"))
 
 
 def q_request_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch of forecast requests with statuses and persistence predictions (ML-4, JN-2, FLT-4/6, UDF-4)."""
     s = fx.series(spark, sf)
     return requests.request_lookup(fx.requests(spark, sf, s), s)
 
 
 def q_history_records(spark: SparkSession, sf: str) -> DataFrame:
+    """History answer per request via the (day)-bucketed range join (JN-3, FLT-3, FN-29)."""
     s = fx.series(spark, sf)
     req = fx.requests(spark, sf, s).withColumnRenamed("request_time", "target_time")
     h = requests.history_records(req, s, window_size=72)
@@ -189,6 +208,7 @@ def q_history_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_eval_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation cases at the sampled rows, flat form (ML-5, PRJ-7, JN-1)."""
     s = fx.series(spark, sf)
     samples = sampling.even_positions(sampling.series_lengths(s), NUM_CASES)
     return requests.eval_cases(samples, s)
@@ -197,6 +217,7 @@ def q_eval_cases(spark: SparkSession, sf: str) -> DataFrame:
 # -- stage 5: answers ------------------------------------------------------------
 
 def q_verified_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Verified-template answers for every case (UDF-3, FN-22, FN-24, PRJ-8/9)."""
     v = answers.verified_run(fx.cases(spark, sf))
     return v.select("case_id", F.col("verification.verified").alias("verified"),
                     F.array_join("verification.missing_fields", ";").alias("missing_fields"), "final_response")
@@ -213,6 +234,7 @@ def _cases_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """Refusals for cases with missing fields, v2 and v1 texts (FN-22..25)."""
     c = _cases_with_gaps(spark, sf).withColumn("tool_output", answers.tool_view())
     v2 = answers.verify_v2(F.col("tool_output"))
     v1 = answers.verify_v1(c)
@@ -225,6 +247,7 @@ def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """User request, answer prompt and planning prompt per case (FN-26..28)."""
     c = fx.tool_output(fx.cases(spark, sf))
     return c.select("case_id", answers.user_request(F.col("request_time")).alias("user_request"),
                     answers.answer_prompt(c).alias("prompt"), answers.planning_prompt(c, "v2").alias("plan_prompt"))
@@ -272,6 +295,7 @@ def _variant_text(v: int, t: str, x: float, y: float, z: float) -> str:
 
 
 def q_batch_generate(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated answers through the pluggable mapInPandas generator (UDF-1, UDF-2)."""
     run = answers.single_tool_run(fx.tool_output(fx.cases(spark, sf)), template_generator)
     return run.select("case_id", "llm_response")
 
@@ -283,6 +307,7 @@ def _responses_norm(spark: SparkSession, sf: str, profile: str = "v2") -> DataFr
 
 
 def q_extract_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Time and three values extracted from every response (FN-6..11)."""
     r = fx.responses(spark, sf)
     x = T.with_extracted(r.select("case_id", "system", records.response_text(r).alias("response")), "response", "x")
     return x.select("case_id", "system", F.col("x.forecast_target_time").alias("observed_time"),
@@ -290,18 +315,22 @@ def q_extract_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_score_v2(spark: SparkSession, sf: str) -> DataFrame:
+    """Score rows, profile v2 (FN-12, FN-17..21, PRJ-11, PRJ-13/14)."""
     return S.score_v2(_responses_norm(spark, sf))
 
 
 def q_score_v1(spark: SparkSession, sf: str) -> DataFrame:
+    """Score rows, profile v1 (FN-13, FN-14, FN-16)."""
     return S.score_v1(_responses_norm(spark, sf, "v1"))
 
 
 def q_score_single(spark: SparkSession, sf: str) -> DataFrame:
+    """Score rows, profile single (FN-15, PRJ-12)."""
     return S.score_single(_responses_norm(spark, sf), lists_as_text=True)
 
 
 def q_terms_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Unsupported terms of all three vocabularies over whole documents (FN-15..17)."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
     return d.select(
         "doc_id",
@@ -314,23 +343,28 @@ def q_terms_found(spark: SparkSession, sf: str) -> DataFrame:
 # -- stage 7: summaries --------------------------------------------------------------
 
 def q_summary_v2(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-system summary of v2 scores (AGG-4, SET-2)."""
     return summary.summarize_v2(S.score_v2(_responses_norm(spark, sf), lists_as_text=False))
 
 
 def q_summary_v1(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-system summary of v1 scores (AGG-5)."""
     return summary.summarize_v1(S.score_v1(_responses_norm(spark, sf, "v1"), lists_as_text=False))
 
 
 def q_summary_single(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole-table report of the single-tool profile (AGG-6, FLT-5)."""
     single = _responses_norm(spark, sf).where(F.col("system") == "single_tool")
     return summary.summarize_table(S.score_single(single))
 
 
 def q_flag_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Group sizes by system and flag (AGG-7)."""
     return summary.flag_counts(S.score_v1(_responses_norm(spark, sf, "v1")))
 
 
 def q_named_agg(spark: SparkSession, sf: str) -> DataFrame:
+    """Named multi-aggregate per system (AGG-8)."""
     return summary.named_summary(S.score_v1(_responses_norm(spark, sf, "v1")))
 
 
