@@ -138,12 +138,10 @@ def time_split(samples: DataFrame, keys=(), ratio: float = 0.8, sample_col: str
     if n_col in samples.columns:
         split_at = F.floor(F.col(n_col).cast("double") * F.lit(float(ratio)))
         return samples.withColumn("split", F.when(F.col(sample_col) < split_at, F.lit("train")).otherwise(F.lit("test")))
-    counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_col))
-    if not keys:  # one global count: attach it through a constant key (a 1-row broadcast)
-        samples, counts, keys = samples.withColumn("_one", F.lit(1)), counts.withColumn("_one", F.lit(1)), ["_one"]
-        j = samples.join(F.broadcast(counts), on=keys, how="inner").drop("_one")
+    if not keys:  # a single series: its sample count is one number (one count job)
+        j = samples.withColumn(n_col, F.lit(samples.count()).cast("bigint"))
     else:
-        j = samples.join(counts, on=keys, how="inner")
+        j = samples.join(samples.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_col)), on=keys, how="inner")
     split_at = F.floor(F.col(n_col).cast("double") * F.lit(float(ratio)))
     return j.withColumn("split", F.when(F.col(sample_col) < split_at, F.lit("train")).otherwise(F.lit("test")))
 

@@ -43,3 +43,9 @@ def test_entry_smoke(spark):
 def test_query_types_match_oracle(spark, con_small, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert type_mismatches(df, con_small, E.oracle_sql()[name]) == []
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(E.queries()) if n not in ("forest_forecast", "linear_forecast")])
+def test_no_cartesian_or_nested_loop_plans(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
