@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_MID, SF_SMALL
+from hourglass.plans import oracle
 from hourglass.plans.check import compare, duckdb_connection, type_mismatches
 
-NAMES = sorted(E.oracle_sql())
+NAMES = sorted(oracle.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con_small():
 
 
 def test_every_query_has_oracle_or_is_model():
-    q, s = E.queries(), E.oracle_sql()
+    q, s = E.core_queries(), oracle.SQL
     assert set(s) <= set(q)
     assert set(q) - set(s) == {"linear_forecast", "forest_forecast"}
 
@@ -45,7 +46,7 @@ def test_query_types_match_oracle(spark, con_small, name):
     assert type_mismatches(df, con_small, E.oracle_sql()[name]) == []
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(E.queries()) if n not in ("forest_forecast", "linear_forecast")])
+@pytest.mark.parametrize("name", [n for n in sorted(E.core_queries()) if n not in ("forest_forecast", "linear_forecast")])
 def test_no_cartesian_or_nested_loop_plans(spark, name):
     plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
