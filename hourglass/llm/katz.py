@@ -8,7 +8,8 @@ each level k of the model is then one exchange:
          -> per bucket: totals of every k-gram, count-of-counts, back-off sums
          -> (block, answers) back to the block that asked.
 
-A k-gram is sent once per block however often it occurs there, so a hot word
+The blocks are a table bucketed by block, so that each exchange moves only
+questions and answers.  A k-gram is sent once per block however often it occurs there, so a hot word
 costs a bucket one entry per block.  Buckets are dealt by the context, and a
 context with more than a bucket's share of the corpus is dealt by (context,
 word) instead; its partial sums (at most one context per bucket) are added up
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mixed, pack, remainder, stored, unpack
+from .common import bucketed, hashed_words, mixed, pack, remainder, stored, unpack
 
 END = np.uint64(0x5EED0E4D0F7E8715)
 #: Counts up to this one are discounted.
@@ -59,7 +60,11 @@ def _blocks(batches):
         words, local = np.unique(np.concatenate([*tokens, np.array([END])]), return_inverse=True)
         doc_ids = pa.concat_arrays(ids)
         values = np.asarray(doc_ids.fill_null(0), np.int64)
-        payload = pack(np.concatenate(lens).astype(np.int32), np.concatenate(train), words, local[:-1].astype(np.uint32))
+        local = local[:-1]
+        often = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")   # frequent words get small numbers
+        number = np.empty(len(often), np.uint32)
+        number[often] = np.arange(len(often))
+        payload = pack(np.concatenate(lens).astype(np.int32), np.concatenate(train), words, often.astype(np.uint32), number[local])
         return pa.RecordBatch.from_pydict({
             "block_id": pa.array([secrets.randbits(62)], pa.int64()), "n_tokens": pa.array([held], pa.int64()),
             "docs": [pack(values)], "nulls": [pack(np.asarray(doc_ids.is_null()))], "payload": [payload]})
@@ -116,8 +121,8 @@ class Block:
 
     def __init__(self, row, params: dict):
         self.id, self.p = int(row.block_id), params
-        self.lens, self.train, self.words, self.tokens = unpack(row.payload)
-        self.tokens = self.tokens.astype(np.int64)
+        self.lens, self.train, self.words, often, numbers = unpack(row.payload)
+        self.tokens = often.astype(np.int64)[numbers]
         self.first = np.concatenate(([0], np.cumsum(self.lens)))[:-1].astype(np.int64)
         self.learn = np.repeat(self.train, self.lens)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.first, self.lens)
@@ -220,8 +225,11 @@ def _hist(total: np.ndarray) -> list[int]:
 def _merge_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     parts = [unpack(x) for x in rows.payload]
     words, rank = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    total = np.zeros(len(words), np.int64)
-    np.add.at(total, rank, np.concatenate([p[1] for p in parts]))
+    total = np.bincount(rank, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+    often = np.argsort(-total, kind="stable")   # a word's number is its rank by count: small numbers pack well
+    number = np.empty(len(often), np.int64)
+    number[often] = np.arange(len(often))
+    words, total, rank = words[often], total[often], number[rank]
     out, at = [], 0
     for block_id, p in zip(rows.block_id, parts):
         own = rank[at:at + len(p[0])]
@@ -260,7 +268,7 @@ def _merge_grams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         at += n
     shared = np.unique(of[rank[hot]])
     extra = pack(contexts[shared], lower_sum[shared], *(m[shared].astype(float) for m in masses)) if len(shared) else None
-    out.append((key[0], -1, pack(ids[head], words[head], total, known[head]), _hist(total), extra))
+    out.append((key[0], -1, pack(np.diff(ids[head], prepend=np.uint64(0)), words[head], total.astype(np.uint32), known[head]), _hist(total), extra))
     return pd.DataFrame(out, columns=["bucket", "block_id", "payload", "hist", "hot"])
 
 
@@ -317,7 +325,7 @@ def katz_scores(docs: DataFrame, train, order: int = 2, id_column: str = "doc_id
         raise ValueError("order must be 1 or more")
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"),
                          F.coalesce(train, F.lit(True)).alias("train"))
-    blocks = stored(chosen.mapInArrow(_blocks, BLOCKS), "katz-blocks")
+    blocks = bucketed(chosen.mapInArrow(_blocks, BLOCKS), "block_id", "katz-blocks")
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     params = {"order": order, "bits": max(3, int(np.ceil(np.log2(max(tokens, 1) / BUCKET_TOKENS + 1)))), "discounts": [], "hot": {}}
 
