@@ -46,7 +46,7 @@ END = np.uint64(0x5EED0E4D0F7E8715)
 #: Counts up to this one are discounted.
 LARGEST = 5
 #: Tokens of a block, and of a bucket on average.
-BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 1_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 4_000_000
 
 BLOCKS = "block_id long, n_tokens long, docs binary, nulls binary, payload binary"
 ASKED = "bucket long, block_id long, payload binary"
@@ -201,8 +201,10 @@ class Block:
         seen = total > 0
         prob = np.where(seen, rule.mass(np.maximum(total, 1)) / base, alpha * self.lower_prob)
         self.place_prob = np.where(self.valid, prob[self.next], self.prob[self.gram] if level == 2 else self.place_prob)
-        bucket = np.concatenate([np.full(len(p[1]), p[0], np.uint64) for p in parts])
-        self.gram, self.count, self.prob, self.gram_id = self.next, total, prob, (bucket << np.uint64(40)) + rank
+        self.gram, self.count, self.prob = self.next, total, prob
+        if level < self.p["order"]:
+            bucket = np.concatenate([np.full(len(p[1]), p[0], np.uint64) for p in parts])
+            self.gram_id = (bucket << np.uint64(40)) + rank
 
     def scores(self, row) -> pd.DataFrame:
         prob = self.place_prob if self.p["order"] > 1 else self.prob[self.tokens]
@@ -239,7 +241,8 @@ def _merge_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "block_id", "payload", "hist", "hot"])
 
 
-def _merge_grams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _merge_grams(key: tuple, rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+    """Totals of a bucket's grams; their numbers go back only if a further level builds on them."""
     parts = [unpack(x) for x in rows.payload]
     with np.errstate(over="ignore"):
         ids = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
@@ -263,7 +266,7 @@ def _merge_grams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n = len(p[0])
         own = rank[at:at + n]
         used, which = np.unique(of[own], return_inverse=True)
-        out.append((key[0], block_id, pack(total[own].astype(np.uint32), own.astype(np.uint32), which.astype(np.uint32), lower_sum[used],
+        out.append((key[0], block_id, pack(total[own].astype(np.uint32), own[:0 if last else n].astype(np.uint32), which.astype(np.uint32), lower_sum[used],
                                            *(m[used].astype(np.uint32) for m in masses[:-1]), masses[-1][used]), None, None))
         at += n
     shared = np.unique(of[rank[hot]])
@@ -309,6 +312,13 @@ def _hot_sums(merged: DataFrame):
     return ids[order], np.array([list(r)[1:] for r in found], float)[order]
 
 
+def _merging(last: bool):
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _merge_grams(key, rows, last)
+
+    return merge
+
+
 def _asking(level: int, params: dict):
     def ask(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         return _advance(Block(next(block.itertuples()), params), told, level).ask_grams()
@@ -327,7 +337,7 @@ def katz_scores(docs: DataFrame, train, order: int = 2, id_column: str = "doc_id
                          F.coalesce(train, F.lit(True)).alias("train"))
     blocks = bucketed(chosen.mapInArrow(_blocks, BLOCKS), "block_id", "katz-blocks")
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    params = {"order": order, "bits": max(3, int(np.ceil(np.log2(max(tokens, 1) / BUCKET_TOKENS + 1)))), "discounts": [], "hot": {}}
+    params = {"order": order, "bits": max(3, round(np.log2(max(tokens, 1) / BUCKET_TOKENS + 1))), "discounts": [], "hot": {}}
 
     def ask_words(batches):
         for batch in batches:
@@ -340,7 +350,7 @@ def katz_scores(docs: DataFrame, train, order: int = 2, id_column: str = "doc_id
             asked, merge = blocks.mapInArrow(ask_words, ASKED), _merge_words
         else:
             asked, merge = blocks.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInPandas(
-                _asking(level, dict(params)), ASKED), _merge_grams
+                _asking(level, dict(params)), ASKED), _merging(level == order)
         merged = stored(asked.groupBy("bucket").applyInPandas(merge, MERGED), f"katz-model/level={level}")
         params["discounts"] = [*params["discounts"], _discounts(merged)]
         if level == 1:
