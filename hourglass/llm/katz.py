@@ -46,7 +46,7 @@ END = np.uint64(0x5EED0E4D0F7E8715)
 #: Counts up to this one are discounted.
 LARGEST = 5
 #: Tokens of a block, and of a bucket on average.
-BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 4_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 2_000_000
 
 BLOCKS = "block_id long, n_tokens long, docs binary, nulls binary, payload binary"
 ASKED = "bucket long, block_id long, payload binary"
@@ -174,8 +174,8 @@ class Block:
         edges = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for lo, hi in zip(edges, [*edges[1:], len(self.bucket)]):
             used, own = np.unique(code[lo:hi], return_inverse=True)
-            payload = pack(np.diff(self.ids[lo:hi], prepend=np.uint64(0)), self.word[lo:hi], self.asked[lo:hi],
-                           self.count[self.context[lo:hi]], table[used], own.astype(np.uint32), self.hot[lo:hi])
+            payload = pack(np.diff(self.ids[lo:hi], prepend=np.uint64(0)), self.word[lo:hi], self.asked[lo:hi].astype(np.uint32),
+                           self.count[self.context[lo:hi]].astype(np.uint32 if self.count.max(initial=0) < 1 << 32 else np.int64), table[used], own.astype(np.uint32), self.hot[lo:hi])
             rows.append((int(self.bucket[lo]), self.id, payload))
         return pd.DataFrame(rows, columns=["bucket", "block_id", "payload"])
 
@@ -247,7 +247,10 @@ def _merge_grams(key: tuple, rows: pd.DataFrame, last: bool) -> pd.DataFrame:
     with np.errstate(over="ignore"):
         ids = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     words, asked, known = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    sizes = [len(p[0]) for p in parts]
     lower, hot = np.concatenate([p[4][p[5]] for p in parts]), np.concatenate([p[6] for p in parts])
+    blocks = list(rows.block_id)
+    del parts, rows
     order = np.lexsort((words, ids))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(ids[order]) != 0) | (np.diff(words[order]) != 0)
@@ -262,8 +265,7 @@ def _merge_grams(key: tuple, rows: pd.DataFrame, last: bool) -> pd.DataFrame:
     masses = [np.bincount(of[total == r], minlength=len(contexts)) for r in range(1, LARGEST + 1)]
     masses.append(np.bincount(of, weights=np.where(total > LARGEST, total, 0), minlength=len(contexts)))
     out, at = [], 0
-    for block_id, p in zip(rows.block_id, parts):
-        n = len(p[0])
+    for block_id, n in zip(blocks, sizes):
         own = rank[at:at + n]
         used, which = np.unique(of[own], return_inverse=True)
         out.append((key[0], block_id, pack(total[own].astype(np.uint32), own[:0 if last else n].astype(np.uint32), which.astype(np.uint32), lower_sum[used],
