@@ -149,23 +149,32 @@ def hashed_words(column: pa.Array, lower: bool = True, separators: np.ndarray =
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed value, byte planes apart (like bytes stand together); see :func:`unpack`."""
-    head, body = [], []
+    """Arrays in one value, each byte plane compressed for itself (like bytes stand together); see :func:`unpack`."""
+    zip_, head, body = zstandard.ZstdCompressor(level=3, write_content_size=True), [struct.pack("<i", len(arrays))], []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        head.append(struct.pack("<3sq", a.dtype.str[1:].encode().ljust(3, b"\0"), len(a)))
-        body.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"")
-    return struct.pack("<i", len(arrays)) + b"".join(head) + zstandard.ZstdCompressor(level=3).compress(b"".join(body))
+        planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T if len(a) else []
+        zipped = [zip_.compress(x.tobytes()) if x.any() else b"" for x in planes]   # a plane of zeros takes no bytes
+        head.append(struct.pack(f"<3sq{a.dtype.itemsize}i", a.dtype.str[1:].encode().ljust(3, b"\0"), len(a),
+                                *(len(x) for x in zipped or [b""] * a.dtype.itemsize)))
+        body += zipped
+    return b"".join(head + body)
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
-    n, out, at = struct.unpack_from("<i", value)[0], [], 0
-    body = zstandard.ZstdDecompressor().decompress(bytes(value[4 + 11 * n:]))
-    for k in range(n):
-        kind, rows = struct.unpack_from("<3sq", value, 4 + 11 * k)
-        dtype = np.dtype("<" + kind.rstrip(b"\0").decode()) if kind[:1] != b"b" else np.dtype("bool")
-        size = rows * dtype.itemsize
-        planes = np.frombuffer(body, np.uint8, size, at).reshape(dtype.itemsize, rows)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype) if rows else np.zeros(0, dtype))
-        at += size
+    value = memoryview(value)
+    (n,), at, heads = struct.unpack_from("<i", value), 4, []
+    for _ in range(n):
+        kind, rows = struct.unpack_from("<3sq", value, at)
+        dtype = np.dtype(kind.rstrip(b"\0").decode())
+        heads.append((dtype, rows, struct.unpack_from(f"<{dtype.itemsize}i", value, at + 11)))
+        at += 11 + 4 * dtype.itemsize
+    unzip, out = zstandard.ZstdDecompressor(), []
+    for dtype, rows, sizes in heads:
+        planes = np.zeros((rows, dtype.itemsize), np.uint8)
+        for k, size in enumerate(sizes):
+            if size:
+                planes[:, k] = np.frombuffer(unzip.decompress(value[at:at + size]), np.uint8)
+                at += size
+        out.append(planes.reshape(-1).view(dtype) if rows else np.zeros(0, dtype))
     return out
