@@ -136,10 +136,7 @@ class Block:
         self.count = np.concatenate([c for _, c, _ in parts])
         self.gram_id = np.concatenate([(np.uint64(b) << np.uint64(40)) + rank.astype(np.uint64) for b, _, rank in parts])
         self.word_count, self.word_id = self.count, self.gram_id
-        known, total = self.p["discounts"][0], self.p["discounts"][0].total
-        seen = self.count > 0
-        mass = np.where(seen, known.mass(np.maximum(self.count, 1)), 0.0)
-        self.prob = np.where(seen, mass / max(total + self.p["extra"], 1), self.p["unknown"])
+        self.prob = _word_prob(self.count, self.p)
         self.gram = self.tokens
 
     def grams(self, level: int) -> None:
@@ -165,17 +162,21 @@ class Block:
         self.next = np.full(len(self.tokens), -1, np.int64)
         self.next[self.valid] = back[inverse]
         self.bucket, self.context, self.ids, self.word, self.hot = bucket[order], context[order], ids[order], words[order], hot[order]
-        self.lower_prob = self.prob[lower[order]]
+        self.lower_prob, self.lower_count = self.prob[lower[order]], self.count[lower[order]] if level == 2 else None
         self.asked = np.bincount(self.next[self.valid & self.learn], minlength=len(order)).astype(np.int64)
 
     def ask_grams(self) -> pd.DataFrame:
-        table, code = np.unique(self.lower_prob, return_inverse=True)
+        """Questions by bucket.  The lower order's probability goes as the word's count where that determines it
+        (level 2), otherwise as a table of the distinct values and a number for each gram."""
+        plain = self.lower_count is not None
+        table, code = (None, None) if plain else np.unique(self.lower_prob, return_inverse=True)
         rows = []
         edges = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for lo, hi in zip(edges, [*edges[1:], len(self.bucket)]):
-            used, own = np.unique(code[lo:hi], return_inverse=True)
+            used, own = (None, None) if plain else np.unique(code[lo:hi], return_inverse=True)
+            lower = (np.zeros(0), self.lower_count[lo:hi].astype(np.uint64)) if plain else (table[used], own.astype(np.uint32))
             payload = pack(np.diff(self.ids[lo:hi], prepend=np.uint64(0)), self.word[lo:hi], self.asked[lo:hi].astype(np.uint32),
-                           self.count[self.context[lo:hi]].astype(np.uint32 if self.count.max(initial=0) < 1 << 32 else np.int64), table[used], own.astype(np.uint32), self.hot[lo:hi])
+                           self.count[self.context[lo:hi]].astype(np.uint32 if self.count.max(initial=0) < 1 << 32 else np.int64), *lower, self.hot[lo:hi])
             rows.append((int(self.bucket[lo]), self.id, payload))
         return pd.DataFrame(rows, columns=["bucket", "block_id", "payload"])
 
@@ -219,6 +220,12 @@ class Block:
         return out
 
 
+def _word_prob(count: np.ndarray, params: dict) -> np.ndarray:
+    """Level 1: a word's probability is a function of its count alone."""
+    rule = params["discounts"][0]
+    return np.where(count > 0, rule.mass(np.maximum(count, 1)) / max(rule.total + params["extra"], 1), params["unknown"])
+
+
 def _hist(total: np.ndarray) -> list[int]:
     counts = np.bincount(np.minimum(total[total > 0], LARGEST + 2), minlength=LARGEST + 3)
     return [*map(int, counts[1:LARGEST + 2]), int(total.sum()), int((total > 0).sum())]
@@ -241,14 +248,14 @@ def _merge_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "block_id", "payload", "hist", "hot"])
 
 
-def _merge_grams(key: tuple, rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+def _merge_grams(key: tuple, rows: pd.DataFrame, last: bool, params: dict) -> pd.DataFrame:
     """Totals of a bucket's grams; their numbers go back only if a further level builds on them."""
     parts = [unpack(x) for x in rows.payload]
     with np.errstate(over="ignore"):
         ids = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     words, asked, known = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
     sizes = [len(p[0]) for p in parts]
-    lower, hot = np.concatenate([p[4][p[5]] for p in parts]), np.concatenate([p[6] for p in parts])
+    lower, hot = np.concatenate([p[4][p[5]] if len(p[4]) else _word_prob(p[5].astype(np.int64), params) for p in parts]), np.concatenate([p[6] for p in parts])
     blocks = list(rows.block_id)
     del parts, rows
     order = np.lexsort((words, ids))
@@ -314,9 +321,9 @@ def _hot_sums(merged: DataFrame):
     return ids[order], np.array([list(r)[1:] for r in found], float)[order]
 
 
-def _merging(last: bool):
+def _merging(last: bool, params: dict):
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _merge_grams(key, rows, last)
+        return _merge_grams(key, rows, last, params)
 
     return merge
 
@@ -352,7 +359,7 @@ def katz_scores(docs: DataFrame, train, order: int = 2, id_column: str = "doc_id
             asked, merge = blocks.mapInArrow(ask_words, ASKED), _merge_words
         else:
             asked, merge = blocks.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInPandas(
-                _asking(level, dict(params)), ASKED), _merging(level == order)
+                _asking(level, dict(params)), ASKED), _merging(level == order, dict(params))
         merged = stored(asked.groupBy("bucket").applyInPandas(merge, MERGED), f"katz-model/level={level}")
         params["discounts"] = [*params["discounts"], _discounts(merged)]
         if level == 1:
