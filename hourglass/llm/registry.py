@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import katz
+from . import katz, packing, token_store, urls
 
 QUERIES = {
+    "op1_url_templates": urls.op1_url_templates,
     "op2_katz_backoff": katz.op2_katz_backoff,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_token_store": token_store.op4_token_store,
 }
 SQL: dict[str, str] = {}
