@@ -34,7 +34,7 @@ from .common import WORD, stored
 #: Permitted sequence lengths and the cost of a bin of each: its tokens and a share that grows with their square.
 SIZES = (512, 1024, 2048, 4096)
 #: Rows that one (length, salt) group holds on average at most.
-GROUP_ROWS = 100_000
+GROUP_ROWS = 10_000
 
 
 def cost(size: int) -> float:

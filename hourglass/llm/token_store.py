@@ -23,7 +23,6 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
@@ -34,15 +33,15 @@ from pyspark.sql import functions as F
 
 from hourglass.session import scratch_path
 
-from .common import pieces, text_bytes
+from .common import hashed, pieces, text_bytes, word_spans
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 2_000_000
 #: Words whose ids a Python worker remembers.
 CACHED_WORDS = 1_000_000
 SAMPLE = 256
-ODD_SPACE = re.compile("[\x1c-\x1f]")   # blank to str.split, not to the tokenizers' \s
-ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: Words of a line that is encoded at once; marks that are a piece of their own after letters.
+LINE_WORDS, MARKS = 1000, frozenset(".,;:!?")
 
 BLOCK_FORM = "shard int, seq int, first_id long, n_docs long, shard_start long, n_ids long, block binary"
 
@@ -132,50 +131,86 @@ class TokenBlock:
         return [None] * self.nulls + (self.names.all().astype(np.int64) + self.least).tolist()
 
 
-_WORKER: dict = {}   # per Python worker: the tokenizer and the words it has seen
+class WordEncoder:
+    """Encodes words with a tokenizer for which blanks only part words, and remembers what it has seen.
 
+    Words of letters, and such words with one mark at their end, make one and
+    two pieces, each of which ends in a token with the end-of-word suffix; they
+    are encoded in long lines, which is several times faster than one by one.
+    All other words are encoded for themselves.
+    """
 
-def _encoder(text: str):
-    key = zlib.crc32(text.encode())
-    if _WORKER.get("key") != key:
+    def __init__(self, text: str):
+        import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _WORKER.update(key=key, tokenizer=Tokenizer.from_str(text), words={}, ends=[0], ids=np.zeros(1 << 16, np.uint32))
-    return _WORKER
-
-
-def encode_words(state: dict, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids one after the other, number of ids of each word); blanks never join words for this kind of tokenizer."""
-    known, ends = state["words"], state["ends"]
-    if len(known) > CACHED_WORDS:
-        known, ends = {}, [0]
-        state.update(words=known, ends=ends)
-    new = list({w for w in words if w not in known})
-    if new:
-        coded = [e.ids for e in state["tokenizer"].encode_batch_fast(new, add_special_tokens=False)]
-        at = ends[-1]
-        flat = np.fromiter((i for x in coded for i in x), np.uint32)
-        if at + len(flat) > len(state["ids"]):
-            state["ids"] = np.concatenate([state["ids"][:at], np.zeros(at + 2 * len(flat), np.uint32)])
-        state["ids"][at:at + len(flat)] = flat
-        for w, x in zip(new, coded):
-            known[w] = len(ends) - 1
-            at += len(x)
-            ends.append(at)
-        state["bounds"] = np.array(ends, np.int64)
-    number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    bounds = state.get("bounds", np.zeros(1, np.int64))
-    first = bounds[number] if len(number) else number
-    count = bounds[number + 1] - first if len(number) else number
-    start = np.concatenate(([0], np.cumsum(count)))
-    return state["ids"][np.arange(start[-1]) - np.repeat(start[:-1] - first, count)], count
-
-
-def _split(text: str) -> list[str]:
-    if ODD_SPACE.search(text):
-        return [w for w in ASCII_SPACE.split(text) if w]
-    return text.split()
+        self.tokenizer = Tokenizer.from_str(text)
+        model = json.loads(text)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends_piece = None
+        if suffix:
+            self.ends_piece = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends_piece[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.ids, self.bounds = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _pieces(self, word: str) -> int:
+        low = word.lower()
+        return 1 if low.isalpha() else 2 if low[-1:] in MARKS and low[:-1].isalpha() else 0
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order in which the words were encoded, their ids in that order, number of ids of each)."""
+        order, flat, counts = [], [], []
+        parts = np.array([self._pieces(w) for w in words] if self.ends_piece is not None else [0] * len(words), np.int64)
+        plain = np.flatnonzero(parts)
+        for k in range(0, len(plain), LINE_WORDS):
+            at = plain[k:k + LINE_WORDS]
+            ids = np.array(self.tokenizer.encode(" ".join([words[i] for i in at]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_piece[ids])
+            if len(ends) != parts[at].sum():   # not such words after all
+                parts[at] = 0
+                continue
+            order.append(at)
+            flat.append(ids)
+            counts.append(np.diff(ends[np.cumsum(parts[at]) - 1], prepend=-1))
+        rest = np.flatnonzero(parts == 0)
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        return (np.concatenate([*order, rest]), np.concatenate([*flat, np.array([i for x in coded for i in x], np.uint32)]),
+                np.concatenate([*counts, np.array([len(x) for x in coded], np.int64)]).astype(np.int64))
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each word) of the words data[start:end]; a 64-bit hash tells words apart."""
+        if len(self.numbers) > CACHED_WORDS:
+            self.forget()
+        distinct, at, which = np.unique(hashed(data, starts, ends), return_index=True, return_inverse=True)
+        number = np.array([self.numbers.get(x, -1) for x in distinct.tolist()], np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            raw = data.tobytes()
+            order, ids, count = self._encode([raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            number[new[order]] = len(self.numbers) + np.arange(len(new))
+            self.numbers.update(zip(distinct[new].tolist(), number[new].tolist()))
+            self.ids = np.concatenate([self.ids, ids])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(count)])
+        number = number[which]
+        first = self.bounds[number]
+        count = self.bounds[number + 1] - first if len(number) else first
+        start = np.concatenate(([0], np.cumsum(count)))
+        return self.ids[np.arange(start[-1]) - np.repeat(start[:-1] - first, count)], count
+
+
+_WORKER: dict = {}   # per Python worker: its encoder
+
+
+def _encoder(text: str) -> WordEncoder:
+    key = zlib.crc32(text.encode())
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = WordEncoder(text)
+    return _WORKER[key]
 
 
 def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> None:
@@ -188,15 +223,14 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
     model = spark.sparkContext.broadcast(tokenizer_json)   # one vocabulary file
 
     def encode(batches):
-        state, dealt = _encoder(model.value), 0
+        encoder, dealt = _encoder(model.value), 0
         for batch in batches:
-            _, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(1))
             for lo, hi in pieces(offsets):
-                texts, ids = batch.column(1).slice(lo, hi - lo).to_pylist(), batch.column(0).slice(lo, hi - lo)
-                words = [_split(t) if t else [] for t in texts]
-                coded, count = encode_words(state, [w for ws in words for w in ws])
-                per_word = np.concatenate(([0], np.cumsum(count)))
-                bound = per_word[np.concatenate(([0], np.cumsum([len(w) for w in words])))]
+                part, ids = data[offsets[lo]:offsets[hi]], batch.column(0).slice(lo, hi - lo)
+                starts, ends, first = word_spans(part, offsets[lo:hi + 1] - offsets[lo])
+                coded, count = encoder(part, starts, ends)
+                bound = np.concatenate(([0], np.cumsum(count)))[first]
                 number = np.asarray(ids.fill_null(0), np.int64)
                 least, most = np.searchsorted(cuts, number, "left"), np.searchsorted(cuts, number, "right")
                 shard = np.where(np.asarray(ids.is_null()), 0, np.where(most > least + 1, least + (dealt + np.arange(len(least))) % (most - least + 1), least))
@@ -205,7 +239,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
                 end = np.array([end_id], kind).tobytes()
                 coded = coded.astype(kind)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(shard.astype(np.int32)), ids, pa.array(np.full(len(texts), int(kind[-1]), np.int8)),
+                    pa.array(shard.astype(np.int32)), ids, pa.array(np.full(hi - lo, int(kind[-1]), np.int8)),
                     pa.array([coded[a:b].tobytes() + end for a, b in zip(bound, bound[1:])], pa.binary())], ["shard", "doc_id", "width", "ids"])
 
     def to_blocks(batches):
