@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import katz, packing, token_store, urls
+from . import katz, language, ngram_jaccard, packing, token_store, urls
 
 QUERIES = {
     "op1_url_templates": urls.op1_url_templates,
     "op2_katz_backoff": katz.op2_katz_backoff,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_token_store": token_store.op4_token_store,
+    "op5_language_spans": language.op5_language_spans,
+    "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
+}
+SQL: dict[str, str] = {
+    "op6_ngram_jaccard": ngram_jaccard.OP6_SQL,
 }
-SQL: dict[str, str] = {}
