@@ -32,7 +32,7 @@ from .common import stored
 
 #: Rows of the sample that the index is fitted on (by expectation), rows of a part at that, neighbours in the graph,
 #: parts that a query looks into, rows of a block.
-SAMPLE_ROWS, PART_ROWS, GRAPH, PROBES, BLOCK_ROWS = 12_000, 500, 12, 12, 2_000
+SAMPLE_ROWS, PART_ROWS, GRAPH, PROBES, BLOCK_ROWS = 12_000, 500, 12, 18, 2_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:

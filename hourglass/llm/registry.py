@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import katz, language, ngram_jaccard, packing, token_store, urls
+from . import decontamination, katz, language, neighbours, ngram_jaccard, packing, private_data, quality, token_store, urls
 
 QUERIES = {
     "op1_url_templates": urls.op1_url_templates,
@@ -11,6 +11,10 @@ QUERIES = {
     "op4_token_store": token_store.op4_token_store,
     "op5_language_spans": language.op5_language_spans,
     "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
+    "op7_quality": quality.op7_quality,
+    "op8_learned_partitions": neighbours.op8_learned_partitions,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_pii_field": private_data.op10_pii_field,
 }
 SQL: dict[str, str] = {
     "op6_ngram_jaccard": ngram_jaccard.OP6_SQL,
