@@ -7,9 +7,9 @@ Words are lower-cased runs of ASCII letters, digits and bytes beyond ASCII.
 Windows of every item length at every word are looked at:
 
 1. q-gram lemma: a window within K edits of an item of n words has at least
-   n - 1 - 2K word pairs (n - K words, for items under 8 words) from items.
-   Counting hits in a bitmap of hashed pairs leaves out, without loss, nearly
-   all windows.
+   n - 1 - 2K word pairs (n - K words, for items under 8 words) of the item.
+   Counting hits in a table of hashed pairs, with a bit for each item length,
+   leaves out, without loss, nearly all windows.
 2. CGK embedding: a random walk through a window's words writes 3n symbols; it
    repeats a symbol or goes on by a random bit of (step, word).  Small edit
    distance becomes small Hamming distance.
@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import hashed_words, mixed, randoms
 
-RATIO, WALKS, SAMPLES, PLACES, ITEM_BLOCK = 0.2, 6, 8, 2, 20_000
+RATIO, WALKS, SAMPLES, PLACES, ITEM_BLOCK = 0.2, 4, 12, 2, 20_000
+#: Windows that are embedded together at most.
+TOGETHER = 16_384
 #: The bitmap's size as a power of two; items under SHORT words count words instead of pairs.
-BITS, SHORT = 23, 8
+BITS, SHORT = 20, 8
 
 SEPARATORS = np.arange(256) < 128
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -53,19 +55,20 @@ def _pairs(words: np.ndarray) -> np.ndarray:
         return mixed(words * np.uint64(0x9E3779B97F4A7C15) + np.roll(words, -1))
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embeddings of equally long rows of word hashes: rows of 3n symbols."""
+def embed(windows: np.ndarray, walk: int, steps: int | None = None) -> np.ndarray:
+    """CGK embeddings of equally long rows of word hashes: rows of 3n symbols (or the first ``steps``)."""
     rows, n = windows.shape
+    steps = steps or 3 * n
     padded = np.concatenate([windows, np.full((rows, 1), PAD)], 1)
     turns = randoms(100 + walk, 3 * n) | np.uint64(1)
-    out, at, every = np.empty((rows, 3 * n), np.uint64), np.zeros(rows, np.int64), np.arange(rows)
-    for step in range(3 * n):
-        symbol = padded[every, at]
-        out[:, step] = symbol
+    out, at, line = np.empty((steps, rows), np.uint64), np.zeros(rows, np.int64), np.arange(rows) * (n + 1)
+    flat = padded.reshape(-1)
+    for step in range(steps):
+        symbol = out[step] = flat[line + at]
         with np.errstate(over="ignore"):
             at += ((symbol * turns[step]) >> np.uint64(63)).astype(np.int64)
         np.minimum(at, n, out=at)
-    return out
+    return out.T
 
 
 def keys(windows: np.ndarray) -> np.ndarray:
@@ -73,10 +76,10 @@ def keys(windows: np.ndarray) -> np.ndarray:
     n = windows.shape[1]
     out = []
     for walk in range(WALKS):
-        symbols = embed(windows, walk)
+        symbols = embed(windows, walk, 2 * n)   # sampled places: the walk's end is mostly padding
         for sampling in range(SAMPLES):
             number = np.uint64(walk * SAMPLES + sampling + 1)
-            at = (randoms(500 + int(number), PLACES) % np.uint64(2 * n)).astype(np.int64)   # the walk's end is mostly padding
+            at = (randoms(500 + int(number), PLACES) % np.uint64(2 * n)).astype(np.int64)
             with np.errstate(over="ignore"):
                 key = np.full(len(windows), number)
                 for place in at:
@@ -111,72 +114,93 @@ class ItemIndex:
 
     def __init__(self, item_ids: list, words: list[np.ndarray], ratio: float):
         self.by_length: dict = {}
-        self.pairs, self.words = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
+        # for each hash slot, a bit for each item length that has such a pair (or word, for short items)
+        self.slots = {True: np.zeros(1 << BITS, np.uint64), False: np.zeros(1 << BITS, np.uint64)}
         shift = np.uint64(64 - BITS)
-        for n in sorted({len(w) for w in words if len(w)}):
+        for number, n in enumerate(sorted({len(w) for w in words if len(w)})):
             at = [k for k, w in enumerate(words) if len(w) == n]
             own = np.stack([words[k] for k in at])
-            most = int(ratio * n)
-            if n >= SHORT:
-                for w in own:
-                    self.pairs[_pairs(w)[:-1] >> shift] = True
-            else:
-                self.words[own.reshape(-1) >> shift] = True
+            most, bit, long = int(ratio * n), np.uint64(1) << np.uint64(number % 64), n >= SHORT
+            grams = np.concatenate([_pairs(w)[:-1] for w in own]) if long else own.reshape(-1)
+            np.bitwise_or.at(self.slots[long], (grams >> shift).astype(np.int64), bit)
             key = keys(own)
             order = np.argsort(key, axis=0, kind="stable")
-            self.by_length[n] = ([item_ids[k] for k in at], own, most, np.take_along_axis(key, order, 0), order,
-                                 n - 1 - 2 * most if n >= SHORT else n - most)
-        # lengths close to each other are tested together first
-        self.groups: list[list[int]] = []
-        for n in self.by_length:
-            if self.groups and n <= self.groups[-1][0] * 1.25 and (n >= SHORT) == (self.groups[-1][0] >= SHORT):
-                self.groups[-1].append(n)
-            else:
-                self.groups.append([n])
-
-    def find(self, words: np.ndarray, first: np.ndarray):
-        """(row, item id, start word, distance): for each row and item the window of least distance, the first of those."""
-        found: dict = {}
+            self.by_length[n] = ([item_ids[k] for k in at], own, most, np.take_along_axis(key, order, 0), order, bit,
+                                 n - 1 - 2 * most if long else n - most)
+
+    def windows(self, words: np.ndarray, first: np.ndarray):
+        """(n, starts) of the windows that may hold an item of n words."""
         if not len(words) or not self.by_length:
-            return found
+            return
         shift = np.uint64(64 - BITS)
+        filled = np.diff(first) > 0
         end = np.repeat(first[1:], np.diff(first))                # where each word's row ends
-        pair = self.pairs[_pairs(words) >> shift]
-        pair[first[1:][np.diff(first) > 0] - 1] = False           # a row's last word has no follower
-        sums = {True: np.concatenate(([0], np.cumsum(pair))), False: np.concatenate(([0], np.cumsum(self.words[words >> shift])))}
-        place = np.arange(len(words))
-        for group in self.groups:
-            long = group[0] >= SHORT
-            total, cut = sums[long], int(long)
-            least = min(self.by_length[n][5] for n in group)
-            some = np.flatnonzero(total[np.minimum(place + group[-1] - cut, end)] - total[:-1] >= least)
-            for n in group:
-                ids, own, most, key, order, need = self.by_length[n]
-                start = some[some + n <= end[some]]
-                start = start[total[start + n - cut] - total[start] >= need]
-                for lo in range(0, len(start), 4096):
-                    self._look(words, first, start[lo:lo + 4096], n, found)
+        pair = self.slots[True][_pairs(words) >> shift]
+        pair[first[1:][filled] - 1] = 0                           # a row's last word has no follower
+        hits = {}
+        for long, mask in ((True, pair), (False, self.slots[False][words >> shift])):
+            at = np.flatnonzero(mask)
+            hits[long] = (at, mask[at])
+        for n, (_, _, _, _, _, bit, need) in self.by_length.items():
+            at, mask = hits[n >= SHORT]
+            at = at[(mask & bit) != 0]
+            reach = n - 2 if n >= SHORT else n - 1
+            if len(at) < need:
+                continue
+            # runs of ``need`` hits that one window can hold, and the windows that hold them
+            tight = np.flatnonzero(at[need - 1:] - at[:len(at) - need + 1] <= reach)
+            if not len(tight):
+                continue
+            lo, hi = np.maximum(at[tight + need - 1] - reach, 0), at[tight]
+            count = hi - lo + 1
+            start = np.unique(np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - lo, count))
+            start = start[start + n <= end[start]]
+            if len(start):
+                yield n, start
+
+    def search(self, column: pa.Array) -> dict:
+        """(row, length, item) -> (distance, start word): for each row and item the window of least distance, the first of those."""
+        found: dict = {}
+        waiting: dict = {}
+        for lo, _, words, first in hashed_words(column, True, SEPARATORS):
+            for n, start in self.windows(words, first):
+                row = np.searchsorted(first, start, "right") - 1
+                for k in range(0, len(start), TOGETHER):
+                    part = start[k:k + TOGETHER]
+                    own = row[k:k + TOGETHER]
+                    held = waiting.setdefault(n, [])
+                    held.append((words[part[:, None] + np.arange(n)], own + lo, part - first[own]))
+                    if sum(len(x[1]) for x in held) >= TOGETHER:
+                        self._look(n, held, found)
+                        held.clear()
+        for n, held in waiting.items():
+            if held:
+                self._look(n, held, found)
         return found
 
-    def _look(self, words, first, start, n, found) -> None:
-        ids, own, most, key, order, _ = self.by_length[n]
-        windows = words[start[:, None] + np.arange(n)]
-        pairs = set()
+    def _look(self, n: int, held: list, found: dict) -> None:
+        windows, row, start = (np.concatenate(x) for x in zip(*held))
+        _, own, most, key, order, _, _ = self.by_length[n]
         mine = keys(windows)
+        pairs = []
         for c in range(mine.shape[1]):
             lo, hi = np.searchsorted(key[:, c], mine[:, c], "left"), np.searchsorted(key[:, c], mine[:, c], "right")
-            for w in np.flatnonzero(hi > lo).tolist():
-                pairs.update((w, int(k)) for k in order[lo[w]:hi[w], c])
+            count = hi - lo
+            if count.any():
+                w = np.repeat(np.arange(len(windows)), count)
+                pairs.append(w * len(own) + order[np.arange(len(w)) - np.repeat(np.cumsum(count) - count - lo, count), c])
         if not pairs:
             return
-        w, k = np.array(sorted(pairs)).T
-        distance = np.where((windows[w] == own[k]).all(1), 0, -1)
-        open_ = np.flatnonzero(distance < 0)
+        w, k = np.divmod(np.unique(np.concatenate(pairs)), len(own))
+        distance = np.where((windows[w] == own[k]).all(1), 0, most + 1)
+        # a row's item that stands there unchanged needs no further distances
+        whole = np.unique((row[w] * len(own) + k)[distance == 0])
+        open_ = np.flatnonzero((distance > 0) & ~np.isin(row[w] * len(own) + k, whole))
         if len(open_):
             distance[open_] = edit_distances(windows[w[open_]], own[k[open_]], most)
-        row = np.searchsorted(first, start[w], "right") - 1
-        for r, item, s, d in zip(row.tolist(), k.tolist(), (start[w] - first[row]).tolist(), distance.tolist()):
-            if d <= most and (d, s) < found.get((r, n, item), (most + 1, 0)):
+        near = np.flatnonzero(distance <= most)
+        for r, item, s, d in zip(row[w[near]].tolist(), k[near].tolist(), start[w[near]].tolist(), distance[near].tolist()):
+            if (d, s) < found.get((r, n, item), (most + 1, 0)):
                 found[r, n, item] = (d, s)
 
     def name(self, n: int, item: int):
@@ -202,13 +226,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) ->
     for index in item_indexes(benchmark, ratio):
         def look(batches, index=index):
             for batch in batches:
-                for lo, _, words, first in hashed_words(batch.column(1), True, SEPARATORS):
-                    found = index.value.find(words, first)
-                    if found:
-                        yield pa.RecordBatch.from_arrays([
-                            batch.column(0).take(pa.array([lo + r for r, _, _ in found])), pa.array([index.value.name(n, i) for _, n, i in found], pa.int64()),
-                            pa.array([s for _, s in found.values()], pa.int64()), pa.array([d for d, _ in found.values()], pa.int32())],
-                            ["doc_id", "item_id", "start_word", "distance"])
+                found = index.value.search(batch.column(1))
+                if found:
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(pa.array([r for r, _, _ in found])), pa.array([index.value.name(n, i) for _, n, i in found], pa.int64()),
+                        pa.array([s for _, s in found.values()], pa.int64()), pa.array([d for d, _ in found.values()], pa.int32())],
+                        ["doc_id", "item_id", "start_word", "distance"])
 
         part = rows.mapInArrow(look, "doc_id long, item_id long, start_word long, distance int")
         out = part if out is None else out.unionByName(part)
@@ -222,8 +245,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = RA
         def keep(batches, index=index):
             for batch in batches:
                 stay = np.ones(len(batch), bool)
-                for lo, _, words, first in hashed_words(batch.column(place), True, SEPARATORS):
-                    stay[[lo + r for r, _, _ in index.value.find(words, first)]] = False
+                stay[[r for r, _, _ in index.value.search(batch.column(place))]] = False
                 yield batch.filter(pa.array(stay))
 
         docs = docs.mapInArrow(keep, docs.schema)
