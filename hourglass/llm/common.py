@@ -7,6 +7,7 @@ those bytes inside a character, so bytes and characters split alike.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 
 import numpy as np
@@ -25,7 +26,7 @@ SEPARATORS[[0x20, 9, 10, 11, 12, 13]] = True
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 #: Bytes of text that are handled at once (a longer document is a piece of its own).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def remainder(column: str, modulus: int):
@@ -138,6 +139,14 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         return mixed(np.add.reduceat(value, first) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def hashed_words(column: pa.Array, lower: bool = True, separators: np.ndarray = SEPARATORS):
     """For pieces of a text column: (lo, hi, word hashes, first word of each row and the total)."""
     data, offsets = text_bytes(column)
@@ -146,6 +155,7 @@ def hashed_words(column: pa.Array, lower: bool = True, separators: np.ndarray =
         part = LOWERED[part] if lower else part
         starts, ends, first = word_spans(part, offsets[lo:hi + 1] - offsets[lo], separators)
         yield lo, hi, hashed(part, starts, ends), first
+    release()
 
 
 def pack(*arrays: np.ndarray) -> bytes:

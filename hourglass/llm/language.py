@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, pack, pieces, remainder, text_bytes, unpack, word_spans
+from .common import LOWERED, pack, pieces, release, remainder, text_bytes, unpack, word_spans
 from .sequences import viterbi
 
 #: Rows that the table is fitted on at most (by expectation); trigram slots; words decoded together; switching penalty.
-FIT_ROWS, SLOTS, DECODE_WORDS, PENALTY = 20_000, 1 << 16, 1_000_000, 8.0
+FIT_ROWS, SLOTS, DECODE_WORDS, PENALTY = 20_000, 1 << 16, 600_000, 8.0
 
 # Scripts by the first byte of a UTF-8 letter (E0-EF: the largest script of that byte).
 SCRIPTS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCC), 0xE1], "greek": [0xCE, 0xCF],
@@ -111,6 +111,7 @@ class LanguageModel:
                 labels = viterbi(np.concatenate([h[2] for h in held]), first, self.transition)
                 yield (held[0][0], held[-1][1], labels, np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held]), first)
                 held, words = [], 0
+                release()
 
     def predict(self, column: pa.Array, spans: bool = False):
         """(language, score, list of spans or None) of each row."""

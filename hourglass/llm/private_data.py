@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes, word_spans
+from .common import pieces, release, text_bytes, word_spans
 from .sequences import viterbi
 
 #: Kinds in order, patterns.
@@ -228,6 +228,7 @@ def windows(column: pa.Array):
             spans = list(zip((chars[starts[at]] - base).tolist(), (chars[ends[at]] - base).tolist()))
             cuts = [0, *(np.flatnonzero(np.diff(at) > 1) + 1).tolist(), len(at)]
             yield lo + r, part[bounds[r]:bounds[r + 1]].tobytes().decode(), [spans[x:y] for x, y in zip(cuts, cuts[1:])]
+    release()
 
 
 def labelled_windows(docs: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[list[str], list[int]]]:

@@ -467,7 +467,7 @@ def test_base_spans():
         assert [(a, b) for a, k, b in private_data.base_spans(t) if k == 0] == [m.span() for m in EMAIL.finditer(t)], t
     card = "4111 1111 1111 1111"
     assert private_data.base_spans(f"é {card}, 1.2.3.4 256.1.1.1 +1 (269) 555-3296 +") == [(2, 2, 21), (23, 1, 30), (41, 3, 58)]
-    assert not private_data.base_spans("4111 1111 1111 1112 1.2.3 555-3296")
+    assert not private_data.base_spans("4111 1111 1111 1112, 1.2.3 555-3296")
     assert private_data.masked("a b c d", [(0, 0, 3), (2, 3, 5), (6, 1, 7)]) == "<EMAIL> <IP>"
 
 
