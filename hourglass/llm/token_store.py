@@ -226,7 +226,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
         encoder, dealt = _encoder(model.value), 0
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, 2 << 20):
                 part, ids = data[offsets[lo]:offsets[hi]], batch.column(0).slice(lo, hi - lo)
                 starts, ends, first = word_spans(part, offsets[lo:hi + 1] - offsets[lo])
                 coded, count = encoder(part, starts, ends)
