@@ -35,7 +35,7 @@ def training_frame(series: DataFrame, keys=(), window: int = 72, horizon: int =
 
 def estimator(kind: str, label: str, pred: str, **params):
     if kind == "forest":
-        p = {"numTrees": 100, "seed": 42, "featureSubsetStrategy": "all", "maxDepth": 12, "maxBins": 32,
+        p = {"numTrees": 100, "seed": 42, "featureSubsetStrategy": "all", "maxDepth": 30, "maxBins": 32,
              "maxMemoryInMB": 256, "cacheNodeIds": True}
         p.update(params)
         return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol=pred, **p)

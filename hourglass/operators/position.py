@@ -16,6 +16,8 @@ its measured size is under the broadcast threshold and shuffles otherwise.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ def with_position(
 
     ``order_cols`` must identify rows uniquely within a key (ties would make
     the position arbitrary); the first column must be monotone with ``bucket``.
+    Rows with a null key are a series of their own; rows with a null first
+    order column come first.
     ``unit`` sets the calendar bucket (``day`` for hourly data, ``month`` or
     ``year`` for daily data) so that a bucket holds many rows but a bounded number.
     """
@@ -50,7 +54,10 @@ def with_position(
         F.coalesce(F.sum("_cnt").over(per_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(*keys)).alias("_n"),
     )
-    joined = b.join(offsets, on=keys + ["_bucket"], how="inner")
+    on = keys + ["_bucket"]
+    offsets = offsets.select(*[F.col(c).alias(f"_at_{c}") for c in on], "_off", "_n")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in on])
+    joined = b.join(offsets, on=same, how="inner").drop(*[f"_at_{c}" for c in on])
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order_cols)
     out = joined.withColumn(idx_col, (F.col("_off") + F.row_number().over(within) - 1).cast("bigint"))
     if count_col:

@@ -71,7 +71,8 @@ def expected_of(df: DataFrame) -> Column:
 
     flat = F.struct(top_time.alias("forecast_target_time"),
                     *[field(df, f"predicted_{m}", "double").alias(m) for m in MEASURES])
-    out = flat
+    none_given = reduce(lambda a, b: a & b, [field(df, f"predicted_{m}", "double").isNull() for m in MEASURES])
+    out = F.when(none_given, F.raise_error(F.lit("a record states no expected forecast"))).otherwise(flat)
     for name, build in (("expected_prediction", lambda: from_nested("expected_prediction")),
                         ("prediction", lambda: from_nested("prediction")),
                         ("tool_output", from_tool)):
@@ -80,8 +81,10 @@ def expected_of(df: DataFrame) -> Column:
     return out
 
 
-def response_text(df: DataFrame) -> Column:
-    """``final_response`` if present, else ``llm_response``, else '' (PRJ-13)."""
+def response_text(df: DataFrame, profile: str = "v2") -> Column:
+    """``final_response`` if present, else ``llm_response``, else ''; profile v1 reads ``llm_response`` alone (PRJ-13)."""
+    if profile == "v1":
+        return F.coalesce(field(df, "llm_response", "string"), F.lit(""))
     return F.coalesce(field(df, "final_response", "string"), field(df, "llm_response", "string"), F.lit(""))
 
 
@@ -118,7 +121,7 @@ def normalise(df: DataFrame, fallback_system: str | None = None, profile: str =
         field(df, "request_time", "string").alias("request_time"),
         time_src.alias("expected_time"),
         exp.alias("_exp"),
-        response_text(df).alias("response"),
+        response_text(df, profile).alias("response"),
     )
     return out.select(
         "case_id", "system", "request_time", "expected_time",

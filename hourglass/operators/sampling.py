@@ -27,7 +27,7 @@ def even_positions(lengths: DataFrame, num_cases: int = 1000, window: int = 72,
         *keys,
         F.greatest(F.floor(F.col("n").cast("double") * F.lit(float(test_ratio_start))), F.lit(window)).cast("bigint").alias("_s"),
         (F.col("n") - F.lit(horizon + 1)).cast("bigint").alias("_e"),
-    )
+    ).where("_e >= _s")   # a series too short for the test part has no positions
     span = F.col("_e") - F.col("_s")
     if num_cases == 1:
         pos = F.col("_s")

@@ -49,7 +49,8 @@ def framed(df: DataFrame, order: str, keys=(), back: int = 0, forward: int = 0,
     """Halo expansion on a numeric ``order`` column (row position or epoch seconds).
 
     A row at ``p`` is needed by home rows ``q`` with ``q - back <= p <= q + forward``,
-    so it is copied to chunks ``(p - forward) div C .. (p + back) div C``.
+    so it is copied to chunks ``(p - forward) div C .. (p + back) div C`` (numbers below
+    zero are chunks like any other: epoch seconds before 1970 have them).
     """
     keys = list(keys)
     if chunk <= max(back, forward):
@@ -57,7 +58,7 @@ def framed(df: DataFrame, order: str, keys=(), back: int = 0, forward: int = 0,
     p = F.col(order)
     lo = F.floor((p - F.lit(forward)) / F.lit(chunk))
     hi = F.floor((p + F.lit(back)) / F.lit(chunk))
-    ex = df.withColumn("_chunk", F.explode(F.sequence(F.greatest(lo, F.lit(0)).cast("bigint"), hi.cast("bigint"))))
+    ex = df.withColumn("_chunk", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
     spec = Window.partitionBy(*keys, "_chunk").orderBy(order)
     return Framed(ex, spec, order, chunk)
 

@@ -548,12 +548,6 @@ SELECT case_id, forecast_target_time_expected, expected_temperature, expected_de
 FROM v1 WHERE system = 'single_tool' AND hallucinated ORDER BY case_id LIMIT 5"""
 
 
-SQL["stream_hourly"] = "WITH " + SERIES + """,
-mx AS (SELECT max(CAST(ts AS TIMESTAMP)) AS m FROM events)
-SELECT date, temperature, dew_point, wind_speed
-FROM series, mx WHERE date + INTERVAL 1 HOUR <= m - INTERVAL 2 HOUR"""
-
-
 SQL["csv_clean_hourly"] = SQL["clean_hourly"]
 SQL["stream_score_v2"] = SQL["score_v2"]
 

@@ -383,18 +383,6 @@ def q_hallucinated_preview(spark: SparkSession, sf: str) -> DataFrame:
         "missing_fields", "mismatch_fields", "unsupported_terms", "llm_response")
 
 
-def q_stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
-    """Structured Streaming hourly collapse over the events files (watermark 2 h, append mode).
-
-    Every hour whose window closed under the watermark is emitted once and
-    equals the batch collapse; the last hours stay open in state.
-    """
-    from ..streaming import hourly
-
-    stream = hourly.hourly_stream(fx.raw_stream(spark, sf), tie_cols=["event_id"], delay="2 hours")
-    return hourly.run_available_now(stream, "stream-hourly")
-
-
 def q_csv_clean_hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Raw reports written as a report CSV (SNK-1) and scanned back (SRC-1), then cleaned."""
     from ..operators.clean import RAW_RENAMES
@@ -463,7 +451,6 @@ QUERIES = {
     "flag_counts": q_flag_counts,
     "named_agg": q_named_agg,
     "hallucinated_preview": q_hallucinated_preview,
-    "stream_hourly": q_stream_hourly,
     "csv_clean_hourly": q_csv_clean_hourly,
     "stream_score_v2": q_stream_score_v2,
 }

@@ -48,12 +48,12 @@ def score_stream(responses: DataFrame, profile: str = "v2", fallback_system: str
 
 
 def run_available_now(stream_df: DataFrame, name: str = "stream", output_mode: str = "append",
-                      timeout_s: int = 3600) -> DataFrame:
+                      timeout_s: float | None = None) -> DataFrame:
     """Run a streaming frame over everything available now into a parquet file sink.
 
     Output and checkpoint go to the session's shared checkpoint folder (the
     file sink is exactly-once and survives restarts); returns the written
-    table as a batch DataFrame.
+    table as a batch DataFrame.  ``timeout_s`` stops a run that takes longer (no limit by default).
     """
     from ..session import scratch_path
 
@@ -62,7 +62,7 @@ def run_available_now(stream_df: DataFrame, name: str = "stream", output_mode: s
     q = (stream_df.writeStream.outputMode(output_mode).format("parquet")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    q.awaitTermination() if timeout_s is None else q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")

@@ -19,7 +19,6 @@ def spark(tmp_path_factory):
     # tests only: the checkpoint folder is unset locally, so give it a scratch one
     if not s.conf.get("spark.checkpoint.dir", None):
         d = str(tmp_path_factory.mktemp("ckpt"))
-        s.conf.set("spark.checkpoint.dir", d)
         s.sparkContext.setCheckpointDir(d)
     yield s
     s.stop()
