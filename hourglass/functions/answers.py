@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
+
+from .text import fmt_num
 
 _SLOT = re.compile(r"\{(\w+)\}")
 
@@ -25,6 +27,12 @@ def render_template(template: str, **values) -> Column:
     return F.concat(*parts)
 
 
+def json_double(c: Column) -> Column:
+    """A double as json.dumps writes it: like str(), but ``NaN`` and ``Infinity``."""
+    d = c.cast("double")
+    return F.when(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), d.cast("string")).otherwise(fmt_num(d))
+
+
 def json_value(c: Column, is_string: bool) -> Column:
     """One JSON value the way Python's json.dumps writes it (strings escaped, null, shortest floats)."""
     if is_string:
@@ -32,7 +40,7 @@ def json_value(c: Column, is_string: bool) -> Column:
         esc = F.replace(F.replace(esc, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
         body = F.concat(F.lit('"'), esc, F.lit('"'))
     else:
-        body = c.cast("string")
+        body = json_double(c)
     return F.coalesce(body, F.lit("null"))
 
 
@@ -99,7 +107,7 @@ def python_json_value(c: Column, dtype) -> Column:
             parts += [F.lit(("" if i == 0 else ", ") + '"' + f.name + '": '), python_json_value(c[f.name], f.dataType)]
         return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("{"), *parts, F.lit("}")))
     if isinstance(dtype, NumericType):
-        return F.coalesce(c.cast("string"), F.lit("null"))
+        return F.coalesce(json_double(c) if isinstance(dtype, (DoubleType, FloatType)) else c.cast("string"), F.lit("null"))
     raise TypeError(f"no JSON form for {dtype.simpleString()}")
 
 

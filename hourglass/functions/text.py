@@ -1,14 +1,18 @@
 """Column expressions for reading forecast values back out of free text.
 
-All of it is built-in Spark SQL (regexp_*, filter, transform), so it runs
-inside whole-stage code generation with no Python worker.  Java regex differs
-from Python's in one way that matters here: ``.`` also stops at ``\\r``; the
-``(?d)`` flag (UNIX_LINES) makes it stop only at ``\\n`` as Python does.
+All of it is built-in Spark SQL (regexp_*, filter, transform), with no Python
+worker.  Java regex differs from Python's in three ways that matter here:
+``.`` also stops at ``\\r`` (the ``(?d)`` flag, UNIX_LINES, makes it stop only at
+``\\n``), and ``\\s`` and ``\\d`` are ASCII only.  Blanks are therefore written as
+a Unicode class, times use ``\\p{Nd}``, and numbers are read from the text with
+other scripts' digits turned into ASCII ones (one character each, so positions
+stay).
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,16 @@ def normalize_text(text) -> Column:
 
 def extract_datetime(text) -> Column:
     """First ``yyyy-mm-dd<ws>hh:mm:ss`` in the raw text, null when absent (FN-7)."""
-    return F.regexp_substr(_c(text), F.lit(vocab.DATETIME_PATTERN))
+    pattern = vocab.DATETIME_PATTERN.replace(r"\s", vocab.BLANK_CLASS).replace(r"\d", r"\p{Nd}")
+    return F.regexp_substr(_c(text), F.lit(pattern))
+
+
+def ascii_digits(text) -> Column:
+    """Decimal digits of every script as 0-9; a text without such digits is passed on as it is."""
+    t = _c(text)
+    digits = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd")
+    plain = "".join(str(unicodedata.decimal(c)) for c in digits)
+    return F.when(t.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(t, digits, plain)).otherwise(t)
 
 
 def _num(s: Column) -> Column:
@@ -39,13 +52,13 @@ def _num(s: Column) -> Column:
 def number_near_label(norm_text, labels) -> Column:
     """First label (in order) with a near hit, else a far hit (FN-8).
 
-    ``norm_text`` must already be normalised.  Returns null when no label hits.
+    ``norm_text`` must already be normalised, with ASCII digits.  Returns null when no label hits.
     """
     t = _c(norm_text)
     tries = []
     for label in labels:
         lab = re.escape(label.lower()).replace("\\ ", " ")
-        near = vocab.NEAR_TEMPLATE.format(label=lab)
+        near = vocab.NEAR_TEMPLATE.format(label=lab).replace(r"\s", vocab.BLANK_CLASS)
         far = "(?d)" + vocab.FAR_TEMPLATE.format(label=lab)
         tries.append(_num(F.regexp_extract(t, near, 1)))
         tries.append(_num(F.regexp_extract(t, far, 1)))
@@ -55,7 +68,7 @@ def number_near_label(norm_text, labels) -> Column:
 def all_numbers(text) -> Column:
     """Every integer or decimal in the text, as doubles (FN-9)."""
     return F.transform(
-        F.regexp_extract_all(_c(text), F.lit(vocab.NUMBER_PATTERN), F.lit(0)),
+        number_texts(ascii_digits(text)),
         lambda s: s.try_cast("double"),
     )
 
@@ -64,7 +77,7 @@ def text_after(text, needle) -> Column:
     """Text after the first occurrence of ``needle``; whole text if needle is null or absent (FN-10)."""
     t, n = _c(text), _c(needle)
     pos = F.position(n, t)
-    return F.when(n.isNotNull() & (pos > 0), F.substring(t, pos + F.length(n), F.lit(1 << 30))).otherwise(t)
+    return F.when(n.isNotNull() & (pos > 0), F.substr(t, pos + F.length(n))).otherwise(t)
 
 
 def let(value: Column, body) -> Column:
@@ -79,7 +92,7 @@ def let(value: Column, body) -> Column:
 
 
 def number_texts(text) -> Column:
-    """Every integer or decimal in the text, as strings (no per-element lambda)."""
+    """Every integer or decimal of a text with ASCII digits, as strings (no per-element lambda)."""
     return F.regexp_extract_all(_c(text), F.lit(vocab.NUMBER_PATTERN), F.lit(0))
 
 
@@ -100,21 +113,27 @@ def extract_forecast_fields(text) -> Column:
 
     Labels are searched in the normalised text; the datetime and the fallback
     numbers use the raw text.  The fallback fills only the absent fields, with
-    numbers[0], [1], [2] after the datetime, when at least 3 numbers follow it.
-    Every regular expression appears once in the expression tree.
+    numbers[0], [1], [2] after the datetime, when at least 3 numbers follow it;
+    they are searched only where a field is absent.  Every regular expression
+    appears once in the expression tree.
     """
     t = _c(text)
-    first = F.struct(t.alias("t"), normalize_text(t).alias("n"), extract_datetime(t).alias("dt"))
+    first = F.struct(t.alias("t"), normalize_text(ascii_digits(t)).alias("n"), extract_datetime(t).alias("dt"))
 
     def stage2(s):
         found = F.struct(
-            s["dt"].alias("dt"),
+            s["t"].alias("t"), s["dt"].alias("dt"),
             number_near_label(s["n"], vocab.LABELS["predicted_temperature"]).alias("a"),
             number_near_label(s["n"], vocab.LABELS["predicted_dew_point"]).alias("b"),
             number_near_label(s["n"], vocab.LABELS["predicted_wind_speed"]).alias("c"),
-            number_texts(text_after(s["t"], s["dt"])).alias("nums"),
         )
-        return let(found, lambda v: _fallback(v["dt"], v["a"], v["b"], v["c"], v["nums"]))
+
+        def stage3(v):
+            absent = v["a"].isNull() | v["b"].isNull() | v["c"].isNull()
+            nums = F.when(absent, number_texts(ascii_digits(text_after(v["t"], v["dt"]))))
+            return let(nums, lambda ns: _fallback(v["dt"], v["a"], v["b"], v["c"], F.coalesce(ns, F.array().cast("array<string>"))))
+
+        return let(found, stage3)
 
     return let(first, stage2)
 
@@ -160,28 +179,11 @@ def found_terms_text(text, terms, normalise: bool) -> Column:
     return _terms_text(t, terms)
 
 
-def _terms_in(t: Column, terms) -> Column:
-    return text_list_to_array(_terms_text(t, terms))
-
-
 def found_terms(text, terms, normalise: bool) -> Column:
     """Found terms as an array, in vocabulary order (FN-15..17)."""
     return text_list_to_array(found_terms_text(text, terms, normalise))
 
 
-def with_terms(df: DataFrame, text_col: str, spec: dict, as_text: bool = False) -> DataFrame:
-    """Add one found-terms column per ``{out_col: (terms, normalise)}``, lowering the text once.
-
-    ``as_text`` keeps the ';'-joined form (no array built).
-    """
-    a = df.withColumn("_tl", F.lower(F.col(text_col)))
-    a = a.withColumn("_tn", F.replace(F.col("_tl"), F.lit("_"), F.lit(" ")))
-    conv = (lambda c: c) if as_text else text_list_to_array
-    cols = {out: conv(_terms_text(F.col("_tn") if normalise else F.col("_tl"), terms))
-            for out, (terms, normalise) in spec.items()}
-    return a.withColumns(cols).drop("_tl", "_tn")
-
-
 def numeric_match(expected, observed, tolerance: float = vocab.MATCH_TOLERANCE) -> Column:
     """|e - o| <= tol in DOUBLE; absent observed -> false (FN-12)."""
     e, o = _c(expected), _c(observed)
@@ -195,8 +197,24 @@ def number_present(numbers, expected, tolerance: float = vocab.PRESENCE_TOLERANC
 
 
 def fmt_num(x) -> Column:
-    """Double to its shortest decimal text, as Python's str() prints it."""
-    return _c(x).cast("double").cast("string")
+    """Double to decimal text as Python's str() lays it out: positional from 1e-4 up to 1e16, else ``1e-05`` / ``1e+16``."""
+    d = _c(x).cast("double")
+    plain = d.cast("string")
+    # the usual numbers take the first branch; the others are laid out in a lambda, which keeps the generated code small
+    return F.when(plain.rlike(r"^-?[0-9.]+$"), plain).otherwise(
+        let(F.struct(d.alias("d"), plain.alias("s")), lambda v: _number_layout(v["d"], v["s"])))
+
+
+def _number_layout(d: Column, s: Column) -> Column:
+    """Python's layout of a double that the JVM writes with an exponent or as a word."""
+    size = F.abs(d)
+    power = F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int")
+    positional = F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0*$", "$1")
+    scientific = F.concat(F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), r"\.0$", ""),
+                          F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""),
+                          F.abs(power).cast("string"))
+    return (F.when(F.isnan(d), "nan").when(size == F.lit(float("inf")), F.when(d > 0, "inf").otherwise("-inf"))
+            .when((size >= 1e-4) & (size < 1e16), positional).otherwise(scientific))
 
 
 def fmt_ts(x) -> Column:

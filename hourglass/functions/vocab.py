@@ -33,11 +33,13 @@ LABELS = {
     "predicted_wind_speed": ["predicted wind speed", "wind speed", "wind"],
 }
 
-# FIXED VALUES: patterns (Python / Java / RE2 compatible forms).
+# FIXED VALUES: patterns.  Blanks and digits are those of Unicode.
 NUMBER_PATTERN = r"-?\d+(?:\.\d+)?"
 DATETIME_PATTERN = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}"
 NEAR_TEMPLATE = r"{label}\s*(?:is|of|:|=)?\s*(-?\d+(?:\.\d+)?)"
 FAR_TEMPLATE = r"{label}.*?(-?\d+(?:\.\d+)?)"
+# FIXED VALUES: the blanks of Unicode as a character class (Java's \s has the ASCII ones only).
+BLANK_CLASS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 # FIXED VALUES: tolerances.
 MATCH_TOLERANCE = 0.05      # v2 / single: |expected - observed| <= 0.05

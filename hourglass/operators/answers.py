@@ -2,21 +2,22 @@
 template, prompts, and a pluggable batch text generator (PRJ-8/9, FN-22..28, UDF-1..4).
 
 Everything except the generator is column expressions.  The generator is the
-only Python on the data path: ``mapInPandas`` hands it Arrow batches, so a
-model is loaded once per task and called on many prompts at a time.
+only Python on the data path: an iterator pandas UDF over the prompt column
+alone, so a model is loaded once per task, is called on many prompts at a
+time, and never sees actual values or errors.
 """
 
 from __future__ import annotations
 
-from typing import Callable, Iterable
+from typing import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import vocab
 from ..functions.answers import pretty_json, python_list_text, render_template
+from ..functions.text import fmt_num
 
 MEASURES = vocab.MEASURES
 
@@ -79,6 +80,47 @@ Return a short plan with these steps:
 """
 
 
+# FIXED VALUES: the two prototype prompts (a local model's single prompt, a chat model's system and user prompt).
+PROTOTYPE_PROMPT = """You are a simple weather forecasting assistant.
+
+You are given a user request and the output of a forecasting tool.
+
+Rules:
+- Use only the tool output.
+- Do not invent weather values.
+- Do not add explanations about storms, fronts, pressure, clouds, or causes.
+- Report only the forecast target time, predicted temperature, predicted dew point, and predicted wind speed.
+- Keep the answer short.
+
+User request:
+{user_request}
+
+Tool output:
+{tool_json}
+
+Final answer:"""
+
+CHAT_SYSTEM_PROMPT = """You are a simple weather forecasting assistant.
+
+You are given the user's request and the output of a weather forecasting tool.
+
+Rules:
+1. Use only the tool output.
+2. Do not invent weather values.
+3. Do not mention causes, storms, fronts, pressure systems, or outside weather details unless they appear in the tool output.
+4. Report the predicted temperature, dew point, and wind speed.
+5. Mention the forecast target time.
+6. Keep the response short."""
+
+CHAT_USER_PROMPT = """User request:
+{user_request}
+
+Tool output:
+{tool_json}
+
+Write the final forecast response."""
+
+
 def tool_view(prediction: str = "prediction") -> Column:
     """Restricted view: the five forecast fields, no actuals or errors (PRJ-8)."""
     return F.struct(
@@ -109,9 +151,9 @@ def answer_v2(verification: Column) -> Column:
     """Verified 4-sentence answer, or the refusal naming missing fields (FN-24)."""
     v = verification
     ok = render_template(vocab.VERIFIED_V2, t=v["forecast_target_time"],
-                         x=v["predicted_temperature"].cast("string"),
-                         y=v["predicted_dew_point"].cast("string"),
-                         z=v["predicted_wind_speed"].cast("string"))
+                         x=fmt_num(v["predicted_temperature"]),
+                         y=fmt_num(v["predicted_dew_point"]),
+                         z=fmt_num(v["predicted_wind_speed"]))
     no = render_template(vocab.REFUSAL_V2, missing=F.array_join(v["missing_fields"], ", "))
     return F.when(v["verified"], ok).otherwise(no)
 
@@ -134,8 +176,8 @@ def answer_v1(verification: Column) -> Column:
     """One-sentence answer, or refusal with the list rendered as Python prints it (FN-25)."""
     v = verification
     ok = render_template(vocab.VERIFIED_V1, t=v["forecast_target_time"],
-                         x=v["temperature"].cast("string"), y=v["dew_point"].cast("string"),
-                         z=v["wind_speed"].cast("string"))
+                         x=fmt_num(v["temperature"]), y=fmt_num(v["dew_point"]),
+                         z=fmt_num(v["wind_speed"]))
     no = render_template(vocab.REFUSAL_V1, missing=python_list_text(v["missing_fields"]))
     return F.when(v["verified"], ok).otherwise(no)
 
@@ -153,6 +195,19 @@ def planning_prompt(df: DataFrame, version: str = "v2", tool_col: str = "tool_ou
                            request_time=F.col("request_time"))
 
 
+def prototype_prompt(tool_col: str = "tool_output") -> Column:
+    """The local prototype's prompt, without blanks around it (FN-26)."""
+    return render_template(PROTOTYPE_PROMPT, user_request=user_request(F.col("request_time")),
+                           tool_json=pretty_json(F.col(tool_col), TOOL_FIELDS))
+
+
+def chat_prompts(tool_col: str = "tool_output") -> Column:
+    """System and user message of the chat prototype (FN-26)."""
+    return F.struct(F.lit(CHAT_SYSTEM_PROMPT).alias("system"), render_template(
+        CHAT_USER_PROMPT, user_request=user_request(F.col("request_time")),
+        tool_json=pretty_json(F.col(tool_col), TOOL_FIELDS)).alias("user"))
+
+
 def verified_run(cases: DataFrame, run_timestamp: str | None = None,
                  plan_generator_factory: Callable[[], "Generator"] | None = None,
                  model_path: str | None = None, parallelism: int | None = None) -> DataFrame:
@@ -198,7 +253,7 @@ def verified_run_v1(cases: DataFrame) -> DataFrame:
     )
 
 
-Generator = Callable[[pd.DataFrame], Iterable[str]]
+Generator = Callable[[pd.Series], Iterable[str]]
 
 
 def generate(df: DataFrame, prompt_col: str, generator_factory: Callable[[], Generator],
@@ -206,20 +261,19 @@ def generate(df: DataFrame, prompt_col: str, generator_factory: Callable[[], Gen
     """Pluggable batch text generation (UDF-1).
 
     ``generator_factory`` is called once per task (load the model there); the
-    returned callable maps a pandas batch (all columns of ``df``) to one text
-    per row.  ``parallelism`` caps concurrent model copies via ``repartition``.
+    returned callable maps a batch of prompts to one text each.  Only the
+    prompt column goes to Python; the other columns stay in the JVM.  Marked
+    nondeterministic, so that no plan calls it twice for a row.
+    ``parallelism`` caps concurrent model copies via ``repartition``.
     """
-    schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType(), True)])
-
-    def run(batches):
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         gen = generator_factory()
-        for pdf in batches:
-            out = pdf.copy()
-            out[out_col] = list(gen(pdf)) if len(pdf) else []
-            yield out
+        for batch in prompts:
+            yield pd.Series(list(gen(batch)), index=batch.index, dtype=object)
 
+    call = F.pandas_udf(run, "string").asNondeterministic()
     src = df.repartition(parallelism) if parallelism else df
-    return src.mapInPandas(run, schema)
+    return src.withColumn(out_col, call(F.col(prompt_col).cast("string")))
 
 
 def single_tool_run(cases: DataFrame, generator_factory: Callable[[], Generator], run_timestamp: str | None = None,

@@ -1,8 +1,10 @@
 """Irregular reports -> one row per hour (PRJ-1..5, FLT-1/2, AGG-1).
 
-The collapse is a hash aggregate keyed on (series keys, hour) with partial
-aggregation before the shuffle, so a hot hour is pre-combined on every map
-task and never materialised as one group.
+The collapse is keyed on (series keys, hour) with partial aggregation before
+the shuffle, so a hot hour is pre-combined on every map task and never
+materialised as one group.  With a single integer tie column the order is one
+fixed-width number and the aggregate is a hash aggregate; other orders are
+structs, which Spark aggregates after a sort.
 """
 
 from __future__ import annotations
@@ -77,6 +79,12 @@ def coerce_reports(df: DataFrame, time_col: str = "date", value_cols=None, time_
     return df.withColumns(cols).where(F.col(time_col).isNotNull())
 
 
+def _packed_order(time: Column, period: Column, tie: Column) -> Column:
+    """(microseconds into the period, tie) as one DECIMAL: a day has 11 digits of them, a bigint 19."""
+    into = F.unix_micros(time.cast("timestamp")) - F.unix_micros(period.cast("timestamp"))
+    return (into.cast("decimal(11,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def last_per_period(
     df: DataFrame,
     time_col: str = "date",
@@ -85,6 +93,7 @@ def last_per_period(
     tie_cols=(),
     period: str = "hour",
     drop_incomplete: bool = True,
+    unique_tie: str | None = None,
 ) -> DataFrame:
     """Last non-null value per column within each period (AGG-1, FLT-2).
 
@@ -92,6 +101,9 @@ def last_per_period(
     The order inside a period is (time, *tie_cols, value): ending the ordering
     key with the value makes equal timestamps deterministic.  Rows whose
     measure is null carry a null ordering key and are ignored by ``max_by``.
+    ``unique_tie`` names, instead of ``tie_cols``, one integer column that is
+    not negative or null and tells rows of one time apart: (time, tie) is then packed into
+    one DECIMAL(38), whose buffer a hash aggregate can hold.
     Output is one row per (keys, period) with at least one time; periods with
     any null measure are dropped when ``drop_incomplete``.
     """
@@ -100,11 +112,16 @@ def last_per_period(
     floor = floor_hour if period == "hour" else floor_day if period == "day" else None
     if floor is None:
         raise ValueError(f"unsupported period {period!r}")
+    if unique_tie and tie_cols:
+        raise ValueError("give tie_cols or unique_tie, not both")
     p = df.withColumn("_period", floor(F.col(time_col)))
+    if unique_tie:
+        p = p.withColumn("_order", _packed_order(F.col(time_col), F.col("_period"), F.col(unique_tie)))
     aggs = []
     for c in value_cols:
         v = F.col(c)
-        order_key = F.when(v.isNotNull(), F.struct(F.col(time_col), *[F.col(t) for t in tie_cols], v))
+        order = F.col("_order") if unique_tie else F.struct(F.col(time_col), *[F.col(t) for t in tie_cols], v)
+        order_key = F.when(v.isNotNull(), order)
         aggs.append(F.max_by(v, order_key).alias(c))
     out = p.groupBy(*keys, "_period").agg(*aggs).withColumnRenamed("_period", time_col)
     if drop_incomplete:
@@ -112,10 +129,11 @@ def last_per_period(
     return out.select(*keys, time_col, *value_cols)
 
 
-def clean_hourly(raw: DataFrame, time_col: str = "date", value_cols=None, keys=(), tie_cols=(), time_format=None) -> DataFrame:
+def clean_hourly(raw: DataFrame, time_col: str = "date", value_cols=None, keys=(), tie_cols=(), time_format=None,
+                 unique_tie: str | None = None) -> DataFrame:
     """Raw reports to the clean hourly series: coerce, drop bad times, collapse, drop incomplete hours."""
     value_cols = list(value_cols or vocab.MEASURES)
     coerced = coerce_reports(raw, time_col, value_cols, time_format)
     # NaN is "missing" for the downstream dropna, as in a pandas frame
     coerced = coerced.withColumns({c: F.when(~F.isnan(F.col(c)), F.col(c)) for c in value_cols})
-    return last_per_period(coerced, time_col, value_cols, keys, tie_cols, "hour")
+    return last_per_period(coerced, time_col, value_cols, keys, tie_cols, "hour", unique_tie=unique_tie)

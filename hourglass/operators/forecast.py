@@ -86,9 +86,9 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def model_forecast(series: DataFrame, kind: str = "forest", keys=(), **params) -> DataFrame:
-    """Fit on the train split, predict the test split (ML-6 predictions table)."""
-    frame = training_frame(series, keys=keys)
+def model_forecast(series: DataFrame, kind: str = "forest", keys=(), window: int = 72, horizon: int = 24, **params) -> DataFrame:
+    """Fit on the train split, predict the test split (ML-6 predictions table); ``params`` go to the regressor."""
+    frame = training_frame(series, keys=keys, window=window, horizon=horizon)
     model = fit(frame.where(F.col("split") == "train"), kind, **params)
     pred = predict(model, frame.where(F.col("split") == "test"))
     return pred.select(*keys, "sample_idx", "target_date", *[f"y_{m}" for m in MEASURES], *[f"p_{m}" for m in MEASURES])

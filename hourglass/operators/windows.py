@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 
 DEFAULT_CHUNK = 1_000_000
+#: Chunk where every row carries its window as an array (72 rows of three doubles: about 2 KB).
+ARRAY_CHUNK = 50_000
 
 
 @dataclass
@@ -82,7 +84,7 @@ def window_samples(
     idx_col: str = "idx",
     date_col: str = "date",
     arrays: bool = True,
-    chunk: int = DEFAULT_CHUNK,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Windows anchored at the *request* row ``r`` (WIN-3..6).
 
@@ -91,11 +93,13 @@ def window_samples(
     sample index is ``r - W + 1``).  Rows without a full window or without a
     target are not emitted.  Output: keys, ``idx`` (request row), request time,
     ``x`` (array of structs, optional), ``x_size``, target time and values.
+    ``chunk`` defaults to fewer rows where arrays are built, so that a task's output stays near 100 MB.
     """
     value_cols = list(value_cols or vocab.MEASURES)
     keys = list(keys)
     last = 0 if include_request_row else -1
     first = last - window + 1
+    chunk = chunk or max(ARRAY_CHUNK if arrays else DEFAULT_CHUNK, window + horizon + 1)
     fr = framed(series, idx_col, keys, back=-first, forward=horizon, chunk=chunk)
     frame = fr.spec.rowsBetween(first, last)
     cols = [

@@ -165,10 +165,11 @@ def q_verification_report(spark: SparkSession, sf: str) -> DataFrame:
     takes the row count and range over all rows and the MAE over the test
     windows (conditional aggregates), so nothing is joined.
     """
-    f = requests.forecast_frame(fx.series(spark, sf), include_request_row=False)
+    window, horizon = 72, 24
+    f = requests.forecast_frame(fx.series(spark, sf), window=window, horizon=horizon, include_request_row=False)
     ok = F.col("status") == "ok"
-    n_windows = F.col("n") - 96
-    test = ok & ((F.col("idx") - 72) >= F.floor(n_windows.cast("double") * F.lit(0.8)))
+    n_windows = F.col("n") - (window + horizon)
+    test = ok & ((F.col("idx") - window) >= F.floor(n_windows.cast("double") * F.lit(0.8)))
     err = {m: F.when(test, F.abs(F.col(f"a_{m}") - F.col(f"p_{m}"))) for m in MEASURES}
     g = f.agg(
         F.count(F.lit(1)).cast("bigint").alias("dataset_rows"),
@@ -179,7 +180,8 @@ def q_verification_report(spark: SparkSession, sf: str) -> DataFrame:
     )
     return g.select(
         "dataset_rows", "start_date", "end_date", "x_rows",
-        F.lit(72 * 3).cast("bigint").alias("x_cols"), F.lit(3).cast("bigint").alias("y_cols"), "test_examples",
+        F.lit(window * len(MEASURES)).cast("bigint").alias("x_cols"), F.lit(len(MEASURES)).cast("bigint").alias("y_cols"),
+        "test_examples",
         *[F.round(f"_{m}", 6).alias(f"{m}_mae") for m in MEASURES],
         F.round((F.col("_temperature") + F.col("_dew_point") + F.col("_wind_speed")) / F.lit(3.0), 6).alias("average_mae"),
     )
@@ -262,16 +264,15 @@ def q_prompts(spark: SparkSession, sf: str) -> DataFrame:
 def template_generator():
     """Deterministic stand-in for a text generator (test double for UDF-1).
 
-    Reads the tool fields of each row and writes one of ten answer variants.
+    Reads the tool output out of each prompt, all it is given, and writes one of
+    ten answer variants (chosen by the last digit of the wind speed, which in
+    CASES is that of the case number).
     """
-    def gen(pdf):
-        out = []
-        for cid, t, x, y, z in zip(pdf["case_id"], pdf["tool_output"].map(lambda s: s["forecast_target_time"]),
-                                   pdf["tool_output"].map(lambda s: s["predicted_temperature"]),
-                                   pdf["tool_output"].map(lambda s: s["predicted_dew_point"]),
-                                   pdf["tool_output"].map(lambda s: s["predicted_wind_speed"])):
-            out.append(_variant_text(int(cid) % 10, t, x, y, z))
-        return out
+    def gen(prompts):
+        fields = prompts.str.extract(r'"forecast_target_time": "([^"]*)",\s*"predicted_temperature": (\S+),\s*'
+                                     r'"predicted_dew_point": (\S+),\s*"predicted_wind_speed": (\S+)')
+        x, y, z = (fields[i].astype(float) for i in (1, 2, 3))
+        return [_variant_text(round(w * 10) % 10, t, u, v, w) for t, u, v, w in zip(fields[0], x, y, z)]
     return gen
 
 
@@ -301,7 +302,7 @@ def _variant_text(v: int, t: str, x: float, y: float, z: float) -> str:
 
 
 def q_batch_generate(spark: SparkSession, sf: str) -> DataFrame:
-    """Generated answers through the pluggable mapInPandas generator (UDF-1, UDF-2)."""
+    """Generated answers through the pluggable generator over prompts (UDF-1, UDF-2)."""
     run = answers.single_tool_run(fx.tool_output(fx.cases(spark, sf)), template_generator)
     return run.select("case_id", "llm_response")
 
@@ -399,7 +400,7 @@ def q_csv_clean_hourly(spark: SparkSession, sf: str) -> DataFrame:
     files.write_csv(raw, path)
     back = files.read_raw_reports(spark, path, keep=["REPORT_ID"])
     back = back.withColumn("REPORT_ID", F.col("REPORT_ID").cast("bigint"))
-    return clean.clean_hourly(back, tie_cols=["REPORT_ID"])
+    return clean.clean_hourly(back, unique_tie="REPORT_ID")
 
 
 def q_stream_score_v2(spark: SparkSession, sf: str) -> DataFrame:

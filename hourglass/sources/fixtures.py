@@ -57,7 +57,7 @@ def series(spark: SparkSession, sf_dir: str, with_idx: bool = True, materialized
     the indexed table is written once more for plans that use it in several
     branches.
     """
-    s = clean.clean_hourly(raw_reports(spark, sf_dir), tie_cols=["event_id"])
+    s = clean.clean_hourly(raw_reports(spark, sf_dir), unique_tie="event_id")
     if not with_idx:
         return s
     if not materialized:

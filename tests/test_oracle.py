@@ -4,10 +4,9 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_MID, SF_SMALL
-from hourglass.plans import oracle
 from hourglass.plans.check import compare, duckdb_connection, type_mismatches
 
-NAMES = sorted(oracle.SQL)
+NAMES = sorted(E.core_sql())
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +15,7 @@ def con_small():
 
 
 def test_every_query_has_oracle_or_is_model():
-    q, s = E.core_queries(), oracle.SQL
+    q, s = E.core_queries(), E.core_sql()
     assert set(s) <= set(q)
     assert set(q) - set(s) == {"linear_forecast", "forest_forecast"}
 

@@ -41,7 +41,7 @@ def test_extraction_by_hand(spark):
 
 def test_terms_are_substrings_in_order(spark):
     df = spark.createDataFrame([("Train caused Cloudy ERROR; absolute_error",)], "t string")
-    r = T.with_terms(df, "t", {"v2": (vocab.TERMS_V2, False), "single": (vocab.TERMS_SINGLE, True)}).first()
+    r = df.select(T.found_terms("t", vocab.TERMS_V2, False).alias("v2"), T.found_terms("t", vocab.TERMS_SINGLE, True).alias("single")).first()
     assert r["v2"] == ["error", "rain", "cloudy", "cloud"]
     assert r["single"] == ["absolute error", "cloud", "rain", "cause", "caused"]
 
@@ -129,3 +129,42 @@ def test_plan_is_stored_but_never_changes_the_answer(spark):
     b = plain.select("case_id", "final_response")
     assert a.exceptAll(b).count() == 0 and a.count() == b.count() == 1500
     assert with_plan.select("model_path").distinct().first()[0] == "/models/m.gguf"
+
+
+def test_blanks_and_digits_of_other_scripts(spark):
+    cases = [
+        ("predicted temperature is ٥٤.5 at 2024-01-02 03:04:05, dew point: ١٢ wind 3.5",
+         ("2024-01-02 03:04:05", 54.5, 12.0, 3.5)),
+        ("at 2024-01-02 03:04:05: 1, ٢, 3.5", ("2024-01-02 03:04:05", 1.0, 2.0, 3.5)),
+        ("at ٢٠٢٤-01-02 03:04:05 temperature 7", ("٢٠٢٤-01-02 03:04:05", 7.0, None, None)),
+        ("temperature　= 7", (None, 7.0, None, None)),
+        ("", (None, None, None, None)),
+        (None, (None, None, None, None)),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = df.select("i", T.extract_forecast_fields("t").alias("x")).orderBy("i").collect()
+    assert [tuple(r["x"]) for r in got] == [want for _, want in cases]
+
+
+def test_number_text_as_python_writes_it(spark):
+    xs = [1e7, 5e-4, 1e16, 1e-5, 0.0, 1.5e-5, 123456789.125, 9999999.999, 0.001, 1e22, -2.5e-4, 1e300, 54.0,
+          float("inf"), float("-inf"), float("nan")]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", T.fmt_num("x").alias("t"))
+    assert [r["t"] for r in got.orderBy("i").collect()] == [str(x) for x in xs]
+    assert spark.createDataFrame([(None,)], "x double").select(T.fmt_num("x")).first()[0] is None
+
+
+def test_verified_answers_of_large_and_small_values_score_clean(spark):
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00", "2024-01-02 00:00:00", (1e7, 5e-4, 12345678.5))],
+                               "case_id long, request_time string, forecast_target_time string, "
+                               "prediction struct<temperature:double,dew_point:double,wind_speed:double>")
+    r = S.score_v2(records.normalise(answers.verified_run(df))).first()
+    assert (r["missing_fields"], r["mismatch_fields"], r["observed_temperature"]) == ("", "", 1e7)
+
+
+def test_generator_gets_prompts_and_nothing_else(spark):
+    def factory():
+        return lambda prompts: [f"{type(prompts).__name__} {prompts.name in (None, '_0', 'prompt')} {p[:9]}" for p in prompts]
+
+    run = answers.single_tool_run(fx.cases(spark, SF_SMALL), factory)
+    assert {r[0] for r in run.select("llm_response").distinct().collect()} == {"Series True You are a"}
