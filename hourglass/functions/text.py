@@ -24,6 +24,10 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Characters from the first decimal digit beyond ASCII (Arabic-Indic zero) on.
+_LATER_SCRIPTS = r"[\x{660}-\x{10FFFF}]"
+
+
 def normalize_text(text) -> Column:
     """lower case, '_' -> ' ' (FN-6)."""
     return F.replace(F.lower(_c(text)), F.lit("_"), F.lit(" "))
@@ -31,8 +35,11 @@ def normalize_text(text) -> Column:
 
 def extract_datetime(text) -> Column:
     """First ``yyyy-mm-dd<ws>hh:mm:ss`` in the raw text, null when absent (FN-7)."""
-    pattern = vocab.DATETIME_PATTERN.replace(r"\s", vocab.BLANK_CLASS).replace(r"\d", r"\p{Nd}")
-    return F.regexp_substr(_c(text), F.lit(pattern))
+    t = _c(text)
+    pattern = vocab.DATETIME_PATTERN.replace(r"\s", vocab.BLANK_CLASS)
+    # the property class is slower, so only texts that may hold such digits are searched with it
+    return F.when(t.rlike(_LATER_SCRIPTS), F.regexp_substr(t, F.lit(pattern.replace(r"\d", r"\p{Nd}")))).otherwise(
+        F.regexp_substr(t, F.lit(pattern)))
 
 
 def ascii_digits(text) -> Column:
@@ -40,7 +47,7 @@ def ascii_digits(text) -> Column:
     t = _c(text)
     digits = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd")
     plain = "".join(str(unicodedata.decimal(c)) for c in digits)
-    return F.when(t.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(t, digits, plain)).otherwise(t)
+    return F.when(t.rlike(_LATER_SCRIPTS), F.translate(t, digits, plain)).otherwise(t)
 
 
 def _num(s: Column) -> Column:

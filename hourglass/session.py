@@ -1,7 +1,7 @@
 """Session helpers: one place for the settings every plan relies on.
 
-Nothing here overrides a setting the cluster already made; defaults are only
-filled in where a key is unset (tests, local runs).
+Time zone and ANSI casts are set on the session, because results depend on
+them; the performance switches are only filled in where they are unset.
 """
 
 from __future__ import annotations
