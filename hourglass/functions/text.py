@@ -208,7 +208,8 @@ def fmt_num(x) -> Column:
     d = _c(x).cast("double")
     plain = d.cast("string")
     # the usual numbers take the first branch; the others are laid out in a lambda, which keeps the generated code small
-    return F.when(plain.rlike(r"^-?[0-9.]+$"), plain).otherwise(
+    size = F.abs(d)
+    return F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0.0), plain).otherwise(
         let(F.struct(d.alias("d"), plain.alias("s")), lambda v: _number_layout(v["d"], v["s"])))
 
 
