@@ -3,12 +3,15 @@
 Rules come first (the longest that fits wins).  All other urls are judged by
 templates: per host, the paths form a tree; level by level
 
-* a variable segment (many children, or several that all hold digits) becomes
-  the wildcard ``*``;
-* branches whose labelled block rate does not differ from that of their
-  siblings together (two-proportion z-test) are merged into one branch ``~``;
-  a branch without labels is such a branch;
-* what differs stays a branch of its own.
+* a branch whose labelled block rate differs from that of its siblings together
+  (two-proportion z-test) stays a branch of its own, however many there are;
+* all others, those without labels too, are merged into one branch: ``*`` if
+  the segment is variable (many children, or several that all hold digits),
+  otherwise ``~``.
+
+From ``children`` labelled siblings on, the test asks for more (z squared plus
+twice the logarithm of their number over ``children``, a Bonferroni bound), so
+that a variable segment does not lose the branches that differ by chance.
 
 Every node has a smoothed purity, (blocked + weight * parent's purity) /
 (labelled + weight), from the whole table down to the host and its templates.
@@ -78,14 +81,15 @@ def path_templates(urls: DataFrame, depth: int = 4, children: int = 8, z: float
                 .agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"), F.first("purity").alias("purity")))
         family = kids.groupBy("host", "template").agg(
             F.count("*").alias("kids"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"),
-            F.min(F.col("segment").rlike("[0-9]")).alias("all_digits"))
+            F.count_if(F.col("known") > 0).alias("all_labelled"), F.min(F.col("segment").rlike("[0-9]")).alias("all_digits"))
         rest_known, rest_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
-        pooled = F.col("all_bad") / F.col("all_known")
+        pooled = F.try_divide("all_bad", "all_known")
+        strict = F.sqrt(F.lit(z * z) + 2 * F.log(F.greatest(F.col("all_labelled") / F.lit(children), F.lit(1.0))))
         differs = ((F.col("known") > 0) & (rest_known > 0) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_known"))
                    & (F.abs(F.try_divide("bad", "known") - F.try_divide(rest_bad, rest_known))
-                      >= F.lit(z) * F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("known")) + F.try_divide(F.lit(1), rest_known)))))
+                      >= strict * F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("known")) + F.try_divide(F.lit(1), rest_known)))))
         variable = (F.col("kids") >= children) | ((F.col("kids") >= 2) & F.col("all_digits"))
-        branch = F.when(variable, "*").when(F.coalesce(differs, F.lit(False)), F.col("segment")).otherwise("~")
+        branch = F.when(F.coalesce(differs, F.lit(False)), F.col("segment")).when(variable, "*").otherwise("~")
         named = (kids.join(family, ["host", "template"])
                  .select("host", "template", "segment", "known", "bad", "purity", F.concat("template", F.lit("/"), branch).alias("next")))
         nodes = (named.groupBy("host", "next").agg(F.sum("known").alias("node_known"), F.sum("bad").alias("node_bad"), F.first("purity").alias("above"))

@@ -124,6 +124,26 @@ def test_bad_templates_are_blocked(spark):
     assert {r["template"] for r in got} == {"/bad/*", "/good/*"}
 
 
+def test_a_bad_section_is_blocked_among_many(spark):
+    """Ten sections of which one is bad, and two years of which one is: the wildcard takes the alike and unlabelled ones only."""
+    rows = [(k, f"http://h.net/{'abcdefghij'[k % 10]}/{k}") for k in range(1000)] + [(k, f"http://y.net/{2019 + k % 2}/{k}") for k in range(1000, 1400)]
+    rows += [(1400 + k, f"http://h.net/new{k}/x") for k in range(20)]
+    bad = {k for k, u in rows if "/d/" in u or "/2020/" in u}
+    labels = spark.createDataFrame([(k, k in bad) for k, _ in rows if k < 600 or 1000 <= k < 1200], "page_id long, bad boolean")
+    got = rows_of(urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=[], labels=labels))
+    assert len(got) == len(rows) and {r["page_id"] for r in got if r["verdict"] == "block"} == bad
+    assert {r["template"] for r in got if r["page_id"] in bad} == {"/d/*", "/2020/*"}
+
+
+def test_chance_does_not_empty_the_wildcard(spark):
+    """Ids with three labelled pages of four bad, at random: their wildcard keeps that share, and new ids are not blocked."""
+    rng = np.random.default_rng(8)
+    rows = [(k, f"http://h.net/u{k // 2}/{k % 2}") for k in range(4000)]
+    labels = spark.createDataFrame([(k, bool(rng.random() < 0.75)) for k in range(3600)], "page_id long, bad boolean")
+    got = rows_of(urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=[], labels=labels))
+    assert all(r["verdict"] == "allow" for r in got if r["page_id"] >= 3600)
+
+
 # --- 2 Katz
 
 def katz_brute(docs, train):
