@@ -21,16 +21,19 @@ rows are the urls that rules decide, unless the caller gives labels.
 Work is done on the distinct (host, path) with their counts, so a host or a
 url with a third of all rows is pre-aggregated before any shuffle; the joins
 back have unique right sides, which AQE may split.  Each level is written to
-the shared folder.
+the shared folder, with the paths that reach it only: those that end leave,
+and so do those alone in their node, whose further levels (one child each) are
+written down at once.  The levels go on until no path is left.
 
 Null urls and urls without ``://`` have empty host and path and are judged by
 the template of the empty host; repeated rows are judged alike, one row each;
-segments beyond ``depth`` belong to their node at that depth; an empty table
-gives an empty result; other columns are not read.
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,21 +69,25 @@ def _smoothed(bad: str, known: str, prior, weight: float) -> Column:
     return (F.col(bad) + F.lit(weight) * prior) / (F.col(known) + F.lit(weight))
 
 
-def path_templates(urls: DataFrame, depth: int = 4, children: int = 8, z: float = 1.96, weight: float = 8.0) -> DataFrame:
+def path_templates(urls: DataFrame, children: int = 8, z: float = 1.96, weight: float = 8.0) -> DataFrame:
     """Templates of distinct (host, path, n, known, bad): host, path, template, purity."""
     whole = urls.agg(F.sum("bad"), F.sum("known")).first()
     overall = ((whole[0] or 0) + 1) / ((whole[1] or 0) + 2)
     hosts = (urls.groupBy("host").agg(F.sum("known").alias("host_known"), F.sum("bad").alias("host_bad"))
              .select("host", _smoothed("host_bad", "host_known", F.lit(overall), weight).alias("purity")))
     tree = (urls.join(hosts, "host", "left").withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != ""))
-            .withColumn("template", F.lit("")))
-    tree = stored(tree, "url-tree")
-    for level in range(depth):
-        here = tree.withColumn("segment", F.get("segments", F.lit(level)))
-        kids = (here.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment")
-                .agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"), F.first("purity").alias("purity")))
+            .withColumn("template", F.lit("")).withColumn("ended", F.size("segments") == 0))
+    tree, done, level = stored(tree, "url-tree"), [], 0
+    while True:
+        done.append(tree.where("ended").select("host", "path", "template", "purity"))
+        if tree.where("not ended").isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+        here = tree.where("not ended").withColumn("segment", F.get("segments", F.lit(level)))
+        level += 1
+        kids = (here.groupBy("host", "template", "segment")
+                .agg(F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"), F.first("purity").alias("purity")))
         family = kids.groupBy("host", "template").agg(
-            F.count("*").alias("kids"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"),
+            F.count("*").alias("kids"), (F.sum("paths") == 1).alias("alone"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"),
             F.count_if(F.col("known") > 0).alias("all_labelled"), F.min(F.col("segment").rlike("[0-9]")).alias("all_digits"))
         rest_known, rest_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
         pooled = F.try_divide("all_bad", "all_known")
@@ -91,14 +98,18 @@ def path_templates(urls: DataFrame, depth: int = 4, children: int = 8, z: float
         variable = (F.col("kids") >= children) | ((F.col("kids") >= 2) & F.col("all_digits"))
         branch = F.when(F.coalesce(differs, F.lit(False)), F.col("segment")).when(variable, "*").otherwise("~")
         named = (kids.join(family, ["host", "template"])
-                 .select("host", "template", "segment", "known", "bad", "purity", F.concat("template", F.lit("/"), branch).alias("next")))
+                 .select("host", "template", "segment", "known", "bad", "purity", "alone", F.concat("template", F.lit("/"), branch).alias("next")))
         nodes = (named.groupBy("host", "next").agg(F.sum("known").alias("node_known"), F.sum("bad").alias("node_bad"), F.first("purity").alias("above"))
                  .select("host", "next", _smoothed("node_bad", "node_known", F.col("above"), weight).alias("next_purity")))
-        step = named.select("host", "template", "segment", "next").join(nodes, ["host", "next"])
-        tree = stored(here.join(step, ["host", "template", "segment"], "left")
-                      .select("host", "path", "n", "known", "bad", "segments", F.coalesce("next_purity", "purity").alias("purity"),
-                              F.coalesce("next", "template").alias("template")), "url-tree")
-    return tree.select("host", "path", "template", "purity")
+        step = named.select("host", "template", "segment", "next", "alone").join(nodes, ["host", "next"])
+        # a path alone: the same counts smooth its purity again at each further level
+        further = F.size("segments") - F.lit(level)
+        rate, kept = F.try_divide("bad", "known"), F.pow(F.lit(weight) / (F.col("known") + F.lit(weight)), further)
+        purity = F.when(F.col("alone") & (F.col("known") > 0), rate + (F.col("next_purity") - rate) * kept).otherwise(F.col("next_purity"))
+        template = F.concat("next", F.when(F.col("alone"), F.repeat(F.lit("/~" if children > 1 else "/*"), further)).otherwise(""))
+        tree = stored(here.join(step, ["host", "template", "segment"])
+                      .select("host", "path", "n", "known", "bad", "segments", purity.alias("purity"), template.alias("template"),
+                              (F.col("alone") | (further == 0)).alias("ended")), "url-tree")
 
 
 def judge_urls(pages: DataFrame, rules=None, labels: DataFrame | None = None, reject: float = 0.8,

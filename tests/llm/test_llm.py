@@ -135,6 +135,18 @@ def test_a_bad_section_is_blocked_among_many(spark):
     assert {r["template"] for r in got if r["page_id"] in bad} == {"/d/*", "/2020/*"}
 
 
+def test_all_levels_of_a_path_count(spark):
+    """What differs from the fifth segment on has branches of its own; a very long path alone takes no level each."""
+    rows = [(k, f"http://h.net/a/b/c/d/{'spam' if k % 2 else 'ok'}/e/{'x' if k % 4 < 2 else 'y'}/{k}") for k in range(400)]
+    rows += [(400, "http://h.net/a/b/c/d/" + "/".join(f"s{k}" for k in range(500))), (401, "http://h.net/a"), (402, "http://h.net")]
+    labels = spark.createDataFrame([(k, bool(k % 2)) for k in range(200)], "page_id long, bad boolean")
+    got = {r["page_id"]: r for r in rows_of(urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=[], labels=labels))}
+    assert len(got) == 403 and {k for k, r in got.items() if r["verdict"] == "block"} == set(range(1, 400, 2))
+    assert {r["template"] for k, r in got.items() if k < 400} == {f"/~/~/~/~/{a}/~/~/*" for a in ("spam", "ok")}
+    assert got[400]["template"] == "/~" * 504 and (got[401]["template"], got[402]["template"]) == ("/~", "")
+    assert got[400]["purity"] < 0.8
+
+
 def test_chance_does_not_empty_the_wildcard(spark):
     """Ids with three labelled pages of four bad, at random: their wildcard keeps that share, and new ids are not blocked."""
     rng = np.random.default_rng(8)
