@@ -1,13 +1,17 @@
 """Operator 9 — benchmark decontamination by edit distance.
 
-A benchmark item is in a document if some window of as many words as the item
-has is within ``ratio`` times that many word edits (insert, delete, replace).
-Words are lower-cased runs of ASCII letters, digits and bytes beyond ASCII.
-
-Windows of every item length at every word are looked at:
-
-1. q-gram lemma: a window within K edits of an item of n words has at least
-   n - 1 - 2K word pairs (n - K words, for items under 8 words) of the item.
+A benchmark item of n words is in a document if some stretch of it, of n - K to
+n + K words, is within K = ``ratio`` times n word edits (insert, delete,
+replace).  Words are lower-cased runs of ASCII letters, digits and bytes beyond
+ASCII.
+
+Windows of every item length are looked at, from K words before a document's
+first word to its last word; places outside the document are padding:
+
+1. q-gram lemma: if a stretch from the window's start on is within K edits of
+   an item of n words, the window's n words hold at least n - 1 - 2K word pairs
+   (n - K words, for items under 8 words) of the item: an insertion breaks one
+   pair and moves at most one out of the window, other edits break two.
    Counting hits in a table of hashed pairs, with a bit for each item length,
    leaves out, without loss, nearly all windows.
 2. CGK embedding: a random walk through a window's words writes 3n symbols; it
@@ -16,7 +20,8 @@ Windows of every item length at every word are looked at:
 3. Bit sampling: a key is a few sampled places of one walk; windows and items
    that share one of ``WALKS * SAMPLES`` keys are compared (tests measure the
    recall at the largest distance: at least 0.95).
-4. The exact edit distance decides, by a banded table over all pairs at once.
+4. The exact edit distance to the best stretch that begins up to K words before
+   or after the window does decides, by a banded table over all pairs at once.
 
 The documents are read in one pass for each ``ITEM_BLOCK`` items, whose index
 is broadcast; there is no shuffle, and a passage that a third of all rows
@@ -88,25 +93,29 @@ def keys(windows: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Edit distances of paired rows of equal length n, exact up to ``most`` and above it some larger number."""
-    rows, n = a.shape
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int, slack: int = 0) -> np.ndarray:
+    """Edit distances of paired rows: of a row of ``a`` to the nearest stretch of the row of ``b``.
+
+    Stretches begin at one of the first ``slack + 1`` words and end anywhere.
+    Exact up to ``most`` and above it some larger number.
+    """
+    (rows, n), long = a.shape, b.shape[1]
     far = most + 1
-    width = 2 * most + 1
-    # band[:, d]: distance of the first i words of a and the first i + d - most of b
+    width = 2 * most + 1 + slack
+    # band[:, d + 1]: distance of the first i words of a and the words of b up to i + d - most
     band = np.full((rows, width + 2), far, np.int32)
-    band[:, 1 + most:1 + width] = np.arange(most + 1)
+    band[:, 1 + most:1 + width] = np.maximum(np.arange(most + slack + 1) - slack, 0)
     for i in range(1, n + 1):
         new = np.full_like(band, far)
         for d in range(width):
             j = i + d - most
             if j == 0:
                 new[:, d + 1] = i
-            elif 0 < j <= n:
+            elif 0 < j <= long:
                 cost = (a[:, i - 1] != b[:, j - 1])
                 new[:, d + 1] = np.minimum(np.minimum(band[:, d + 1] + cost, band[:, d + 2] + 1), new[:, d] + 1)
         band = np.minimum(new, far)
-    return band[:, most + 1]
+    return band[:, 1:width + 1].min(1)
 
 
 class ItemIndex:
@@ -129,47 +138,52 @@ class ItemIndex:
                                  n - 1 - 2 * most if long else n - most)
 
     def windows(self, words: np.ndarray, first: np.ndarray):
-        """(n, starts) of the windows that may hold an item of n words."""
+        """(n, rows, starts) of the windows that may hold an item of n words; a start may be before its row's first word."""
         if not len(words) or not self.by_length:
             return
         shift = np.uint64(64 - BITS)
         filled = np.diff(first) > 0
-        end = np.repeat(first[1:], np.diff(first))                # where each word's row ends
+        rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
         pair = self.slots[True][_pairs(words) >> shift]
         pair[first[1:][filled] - 1] = 0                           # a row's last word has no follower
         hits = {}
         for long, mask in ((True, pair), (False, self.slots[False][words >> shift])):
             at = np.flatnonzero(mask)
             hits[long] = (at, mask[at])
-        for n, (_, _, _, _, _, bit, need) in self.by_length.items():
+        for n, (_, _, most, _, _, bit, need) in self.by_length.items():
             at, mask = hits[n >= SHORT]
             at = at[(mask & bit) != 0]
             reach = n - 2 if n >= SHORT else n - 1
             if len(at) < need:
                 continue
-            # runs of ``need`` hits that one window can hold, and the windows that hold them
-            tight = np.flatnonzero(at[need - 1:] - at[:len(at) - need + 1] <= reach)
+            # runs of ``need`` hits of a row that one window can hold, and the windows that hold them
+            begin, last = at[:len(at) - need + 1], at[need - 1:]
+            tight = np.flatnonzero((last - begin <= reach) & (rows[begin] == rows[last]))
             if not len(tight):
                 continue
-            lo, hi = np.maximum(at[tight + need - 1] - reach, 0), at[tight]
+            row, hi = rows[begin[tight]], begin[tight]
+            lo = np.maximum(last[tight] - reach, first[row] - most)
+            # each row's starts have a range of numbers of their own
+            lo, hi = lo + (row + 1) * most, hi + (row + 1) * most
             count = hi - lo + 1
             start = np.unique(np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - lo, count))
-            start = start[start + n <= end[start]]
-            if len(start):
-                yield n, start
+            row = np.searchsorted(first + np.arange(len(first)) * most, start, "right") - 1
+            yield n, row, start - (row + 1) * most
 
     def search(self, column: pa.Array) -> dict:
         """(row, length, item) -> (distance, start word): for each row and item the window of least distance, the first of those."""
         found: dict = {}
         waiting: dict = {}
         for lo, _, words, first in hashed_words(column, True, SEPARATORS):
-            for n, start in self.windows(words, first):
-                row = np.searchsorted(first, start, "right") - 1
+            for n, row, start in self.windows(words, first):
                 for k in range(0, len(start), TOGETHER):
                     part = start[k:k + TOGETHER]
                     own = row[k:k + TOGETHER]
                     held = waiting.setdefault(n, [])
-                    held.append((words[part[:, None] + np.arange(n)], own + lo, part - first[own]))
+                    most = self.by_length[n][2]
+                    at = part[:, None] + np.arange(-most, n + 2 * most)
+                    inside = (at >= first[own][:, None]) & (at < first[own + 1][:, None])
+                    held.append((np.where(inside, words[np.where(inside, at, 0)], PAD), own + lo, part - first[own]))
                     if sum(len(x[1]) for x in held) >= TOGETHER:
                         self._look(n, held, found)
                         held.clear()
@@ -179,8 +193,9 @@ class ItemIndex:
         return found
 
     def _look(self, n: int, held: list, found: dict) -> None:
-        windows, row, start = (np.concatenate(x) for x in zip(*held))
+        stretches, row, start = (np.concatenate(x) for x in zip(*held))
         _, own, most, key, order, _, _ = self.by_length[n]
+        windows = stretches[:, most:most + n]
         mine = keys(windows)
         pairs = []
         for c in range(mine.shape[1]):
@@ -192,14 +207,20 @@ class ItemIndex:
         if not pairs:
             return
         w, k = np.divmod(np.unique(np.concatenate(pairs)), len(own))
-        distance = np.where((windows[w] == own[k]).all(1), 0, most + 1)
-        # a row's item that stands there unchanged needs no further distances
-        whole = np.unique((row[w] * len(own) + k)[distance == 0])
-        open_ = np.flatnonzero((distance > 0) & ~np.isin(row[w] * len(own) + k, whole))
-        if len(open_):
-            distance[open_] = edit_distances(windows[w[open_]], own[k[open_]], most)
-        near = np.flatnonzero(distance <= most)
-        for r, item, s, d in zip(row[w[near]].tolist(), k[near].tolist(), start[w[near]].tolist(), distance[near].tolist()):
+        same = (windows[w] == own[k]).all(1)
+        finds = [(row[w[same]], k[same], start[w[same]], np.zeros(int(same.sum()), np.int32))]
+        # a row's item that stands there unchanged needs no distances
+        of = row[w] * len(own) + k
+        rest = np.flatnonzero(~np.isin(of, of[same]))
+        # of the windows that begin within most + 1 words, one: all starts up to most words off are looked at
+        rest = rest[np.unique(np.stack([of[rest], start[w[rest]] // (most + 1)]), axis=1, return_index=True)[1]]
+        if len(rest):
+            rest = rest[edit_distances(own[k[rest]], stretches[w[rest]], most, 2 * most) <= most]
+        for part in np.array_split(rest, -(-len(rest) // 512)) if len(rest) else ():
+            each = np.stack([edit_distances(own[k[part]], stretches[w[part], off:off + n + most], most) for off in range(2 * most + 1)])
+            off = each.argmin(0)
+            finds.append((row[w[part]], k[part], np.maximum(start[w[part]] - most + off, 0), each.min(0)))
+        for r, item, s, d in zip(*(np.concatenate(x).tolist() for x in zip(*finds))):
             if (d, s) < found.get((r, n, item), (most + 1, 0)):
                 found[r, n, item] = (d, s)
 

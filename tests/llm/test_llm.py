@@ -478,6 +478,33 @@ def test_planted_items_are_found(spark):
     assert decontamination.contaminated(table.where("false"), bench).count() == 0
 
 
+def test_items_with_words_missing_or_added_are_found(spark):
+    """At the largest distance: words deleted, inserted, or an end cut off, inside a text and as a document of its own."""
+    rng = np.random.default_rng(12)
+    items = [[f"i{x}" for x in rng.integers(0, 10**6, n)] for n in (6, 10, 24, 60) for _ in range(12)]
+    docs = []
+    for k, item in enumerate(items):
+        most = int(0.2 * len(item))
+        for kind in ("one", "tail", "head", "deleted", "inserted"):
+            cut = {"one": item[:3] + item[4:], "tail": item[:-most], "head": item[most:]}.get(kind, list(item))
+            for _ in range(most if kind in ("deleted", "inserted") else 0):
+                at = int(rng.integers(len(cut)))
+                cut[at:at + (kind == "deleted")] = [] if kind == "deleted" else [f"new{rng.integers(10**6)}"]
+            for around in (0, 30):
+                a, b = ([f"z{x}" for x in rng.integers(0, 10**6, around)] for _ in range(2))
+                docs.append((len(docs), " ".join(a + cut + b), k, kind, 1 if kind == "one" else most))
+    # one word too many cut off, also when another item's beginning is the next row
+    over = [(10_000 + k, " ".join(item[int(0.2 * len(item)) + 1:])) for k, item in enumerate(items)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame([d[:2] for d in docs] + over, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in rows_of(decontamination.contaminated(table, bench))}
+    assert {(d, k) for d, _, k, _, _ in docs} >= set(got)
+    for kind in ("one", "tail", "head", "deleted", "inserted"):
+        assert np.mean([(d, k) in got for d, _, k, x, _ in docs if x == kind]) >= 0.95, kind
+    assert all(got[d, k] <= most for d, _, k, _, most in docs if (d, k) in got)
+    assert decontamination.keep_uncontaminated(table, bench).count() == len(docs) + len(over) - len(got)
+
+
 def test_keys_meet_at_the_largest_distance():
     rng = np.random.default_rng(5)
     for n in (10, 30, 60):
