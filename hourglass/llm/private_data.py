@@ -69,7 +69,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     for m in IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        # more digits than three are no octet; int() refuses very many
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = NO_DIGIT.sub("", m.group())

@@ -530,6 +530,14 @@ def test_base_spans():
     assert private_data.masked("a b c d", [(0, 0, 3), (2, 3, 5), (6, 1, 7)]) == "<EMAIL> <IP>"
 
 
+def test_very_many_digits_are_no_address(spark):
+    texts = ["1" * 5000 + ".1.1.1", "0" * 5000 + "1.2.3.04", "1.2.3." + "9" * 5000]
+    assert [private_data.base_spans(t) for t in texts] == [[], [(0, 1, len(texts[1]))], []]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_ip for r in private_data.private_spans(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    assert private_data.mask_private(docs).count() == 3
+
+
 def test_private_data_rows(spark, none):
     docs = documents(spark)
     got = {r.doc_id: r for r in private_data.private_spans(docs).collect()}
