@@ -12,9 +12,9 @@ shape, the shape with runs as one, its ends, its number of digits, its marks,
 and the shapes of both neighbours.  Only words near a digit or an ``@`` are
 decoded (``NEAR`` words to each side); all others are no personal data.
 
-The labelled table holds the windows of at most about ``fit_rows`` documents,
-chosen by a hash of the id, with base spans as labels, unless the caller gives
-one.  Null texts are empty; texts without personal data have zero counts and
+The labelled table holds at most ``LABELLED_WINDOWS`` windows of each of at most
+about ``fit_rows`` documents, chosen by hashes of the id and of the window's
+place, with base spans as labels, unless the caller gives one.  Null texts are empty; texts without personal data have zero counts and
 empty spans; rows with equal or null ids are rows of their own; without any
 labelled window nothing is added; an empty table gives an empty result; other
 columns are passed over (``private_spans``) or kept (``mask_private``).
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, release, text_bytes, word_spans
+from .common import mixed, pieces, release, text_bytes, word_spans
 from .sequences import viterbi
 
 #: Kinds in order, patterns.
@@ -93,7 +93,7 @@ RUNS = re.compile(r"(.)\1+")
 
 def shape(word: str) -> str:
     digits = NO_DIGIT.sub("", word)
-    out = "".join(c if c < "\x7f" else "u" for c in word[:64].translate(SHAPES)) + ("" if len(word) <= 64 else "+")
+    out = "".join(c if c < "\x7f" else "u" for c in word.translate(SHAPES))
     out = RUNS.sub(lambda m: m.group()[0] if m.group()[0] in "aAu" else m.group(), out)
     checked = "L" if 14 <= len(digits) <= 19 and luhn(digits) else ""
     octets = [p for p in re.split(r"[^0-9]+", word) if p]
@@ -194,7 +194,9 @@ class Field:
         if got is None:
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            got = self.cache[s] = self.weights[self._coded(shape_features(s))].sum(0)
+            got = self.weights[self._coded(shape_features(s))].sum(0)
+            if len(s) <= 256:   # longer shapes hardly come again
+                self.cache[s] = got
         return got
 
     def _one(self, name: str) -> np.ndarray:
@@ -244,7 +246,8 @@ def labelled_windows(docs: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[li
             shapes, states = [], []
             for _, text, found in windows(batch.column(0)):
                 base = base_spans(text)
-                for window in found[:LABELLED_WINDOWS]:
+                places = mixed(np.array([w[0][0] for w in found], np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+                for window in (found[k] for k in np.argsort(places, kind="stable")[:LABELLED_WINDOWS].tolist()):
                     shapes.append([shape(text[a:b]) for a, b in window])
                     states.append([next((k + 1 for s, k, e in base if s < b and e > a), 0) for a, b in window])
             yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.list_(pa.string())), pa.array(states, pa.list_(pa.int32()))], ["shapes", "states"])
@@ -253,7 +256,7 @@ def labelled_windows(docs: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[li
     return sorted((list(r.shapes), list(r.states)) for r in found)
 
 
-#: Windows of a document that go into the labelled table.
+#: Windows of a document that go into the labelled table at most, chosen by a hash of their place.
 LABELLED_WINDOWS = 20
 
 

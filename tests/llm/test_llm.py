@@ -566,6 +566,26 @@ def test_the_field_adds_what_the_patterns_miss(spark):
     assert got == {1: ("phone:12:26", 0, 1), 2: ("", 0, 0), 3: ("", 0, 0)}
 
 
+def test_the_field_sees_whole_words(spark):
+    """What stands after the 64th character of a word counts."""
+    path = "http//x/" + "ab-" * 30
+    table = []
+    for k in range(60):
+        table.append(([private_data.shape(w) for w in ("see", f"{path}tel={3125550000 + k}", "now")], [0, 4, 0]))
+        table.append(([private_data.shape(w) for w in ("see", f"{path}page={k + 10}", "now")], [0, 0, 0]))
+    docs = spark.createDataFrame([(1, f"see {path}tel=3125557788 now"), (2, f"see {path}page=77 now")], "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.n_added) for r in private_data.private_spans(docs, table).collect()}
+    assert got == {1: (f"phone:4:{4 + len(path) + 14}", 1), 2: ("", 0)}
+
+
+def test_labelled_windows_come_from_all_parts_of_a_text(spark):
+    """Only the second half of a long text holds addresses; some of its windows are labelled."""
+    gap = " word" * 20 + " "
+    text = gap.join([f"page {k}" for k in range(100)] + [f"host 10.0.0.{k}" for k in range(100)])
+    got = private_data.labelled_windows(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert 0 < len(got) <= private_data.LABELLED_WINDOWS and any(any(states) for _, states in got) and not all(any(states) for _, states in got)
+
+
 def test_private_data_of_odd_rows(spark, odd):
     got = private_data.private_spans(odd).collect()
     assert len(got) == odd.count() and {r.doc_id: r.n_ip for r in got}[301] == 1
