@@ -41,6 +41,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark, path: str) -> None:
+    """Delete a scratch table that a later one has replaced (through the Hadoop file system)."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """Like :func:`stored`, as a table bucketed by ``key``: joins and groups by it read without a shuffle."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, katz, language, neighbours, ngram_jaccard, packing, private_data, quality, token_store, urls
+from . import (codes, decontamination, katz, language, neighbours, ngram_jaccard, packing, private_data, quality, token_store, urls, warc,
+               whitening)
 
 QUERIES = {
     "op1_url_templates": urls.op1_url_templates,
@@ -15,7 +16,12 @@ QUERIES = {
     "op8_learned_partitions": neighbours.op8_learned_partitions,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_pii_field": private_data.op10_pii_field,
+    "op11_vector_codes": codes.op11_vector_codes,
+    "op12_warc_revisits": warc.op12_warc_revisits,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 SQL: dict[str, str] = {
     "op6_ngram_jaccard": ngram_jaccard.OP6_SQL,
+    "op11_vector_codes": codes.OP11_SQL,
+    "op12_warc_revisits": warc.OP12_SQL,
 }
