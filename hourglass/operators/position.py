@@ -1,5 +1,15 @@
 """Row position per series without a single-task sort (WIN-1, §A).
 
+:func:`range_positions` is the form for stored series: Spark's range
+partitioner samples the order of all rows and cuts it into ranges of about
+equal row counts, whatever the data's rate (a day that holds nine tenths of a
+series is cut like any other stretch).  The rows are written once, sorted within
+their range; the writing numbers them, so a row's place in its range costs
+nothing more.  A zone map (rows, first and last time of each key in each range)
+then gives every range its offset: one shuffle of the rows in all.
+
+:func:`with_position` is the lazy form, with calendar buckets:
+
 ``row_number() over (order by date)`` with no partition moves the whole table
 into one task.  Instead:
 
@@ -21,6 +31,45 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: monotonically_increasing_id: the partition's number in the upper bits, the row's place in it in the lower 33.
+_PLACE_BITS = 33
+
+
+def zone_map(ranged: DataFrame, order_col: str, keys=()) -> DataFrame:
+    """Rows, first row number and first and last time of each key in each range of a numbered table."""
+    return ranged.groupBy(*keys, F.shiftright("_at", _PLACE_BITS).alias("_range")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("_at").alias("first_row"), F.min(order_col).alias("first"), F.max(order_col).alias("last"))
+
+
+def ranged_rows(df: DataFrame, order_cols, keys=(), ranges: int | None = None, name: str = "ranges") -> DataFrame:
+    """``df`` written in ranges of (keys, order) of about equal size, each row with its number ``_at``."""
+    order = [*keys, *order_cols]
+    parts = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return materialize(parts.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+
+
+def range_positions(df: DataFrame, order_cols, keys=(), idx_col: str = "idx", count_col: str | None = "n", ranges: int | None = None) -> DataFrame:
+    """Add a dense 0-based position per key in ``order_cols`` (column names) order, plus the series length.
+
+    ``order_cols`` must identify rows uniquely within a key.  Rows with a null
+    key are a series of their own; a null time comes first.  ``ranges`` is the
+    number of ranges (the session's shuffle partitions if not given).
+    """
+    keys = list(keys)
+    rows = ranged_rows(df, list(order_cols), keys, ranges, "positions")
+    per_key = Window.partitionBy(*keys)
+    zones = zone_map(rows, order_cols[0], keys).select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_of_range"),
+        (F.coalesce(F.sum("rows").over(per_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first_row")).alias("_off"),
+        F.sum("rows").over(per_key).alias("_n"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys],
+                  F.shiftright("_at", _PLACE_BITS) == F.col("_of_range"))
+    out = rows.join(zones if keys else F.broadcast(zones), same)   # without keys: a row for each range
+    counts = [F.col("_n").cast("bigint").alias(count_col)] if count_col else []
+    return out.select(*df.columns, (F.col("_off") + F.col("_at")).cast("bigint").alias(idx_col), *counts)
+
 
 def day_bucket(c: Column, unit: str = "day") -> Column:
     return F.date_trunc(unit, c).cast("timestamp_ntz")

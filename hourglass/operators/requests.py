@@ -123,6 +123,32 @@ def time_range(series: DataFrame, start, end, date_col: str = "date") -> DataFra
     return series.where(F.col(date_col).between(lit(start), lit(end)))
 
 
+def write_history(series: DataFrame, path: str, date_col: str = "date", unit: str = "day") -> None:
+    """A series as Parquet, one folder for each stretch of time (``unit``: day, month or year)."""
+    part = F.date_trunc(unit, F.col(date_col)).cast("date")
+    # a stretch is written by one task at a time, but a long one may take as many as its size asks for
+    series.withColumn("time_part", part).hint("rebalance", "time_part").write.partitionBy("time_part").option("compression", "zstd").parquet(path)
+
+
+def read_history(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def time_ranges(spans: DataFrame, history: DataFrame, keys=(), start: str = "start", end: str = "end", date_col: str = "date", unit: str = "day") -> DataFrame:
+    """The history's rows in each closed range of ``spans`` (FLT-3 for a table of requests).
+
+    The spans are few against the history: each is spread over the stretches
+    that it touches and joined by stretch (and keys), so the scan reads only
+    the folders that some span needs -- Spark prunes them while the query runs.
+    """
+    keys = list(keys)
+    step = {"day": "INTERVAL 1 DAY", "month": "INTERVAL 1 MONTH", "year": "INTERVAL 1 YEAR"}[unit]
+    floor = lambda c: F.date_trunc(unit, F.col(c)).cast("date")
+    touched = spans.where(F.col(start) <= F.col(end)).withColumn("time_part", F.explode(F.sequence(floor(start), floor(end), F.expr(step))))
+    joined = history.join(touched, on=["time_part", *keys], how="inner")
+    return joined.where(F.col(date_col).between(F.col(start), F.col(end))).drop("time_part")
+
+
 def history_records(requests: DataFrame, series: DataFrame, keys=(), window_size: int = 72,
                     value_cols=None, request_col: str = "target_time", date_col: str = "date") -> DataFrame:
     """History answer per request: rows in [t - W h, t - 1 h], exact-count check (JN-3, WIN-11).

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
 from ..functions import vocab
 from ..operators.clean import RAW_RENAMES
+from . import storage
 
 MEASURES = vocab.MEASURES
 
@@ -50,54 +51,127 @@ RESPONSE_SCHEMA = StructType([
 ])
 
 
-def read_raw_reports(spark: SparkSession, path: str, renames: dict | None = None, keep=()) -> DataFrame:
+def read_by_name(spark: SparkSession, paths, sep: str = ",") -> list[tuple[tuple[str, ...], DataFrame]]:
+    """CSV files by header: (columns, frame of text columns) for each distinct header, one scan each.
+
+    Every file's own first line names its columns, so files of other column
+    orders, with more or fewer columns, never mix by position.  Of a name
+    that a header has twice the first counts; the others are ``name.1`` and so on.
+    """
+    frames = []
+    for header, names in storage.header_catalogue(spark, paths, sep).items():
+        seen: dict[str, int] = {}
+        columns = []
+        for name in header:
+            n = seen.get(name.lower(), 0)
+            seen[name.lower()] = n + 1
+            columns.append(f"{name}.{n}" if n else name)
+        schema = StructType([StructField(c, StringType()) for c in columns])
+        df = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(names)
+        frames.append((tuple(columns), df))
+    return frames
+
+
+def _by_name(spark: SparkSession, path, columns: dict, fill_missing: bool = False) -> DataFrame:
+    """The union of all headers' scans; ``columns``: name -> names in the files, the first that a header has is taken."""
+    parts, lacking = [], {}
+    for header, df in read_by_name(spark, path):
+        picked = {name: next((c for c in among if c in header), None) for name, among in columns.items()}
+        missing = [columns[name][0] for name, c in picked.items() if c is None]
+        if missing and not fill_missing:
+            lacking[df.inputFiles()[0]] = missing
+        parts.append(df.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(name) for name, c in picked.items()]))
+    if lacking:
+        raise ValueError("; ".join(f"{file} lacks columns {missing}" for file, missing in lacking.items()))
+    if not parts:
+        raise ValueError(f"{path}: only empty files")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def read_raw_reports(spark: SparkSession, path, renames: dict | None = None, keep=(), fill_missing: bool = False) -> DataFrame:
     """CSV scan of raw hourly reports, the four used columns as text (SRC-1, PRJ-1).
 
-    Every column is read as a string (the file may have many); only the
-    renamed four (plus ``keep``) are selected, so the CSV reader parses only
-    those columns.
+    ``path`` is a file, folder, glob or a list of them; columns are found by
+    name in each file.  Every column is read as a string (a file may have
+    many); only the renamed four (plus ``keep``) are selected, so the CSV
+    reader parses only those columns.  A file without one of them is an error
+    that names it, or has nulls there with ``fill_missing``.
     """
     renames = renames or RAW_RENAMES
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    missing = [c for c in list(renames) + list(keep) if c not in df.columns]
-    if missing:
-        raise ValueError(f"raw report file lacks columns: {missing}")
-    return df.select(*[F.col(f"`{src}`").cast("string").alias(dst) for src, dst in renames.items()],
-                     *[F.col(f"`{c}`") for c in keep])
+    return _by_name(spark, path, {**{dst: [src] for src, dst in renames.items()}, **{c: [c] for c in keep}}, fill_missing)
 
 
-def read_series(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True) -> DataFrame:
+def read_series(spark: SparkSession, path, fmt: str = "csv", strict: bool = True) -> DataFrame:
     """Clean-series scan (SRC-2..5): accept ``DATE`` or ``date``, check measures, parse the time.
 
-    ``strict`` parses times with an ANSI cast (a bad value fails the job, PRJ-3).
+    CSV columns are found by name in each file.  ``strict`` parses times with
+    an ANSI cast (a bad value fails the job, PRJ-3).
     """
     if fmt == "csv":
-        df = spark.read.option("header", True).csv(path)
+        df = _by_name(spark, path, {"date": ["DATE", "date"], **{m: [m] for m in MEASURES}})
     else:
         df = spark.read.format(fmt).load(path)
-    if "DATE" in df.columns:
-        df = df.withColumnRenamed("DATE", "date")
-    elif "date" not in df.columns:
-        raise ValueError(f"{path}: no time column (DATE or date) among {df.columns}")
-    missing = [c for c in MEASURES if c not in df.columns]
-    if missing:
-        raise ValueError(f"{path}: measures not found: {missing}")
+        if "DATE" in df.columns:
+            df = df.withColumnRenamed("DATE", "date")
+        elif "date" not in df.columns:
+            raise ValueError(f"{path}: no time column (DATE or date) among {df.columns}")
+        missing = [c for c in MEASURES if c not in df.columns]
+        if missing:
+            raise ValueError(f"{path}: measures not found: {missing}")
     t = F.col("date").cast("string").cast("timestamp_ntz") if strict else F.col("date").cast("string").try_cast("timestamp_ntz")
     return df.select(t.alias("date"), *[F.col(m).cast("double").alias(m) for m in MEASURES])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob names anything, asked of the file system that Spark reads it from."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    fs, p = storage.file_system(spark, path)
+    found = fs.globStatus(p)
     return found is not None and len(found) > 0
 
 
+_BAD = "_unparsed_line"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Strict JSONL scan (SRC-6): blank lines skipped, a malformed line fails the job."""
+    """Strict JSONL scan (SRC-6): blank lines skipped, a malformed line fails the job with its file and text.
+
+    :func:`bad_lines` gives the line numbers of all of them.
+    """
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"nothing at {path}")
+    with_bad = StructType([*schema.fields, StructField(_BAD, StringType())])
+    df = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
+    first = F.col(f"`{schema.fields[0].name}`")
+    # the first column goes into the message as well: Spark does not read the unparsed line on its own
+    message = F.concat(F.lit("malformed JSON line in "), F.col("_metadata.file_path"), F.lit(": "), F.substring(_BAD, 1, 200),
+                       F.when(first.isNotNull(), F.lit(" (in part read)")).otherwise(F.lit("")))
+    return df.where(F.when(F.col(_BAD).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop(_BAD)
+
+
+def bad_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """(file, line, text) of every malformed JSONL line; lines count from 1.
+
+    Files are split among tasks: a line's place in its split is numbered as it
+    is read, and the line counts of the splits before it in its file are added.
+    """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"nothing at {path}")
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("block"), at.alias("at"))
+    split = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("at").alias("first"))   # a row for each split
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parsed = F.from_json("value", StructType([*schema.fields, StructField(_BAD, StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    bad = lines.where((F.trim("value") != "") & parsed[_BAD].isNotNull())
+    return (bad.join(split.withColumn("before", before), ["file", "block"])
+            .select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.col("value").alias("text")))
+
+
+def check_jsonl(spark: SparkSession, path: str, schema: StructType, most: int = 5) -> None:
+    """Raise one error that names the first malformed lines by file and number, if there are any (a pass over the files)."""
+    found = bad_lines(spark, path, schema).orderBy("file", "line").limit(most).collect()
+    if found:
+        raise ValueError("malformed JSON: " + "; ".join(f"{r.file}:{r.line}: {r.text[:200]}" for r in found))
 
 
 def read_records(spark: SparkSession, paths: dict, schema: StructType = RESPONSE_SCHEMA) -> DataFrame:

@@ -52,18 +52,16 @@ def raw_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) ->
 def series(spark: SparkSession, sf_dir: str, with_idx: bool = True, materialized: bool = True) -> DataFrame:
     """SERIES: the clean hourly table (``date``, 3 measures), with ``idx`` and ``n``.
 
-    ``materialized``: the collapse is written once to the checkpoint folder
-    before positions are taken (the position step reads its input twice), and
-    the indexed table is written once more for plans that use it in several
-    branches.
+    ``materialized``: the collapse is written once, in ranges of equal size, to
+    the checkpoint folder, and the indexed table is written once more for plans
+    that use it in several branches.
     """
     s = clean.clean_hourly(raw_reports(spark, sf_dir), unique_tie="event_id")
     if not with_idx:
         return s
     if not materialized:
         return position.with_position(s, ["date"])
-    s = materialize(s, "series-clean")
-    return materialize(position.with_position(s, ["date"]), "series")
+    return materialize(position.range_positions(s, ["date"]), "series")
 
 
 PANEL_MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -80,7 +78,7 @@ def panel(spark: SparkSession, sf_dir: str, with_idx: bool = True, materialized:
     if not with_idx:
         return p
     if materialized:
-        p = materialize(p, "panel-daily")
+        return position.range_positions(p, ["date"], keys=["l_suppkey"])
     return position.with_position(p, ["date"], keys=["l_suppkey"], unit="month")
 
 
