@@ -36,6 +36,8 @@ FIT_ROWS, SLOTS, DIM, NONZERO, HIDDEN = 20_000, 1 << 14, 64, 4, 32
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[97:123], SHAPE[65:91], SHAPE[48:58], SHAPE[128:] = ord("x"), ord("X"), ord("d"), ord("x")
 SHAPE_SLOTS = 512
+#: Words whose vectors are gathered at once; rows whose shapes are counted at once.
+POOLED, SHAPE_ROWS = 4096, 1024
 
 
 def _index_vectors(slots: int, seed: int) -> np.ndarray:
@@ -59,18 +61,35 @@ def _read(data: np.ndarray, offsets: np.ndarray):
     again = np.zeros(len(kind), bool)
     again[1:] = kind[1:] == kind[:-1]
     again[starts] = False
-    kept = np.flatnonzero(~again)
-    shapes = hashed(kind[kept], np.searchsorted(kept, starts), np.searchsorted(kept, ends))
+    place = np.concatenate(([0], np.cumsum(~again)))
+    shapes = hashed(kind[~again], place[starts], place[ends])
     return (words % np.uint64(SLOTS)).astype(np.int64), (shapes % np.uint64(SHAPE_SLOTS)).astype(np.int64), first, words
 
 
 def _means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Mean of each row's values (zero for rows without any)."""
-    out = np.zeros((len(first) - 1, values.shape[1]), np.float32)
-    count = np.diff(first)
-    full = np.flatnonzero(count)
-    if len(full):
-        out[full] = np.add.reduceat(values, first[full], axis=0) / count[full, None]
+    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=float)])
+    return ((total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]).astype(np.float32)
+
+
+def _pooled(vectors: np.ndarray, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Mean of the vectors of each row's slots (zero for rows without any)."""
+    out, bounds = np.zeros((len(first) - 1, vectors.shape[1]), np.float32), first.tolist()
+    for row, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        for lo in range(a, b, POOLED):
+            near = vectors.take(slots[lo:min(lo + POOLED, b)], axis=0)
+            out[row] += np.ones(len(near), np.float32) @ near
+    return out / np.maximum(np.diff(first), 1)[:, None].astype(np.float32)
+
+
+def _shape_means(shapes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Mean of the index vectors of each row's shapes: counts of shapes by row, times the vectors."""
+    out = np.zeros((len(first) - 1, DIM), np.float32)
+    for lo in range(0, len(out), SHAPE_ROWS):
+        hi = min(lo + SHAPE_ROWS, len(out))
+        count = np.diff(first[lo:hi + 1])
+        counts = np.bincount(np.repeat(np.arange(hi - lo), count) * SHAPE_SLOTS + shapes[first[lo]:first[hi]], minlength=(hi - lo) * SHAPE_SLOTS)
+        out[lo:hi] = counts.reshape(hi - lo, SHAPE_SLOTS).astype(np.float32) @ SHAPE_INDEX / np.maximum(count, 1)[:, None]
     return out
 
 
@@ -80,7 +99,7 @@ def features(column: pa.Array, vectors: np.ndarray):
     for lo, hi in pieces(offsets):
         part, bounds = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         slots, shapes, first, words = _read(part, bounds)
-        pooled = [_means(vectors[slots], first), _means(SHAPE_INDEX[shapes], first)]
+        pooled = [_pooled(vectors, slots, first), _shape_means(shapes, first)]
         kind, size = SHAPE[part], np.maximum(np.diff(bounds), 1)
 
         def share(mask):
@@ -94,10 +113,11 @@ def features(column: pa.Array, vectors: np.ndarray):
         if len(words) > 2:
             same[2:, 1] = words[2:] == words[:-2]
         row = np.repeat(np.arange(hi - lo), count)
-        order = np.lexsort((words, row))
-        fresh = np.ones(len(words), bool)
-        fresh[1:] = (words[order][1:] != words[order][:-1]) | (row[order][1:] != row[order][:-1])
-        distinct = np.bincount(row[order][fresh], minlength=hi - lo) / np.maximum(count, 1)
+        # rows and words in one number (a batch has fewer rows than 2^20; 44 bits tell the words of one text apart)
+        key = np.sort(row.astype(np.uint64) << np.uint64(44) | words >> np.uint64(20))
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        distinct = np.bincount((key[fresh] >> np.uint64(44)).astype(np.int64), minlength=hi - lo) / np.maximum(count, 1)
         measures = np.stack([np.log1p(count), share(kind == ord("X")), share(kind == ord("d")), share((part < 128) & (kind == part) & (part > 32)),
                              share(part == 10), distinct, size / np.maximum(count, 1)], 1)
         yield lo, hi, np.concatenate([*pooled, _means(same, first), np.minimum(measures, 50)], 1).astype(np.float32)

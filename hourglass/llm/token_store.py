@@ -23,6 +23,7 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -33,15 +34,15 @@ from pyspark.sql import functions as F
 
 from hourglass.session import scratch_path
 
-from .common import hashed, pieces, text_bytes, word_spans
+from .common import LOWERED, SEPARATORS, hashed, pieces, text_bytes, word_spans
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 2_000_000
-#: Words whose ids a Python worker remembers.
+#: Runs and words whose ids a Python worker remembers.
 CACHED_WORDS = 1_000_000
 SAMPLE = 256
-#: Words of a line that is encoded at once; marks that are a piece of their own after letters.
-LINE_WORDS, MARKS = 1000, frozenset(".,;:!?")
+#: Runs of a line that is encoded at once; documents whose places are selected at once.
+LINE_RUNS, READ_DOCS = 100, 4096
 
 BLOCK_FORM = "shard int, seq int, first_id long, n_docs long, shard_start long, n_ids long, block binary"
 
@@ -98,9 +99,23 @@ class EliasFano:
         at = byte * 8 + int(np.flatnonzero(bits)[left])
         return (at - i) << self.low_bits | int(self._low(i, 1)[0])
 
+    def select_range(self, start: int, stop: int) -> np.ndarray:
+        """The values of the ranks start .. stop-1, from the unary bits between the sampled places around them."""
+        if not 0 <= start <= stop <= self.n:
+            raise IndexError((start, stop))
+        if start == stop:
+            return np.zeros(0, np.uint64)
+        sample = start // SAMPLE
+        place, after = int(self.samples[sample]), -(-stop // SAMPLE)
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[place // 8:-(-end // 8)], bitorder="little")
+        bits[:place % 8] = 0
+        ranks = np.arange(start, stop)
+        places = np.flatnonzero(bits)[ranks - sample * SAMPLE] + 8 * (place // 8) - ranks
+        return places.astype(np.uint64) << np.uint64(self.low_bits) | self._low(start, stop - start)
+
     def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.n)
-        return places.astype(np.uint64) << np.uint64(self.low_bits) | self._low(0, self.n)
+        return self.select_range(0, self.n)
 
 
 def write_block(doc_ids: list, lengths: np.ndarray, ids: bytes, width: int) -> bytes:
@@ -127,17 +142,68 @@ class TokenBlock:
     def tokens(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
 
-    def doc_ids(self) -> list:
-        return [None] * self.nulls + (self.names.all().astype(np.int64) + self.least).tolist()
+    def offsets(self, start: int, stop: int) -> np.ndarray:
+        """Where the documents start .. stop-1 begin, and where the last of them ends."""
+        first = [self.ends.select(start - 1)] if start else [0]
+        return np.concatenate([first, self.ends.select_range(start, stop).astype(np.int64)])
+
+    def doc_ids(self, start: int, stop: int) -> list:
+        known = self.names.select_range(max(0, start - self.nulls), max(0, stop - self.nulls)).astype(np.int64) + self.least
+        return [None] * (min(stop, self.nulls) - min(start, self.nulls)) + known.tolist()
+
+
+class Numbers:
+    """64-bit hashes and the number of each, by open addressing in numpy arrays."""
+
+    def __init__(self, room: int = 1 << 16):
+        self.keys, self.numbers, self.used = np.zeros(room, np.uint64), np.full(room, -1, np.int32), 0
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 of those not there."""
+        mask, out = np.uint64(len(self.keys) - 1), np.full(len(hashes), -1, np.int32)
+        slot, open_ = hashes & mask, np.arange(len(hashes))
+        while len(open_):
+            number = self.numbers[slot]
+            hit = self.keys[slot] == hashes[open_]
+            out[open_[hit]] = number[hit]   # (an empty slot's number is -1 too)
+            further = ~hit & (number >= 0)
+            open_, slot = open_[further], (slot[further] + np.uint64(1)) & mask
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number new distinct hashes on from the last number."""
+        numbers = np.arange(self.used, self.used + len(hashes), dtype=np.int32)
+        self.used += len(hashes)
+        if 2 * self.used > len(self.keys):
+            old = np.flatnonzero(self.numbers >= 0)
+            hashes, numbers = np.concatenate([self.keys[old], hashes]), np.concatenate([self.numbers[old], numbers])
+            room = 1 << int(4 * self.used).bit_length()
+            self.keys, self.numbers = np.zeros(room, np.uint64), np.full(room, -1, np.int32)
+        mask = np.uint64(len(self.keys) - 1)
+        slot = hashes & mask
+        while len(hashes):
+            free = np.flatnonzero(self.numbers[slot] < 0)
+            self.keys[slot[free]], self.numbers[slot[free]] = hashes[free], numbers[free]   # of several for a slot the last stays
+            lost = (self.keys[slot] != hashes) | (self.numbers[slot] != numbers)
+            hashes, numbers, slot = hashes[lost], numbers[lost], (slot[lost] + np.uint64(1)) & mask
+
+
+#: Byte classes: blanks, letters (all beyond ASCII for now), digits, the rest.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[SEPARATORS] = 0
+_CLASS[97:123] = _CLASS[65:91] = _CLASS[128:] = 1
+_CLASS[48:58] = 2
 
 
 class WordEncoder:
-    """Encodes words with a tokenizer for which blanks only part words, and remembers what it has seen.
-
-    Words of letters, and such words with one mark at their end, make one and
-    two pieces, each of which ends in a token with the end-of-word suffix; they
-    are encoded in long lines, which is several times faster than one by one.
-    All other words are encoded for themselves.
+    """Encodes texts with a tokenizer that parts them at blanks and between letters, digits and marks, and remembers what it has seen.
+
+    For such a tokenizer a run of letters, a digit and a run of marks are each
+    encoded for themselves, whatever stands beside them.  Runs repeat far more
+    than words with their marks; each is encoded once (in lines of many, which
+    is faster) and its ids are looked up from then on.  Words where that is not
+    sure -- with signs beyond ASCII that are no letters, or an apostrophe -- are
+    encoded as they stand.  A tokenizer of another kind gets whole words.
     """
 
     def __init__(self, text: str):
@@ -152,54 +218,104 @@ class WordEncoder:
         if suffix:
             self.ends_piece = np.zeros(max(model["vocab"].values()) + 1, bool)
             self.ends_piece[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        added = [t["content"] for t in json.loads(text).get("added_tokens") or []]
+        # a run that holds the beginning of an added token: its word may hold all of it
+        self.leads = {re.match(r"[A-Za-z\x80-\U0010ffff]+|[0-9]|[^A-Za-z0-9\x80-\U0010ffff]+", t).group().lower() for t in added if t}
+        parted = [[self._plain(x) for x in ("naïveté", "7", "4", ",.!", "été", "***", "z", "8")], self._plain("NAÏVETé74,.!été***z8")]
+        self.by_run = bool(suffix) and sum(parted[0], []) == parted[1]
         self.forget()
 
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
-        self.numbers, self.ids, self.bounds = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _pieces(self, word: str) -> int:
-        low = word.lower()
-        return 1 if low.isalpha() else 2 if low[-1:] in MARKS and low[:-1].isalpha() else 0
-
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order in which the words were encoded, their ids in that order, number of ids of each)."""
-        order, flat, counts = [], [], []
-        parts = np.array([self._pieces(w) for w in words] if self.ends_piece is not None else [0] * len(words), np.int64)
-        plain = np.flatnonzero(parts)
-        for k in range(0, len(plain), LINE_WORDS):
-            at = plain[k:k + LINE_WORDS]
-            ids = np.array(self.tokenizer.encode(" ".join([words[i] for i in at]), add_special_tokens=False).ids, np.uint32)
+        """Numbers of runs and words; a number's ids stand at ids[bounds[number]:bounds[number + 1]] (none: a run whose word decides)."""
+        self.runs, self.words = Numbers(), Numbers()
+        self.place = {"runs": np.zeros(0, np.int64), "words": np.zeros(0, np.int64)}   # number -> place in bounds, -1 for odd runs
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _keep(self, coded: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        self.ids = np.concatenate([self.ids, *coded])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(counts))])
+
+    def _encode_runs(self, runs: list[str]) -> np.ndarray:
+        """Place of each run's ids, -1 of odd ones."""
+        sure = [(r.isascii() and "'" not in r or r.lower().isalpha()) and not any(x in r for x in self.leads) for r in runs]
+        place, plain = np.full(len(runs), -1, np.int64), [i for i, ok in enumerate(sure) if ok]
+        found, coded, counts = [], [], []
+        for k in range(0, len(plain), LINE_RUNS):
+            at = plain[k:k + LINE_RUNS]
+            ids = np.array(self._plain(" ".join([runs[i] for i in at])), np.uint32)
             ends = np.flatnonzero(self.ends_piece[ids])
-            if len(ends) != parts[at].sum():   # not such words after all
-                parts[at] = 0
+            if len(ends) == len(at) and ends[-1] == len(ids) - 1:
+                found += at
+                coded.append(ids)
+                counts.append(np.diff(ends, prepend=-1))
                 continue
-            order.append(at)
-            flat.append(ids)
-            counts.append(np.diff(ends[np.cumsum(parts[at]) - 1], prepend=-1))
-        rest = np.flatnonzero(parts == 0)
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
-        return (np.concatenate([*order, rest]), np.concatenate([*flat, np.array([i for x in coded for i in x], np.uint32)]),
-                np.concatenate([*counts, np.array([len(x) for x in coded], np.int64)]).astype(np.int64))
+            for i in at:   # not one piece each: leave those to their words
+                ids = np.array(self._plain(runs[i]), np.uint32)
+                if len(ids) and self.ends_piece[ids].sum() == 1 and self.ends_piece[ids[-1]]:
+                    found.append(i)
+                    coded.append(ids)
+                    counts.append(np.array([len(ids)]))
+        place[found] = len(self.bounds) - 1 + np.arange(len(found))
+        if found:
+            self._keep(coded, counts)
+        return place
+
+    def _encode_words(self, words: list[str]) -> np.ndarray:
+        coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        place = len(self.bounds) - 1 + np.arange(len(words))
+        self._keep(coded, [np.array([len(x) for x in coded], np.int64)])
+        return place
+
+    def _places(self, kind: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Place in bounds of each run (or word) data[start:end]; a 64-bit hash tells them apart."""
+        numbers = getattr(self, kind)
+        hashes = hashed(data, starts, ends)
+        number = numbers.get(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh, at = np.unique(hashes[new], return_index=True)
+            raw, at = data.tobytes(), new[at]
+            texts = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            numbers.add(fresh)
+            self.place[kind] = np.concatenate([self.place[kind], self._encode_runs(texts) if kind == "runs" else self._encode_words(texts)])
+            number[new] = numbers.get(hashes[new])
+        return self.place[kind][number]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after the other, number of ids of each word) of the words data[start:end]; a 64-bit hash tells words apart."""
-        if len(self.numbers) > CACHED_WORDS:
+        """(ids one after the other, number of ids of each word) of the words data[start:end]."""
+        if len(self.bounds) > CACHED_WORDS:
             self.forget()
-        distinct, at, which = np.unique(hashed(data, starts, ends), return_index=True, return_inverse=True)
-        number = np.array([self.numbers.get(x, -1) for x in distinct.tolist()], np.int64)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            raw = data.tobytes()
-            order, ids, count = self._encode([raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-            number[new[order]] = len(self.numbers) + np.arange(len(new))
-            self.numbers.update(zip(distinct[new].tolist(), number[new].tolist()))
-            self.ids = np.concatenate([self.ids, ids])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(count)])
-        number = number[which]
-        first = self.bounds[number]
-        count = self.bounds[number + 1] - first if len(number) else first
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if self.by_run:
+            low = LOWERED[data]   # such a tokenizer lower-cases
+            kind = _CLASS[data]
+            change = np.ones(len(data) + 1, bool)
+            change[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)   # a digit is a run for itself
+            change[starts] = change[ends] = True
+            first, last = np.flatnonzero(change[:-1] & (kind > 0)), np.flatnonzero(change[1:] & (kind > 0)) + 1
+            word = np.cumsum(np.bincount(starts, minlength=len(data)))[first] - 1
+            place = self._places("runs", low, first, last)
+            odd = np.zeros(len(starts), bool)
+            odd[word[place < 0]] = True
+            if odd.any():   # their words instead of their runs
+                at = np.flatnonzero(odd)
+                keep = ~odd[word]
+                place = np.concatenate([place[keep], self._places("words", data, starts[at], ends[at])])
+                word = np.concatenate([word[keep], at])
+                order = np.argsort(word, kind="stable")
+                place, word = place[order], word[order]
+        else:
+            place, word = self._places("words", data, starts, ends), np.arange(len(starts))
+        first = self.bounds[place]
+        count = self.bounds[place + 1] - first
         start = np.concatenate(([0], np.cumsum(count)))
-        return self.ids[np.arange(start[-1]) - np.repeat(start[:-1] - first, count)], count
+        shift = np.repeat(first - start[:-1], count)
+        shift += np.arange(start[-1])
+        return self.ids[shift], np.diff(start[np.searchsorted(word, np.arange(len(starts) + 1))])
 
 
 _WORKER: dict = {}   # per Python worker: its encoder
@@ -286,12 +402,13 @@ def read_tokens(spark, path: str) -> DataFrame:
         for batch in batches:
             for shard, start, data in zip(*(c.to_pylist() for c in batch.columns)):
                 block = TokenBlock(data)
-                ends = block.ends.all().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                crc = [zlib.crc32(block.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(block.doc_ids(), pa.int64()), pa.array(before[shard] + start + starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for lo in range(0, block.n_docs, READ_DOCS):
+                    hi = min(lo + READ_DOCS, block.n_docs)
+                    at = block.offsets(lo, hi)
+                    crc = [zlib.crc32(block.ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:])]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(block.doc_ids(lo, hi), pa.int64()), pa.array(before[shard] + start + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.select("shard", "shard_start", "block").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
