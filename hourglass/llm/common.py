@@ -34,6 +34,21 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def sampled(df: DataFrame, key: str, share: float) -> DataFrame:
+    """The rows whose key's hash lies in the first ``share`` of its 63 bits: rows of a key go together, and no share rounds to nothing."""
+    return df if share >= 1 else df.where(F.xxhash64(key).bitwiseAND(F.lit(2 ** 63 - 1)) < F.lit(int(share * 2.0 ** 63)))
+
+
+def quota(counts: list[int], total: int) -> float:
+    """The most rows each group may give so that all together give ``total`` at most (groups below it give all they have)."""
+    left, groups = total, len(counts)
+    for n in sorted(counts):
+        if n * groups > left:
+            return left / groups
+        left, groups = left - n, groups - 1
+    return float(max(counts, default=0))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder (zstd parquet) and read it back: lineage ends there."""
     path = scratch_path(df.sparkSession, name)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sampled, stored
 
 #: Rows of the sample that the index is fitted on (by expectation), rows of a part at that, neighbours in the graph,
 #: parts that a query looks into, rows of a block.
@@ -129,7 +129,7 @@ def fit_router(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Router
     """(router, number of parts, length of vectors) from a sample of about ``sample_rows`` rows."""
     n = rows.count()
     share = min(1.0, sample_rows / max(n, 1))
-    found = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["vec_id"]).orderBy("vec_id").collect()
+    found = sampled(rows, "vec_id", share).groupBy("vec_id").agg(F.min("vec").alias("vec")).orderBy("vec_id").collect()
     if not found:
         found = rows.orderBy("vec_id").limit(1).collect()
     if not found:

@@ -30,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, release, text_bytes, word_spans
+from .common import mixed, pieces, release, sampled, text_bytes, word_spans
 from .sequences import viterbi
 
 #: Kinds in order, patterns.
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# (possessive, and from the start of a run of digits: the same matches, without trying a long run from every digit)
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NO_DIGIT = re.compile("[^0-9]+")
 
@@ -239,7 +240,7 @@ def labelled_windows(docs: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[li
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text rlike '[0-9@]'")
     n = rows.count()
     share = min(1.0, fit_rows / max(n, 1))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"]).select("text")
+    chosen = sampled(rows, "doc_id", share).groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
 
     def label(batches):
         for batch in batches:

@@ -11,7 +11,7 @@ features; a temperature chosen on a fifth of the fitted rows calibrates it.
 
 Word vectors and network are fitted on a bounded sample of labelled rows: at
 most ``fit_rows`` by expectation, chosen by a hash of the id, repeated ids
-once.  All rows and whole texts are scored.
+once (their smallest text).  All rows and whole texts are scored.
 
 Null and empty texts are scored like any other (no words: zero vectors);
 conflicting labels of an id count by their mean; without labelled rows, or
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, hashed, mixed, pack, pieces, randoms, remainder, text_bytes, unpack, word_spans
+from .common import LOWERED, hashed, pack, pieces, randoms, remainder, sampled, small, stored, text_bytes, unpack, word_spans
 
 #: Rows fitted on at most (by expectation); word slots; dimensions; nonzeros of an index vector; hidden units.
 FIT_ROWS, SLOTS, DIM, NONZERO, HIDDEN = 20_000, 1 << 14, 64, 4, 32
@@ -190,44 +190,42 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train, label: str = "quality
              .where(train).groupBy("doc_id").agg(F.avg("y").alias("y")))
     n = marks.count()
     share = min(1.0, fit_rows / max(n, 1))
-    chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = sampled(marks, "doc_id", share)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).repartition(16, "doc_id").select("text", "y")   # about fit_rows ids
-    rows.persist()
-    try:
-        def learn(batches):
-            sums = np.zeros((SLOTS, DIM))
-            for batch in batches:
-                data, offsets = text_bytes(batch.column(0))
-                for lo, hi in pieces(offsets):
-                    slots, _, first, _ = _read(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                    near = np.ones(len(slots), bool)
-                    near[first[:-1][np.diff(first) > 0]] = False   # a row's first word has no left neighbour
-                    right = np.flatnonzero(near)
-                    for a, b in ((right, right - 1), (right - 1, right)):
-                        # the neighbours' index vectors, dimension by dimension
-                        for d in range(DIM):
-                            sums[:, d] += np.bincount(slots[a], weights=INDEX[slots[b], d], minlength=SLOTS)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int64()), "sums": [pack(sums.reshape(-1).astype(np.float32))]})
-
-        def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"part": [0], "sums": [pack(sum(unpack(x)[0] for x in parts.sums))]})
-
-        total = rows.select("text").mapInArrow(learn, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").first()
-        vectors = unpack(bytes(total.sums))[0].reshape(SLOTS, DIM) if total else np.zeros((SLOTS, DIM), np.float32)
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        vectors = np.where(norms > 0, vectors / np.maximum(norms, 1e-9), INDEX / 2).astype(np.float32)
-        table = spark.sparkContext.broadcast(vectors)   # SLOTS x DIM, whatever the input
-
-        def describe(batches):
-            for batch in batches:
-                y = np.asarray(batch.column(1), float)
-                for lo, hi, x in features(batch.column(0), table.value):
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y[lo:hi].tobytes()], pa.binary())], ["x", "y"])
-
-        parts = rows.mapInArrow(describe, "x binary, y binary").collect()   # about fit_rows rows of numbers
-    finally:
-        rows.unpersist()
+    # about fit_rows ids; of several texts of an id the smallest
+    rows = stored(texts.join(small(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+                  .repartition(16, "doc_id").select("text", "y"), "quality-sample")
+    def learn(batches):
+        sums = np.zeros((SLOTS, DIM))
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for lo, hi in pieces(offsets):
+                slots, _, first, _ = _read(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                near = np.ones(len(slots), bool)
+                near[first[:-1][np.diff(first) > 0]] = False   # a row's first word has no left neighbour
+                right = np.flatnonzero(near)
+                for a, b in ((right, right - 1), (right - 1, right)):
+                    # the neighbours' index vectors, dimension by dimension
+                    for d in range(DIM):
+                        sums[:, d] += np.bincount(slots[a], weights=INDEX[slots[b], d], minlength=SLOTS)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int64()), "sums": [pack(sums.reshape(-1).astype(np.float32))]})
+
+    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [0], "sums": [pack(sum(unpack(x)[0] for x in parts.sums))]})
+
+    total = rows.select("text").mapInArrow(learn, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").first()
+    vectors = unpack(bytes(total.sums))[0].reshape(SLOTS, DIM) if total else np.zeros((SLOTS, DIM), np.float32)
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = np.where(norms > 0, vectors / np.maximum(norms, 1e-9), INDEX / 2).astype(np.float32)
+    table = spark.sparkContext.broadcast(vectors)   # SLOTS x DIM, whatever the input
+
+    def describe(batches):
+        for batch in batches:
+            y = np.asarray(batch.column(1), float)
+            for lo, hi, x in features(batch.column(0), table.value):
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y[lo:hi].tobytes()], pa.binary())], ["x", "y"])
+
+    parts = rows.mapInArrow(describe, "x binary, y binary").collect()   # about fit_rows rows of numbers
     y = np.concatenate([np.frombuffer(p.y) for p in parts]) if parts else np.zeros(0)
     if not len(y) or y.min() == y.max():
         return QualityModel(vectors, None, float(y.mean()) if len(y) else 0.5)
