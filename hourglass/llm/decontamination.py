@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from .common import hashed_words, mixed, randoms
 
 RATIO, WALKS, SAMPLES, PLACES, ITEM_BLOCK = 0.2, 4, 12, 2, 20_000
-#: Windows that are embedded together at most.
-TOGETHER = 16_384
+#: Windows that are embedded together at most, and words of windows (and of edit tables) held at once.
+TOGETHER, CELLS = 16_384, 1 << 21
 #: The bitmap's size as a power of two; items under SHORT words count words instead of pairs.
 BITS, SHORT = 20, 8
 
@@ -93,29 +93,36 @@ def keys(windows: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, most: int, slack: int = 0) -> np.ndarray:
-    """Edit distances of paired rows: of a row of ``a`` to the nearest stretch of the row of ``b``.
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of paired rows, the edit distance of a row of ``a`` to the nearest stretch of the row of ``b``, and where that begins.
 
-    Stretches begin at one of the first ``slack + 1`` words and end anywhere.
-    Exact up to ``most`` and above it some larger number.
+    Stretches begin at one of the first ``slack + 1`` words (of equally near
+    ones the first) and end anywhere.  Exact up to ``most``, above it some
+    larger distance.  One banded table for all beginnings: an entry is the
+    distance times a unit plus the beginning, so a minimum takes both along; a
+    row of it is four array operations.
     """
     (rows, n), long = a.shape, b.shape[1]
-    far = most + 1
-    width = 2 * most + 1 + slack
-    # band[:, d + 1]: distance of the first i words of a and the words of b up to i + d - most
-    band = np.full((rows, width + 2), far, np.int32)
-    band[:, 1 + most:1 + width] = np.maximum(np.arange(most + slack + 1) - slack, 0)
+    width, unit = 2 * most + 1 + slack, slack + 2
+    far = (most + 1) * unit
+    shift = np.arange(width) * unit
+    # band[:, d]: the first i words of a against the words of b up to i + d - most
+    j = np.arange(width) - most
+    band = np.where(j < 0, far, np.maximum(j - slack, 0) * unit + np.minimum(j, slack))[None].repeat(rows, 0)
+    padded = np.concatenate([np.full((rows, most + 1), PAD), b, np.full((rows, max(0, n + width - most - long)), PAD)], 1)
     for i in range(1, n + 1):
-        new = np.full_like(band, far)
-        for d in range(width):
-            j = i + d - most
-            if j == 0:
-                new[:, d + 1] = i
-            elif 0 < j <= long:
-                cost = (a[:, i - 1] != b[:, j - 1])
-                new[:, d + 1] = np.minimum(np.minimum(band[:, d + 1] + cost, band[:, d + 2] + 1), new[:, d] + 1)
+        j = i + np.arange(width) - most
+        cost = (a[:, i - 1, None] != padded[:, i:i + width]) * unit   # (its column i + d is word i + d - most of b)
+        new = band + cost
+        new[:, :-1] = np.minimum(new[:, :-1], band[:, 1:] + unit)
+        new[:, (j < 0) | (j > long)] = far
+        if i <= most:
+            new[:, most - i] = i * unit
+        new = np.minimum.accumulate(new - shift, axis=1) + shift
+        new[:, (j < 0) | (j > long)] = far
         band = np.minimum(new, far)
-    return band[:, 1:width + 1].min(1)
+    best = band.min(1)
+    return best // unit, best % unit
 
 
 class ItemIndex:
@@ -176,15 +183,15 @@ class ItemIndex:
         waiting: dict = {}
         for lo, _, words, first in hashed_words(column, True, SEPARATORS):
             for n, row, start in self.windows(words, first):
-                for k in range(0, len(start), TOGETHER):
-                    part = start[k:k + TOGETHER]
-                    own = row[k:k + TOGETHER]
-                    held = waiting.setdefault(n, [])
-                    most = self.by_length[n][2]
+                most, held = self.by_length[n][2], waiting.setdefault(n, [])
+                together = max(16, min(TOGETHER, CELLS // (n + 3 * most)))
+                for k in range(0, len(start), together):
+                    part = start[k:k + together]
+                    own = row[k:k + together]
                     at = part[:, None] + np.arange(-most, n + 2 * most)
                     inside = (at >= first[own][:, None]) & (at < first[own + 1][:, None])
                     held.append((np.where(inside, words[np.where(inside, at, 0)], PAD), own + lo, part - first[own]))
-                    if sum(len(x[1]) for x in held) >= TOGETHER:
+                    if sum(len(x[1]) for x in held) >= together:
                         self._look(n, held, found)
                         held.clear()
         for n, held in waiting.items():
@@ -214,12 +221,11 @@ class ItemIndex:
         rest = np.flatnonzero(~np.isin(of, of[same]))
         # of the windows that begin within most + 1 words, one: all starts up to most words off are looked at
         rest = rest[np.unique(np.stack([of[rest], start[w[rest]] // (most + 1)]), axis=1, return_index=True)[1]]
-        if len(rest):
-            rest = rest[edit_distances(own[k[rest]], stretches[w[rest]], most, 2 * most) <= most]
-        for part in np.array_split(rest, -(-len(rest) // 512)) if len(rest) else ():
-            each = np.stack([edit_distances(own[k[part]], stretches[w[part], off:off + n + most], most) for off in range(2 * most + 1)])
-            off = each.argmin(0)
-            finds.append((row[w[part]], k[part], np.maximum(start[w[part]] - most + off, 0), each.min(0)))
+        step = max(16, CELLS // (5 * most + n + 1))
+        for part in (rest[k:k + step] for k in range(0, len(rest), step)):
+            d, off = edit_distances(own[k[part]], stretches[w[part]], most, 2 * most)
+            near = d <= most
+            finds.append((row[w[part]][near], k[part][near], np.maximum(start[w[part]][near] - most + off[near], 0), d[near].astype(np.int32)))
         for r, item, s, d in zip(*(np.concatenate(x).tolist() for x in zip(*finds))):
             if (d, s) < found.get((r, n, item), (most + 1, 0)):
                 found[r, n, item] = (d, s)

@@ -26,8 +26,8 @@ Components of the links come from star steps on tables.
 
 Null and empty texts have an empty set, no link, and their own id as
 component; a document with fewer words than a shingle has its whole sequence
-as the one shingle; repeated rows are rows of their own; rows with a null id
-have a null component unless their class or its links have an id; an empty
+as the one shingle; repeated rows and ids are rows of their own; rows with a null
+id take part like all others (their component is null if no row of it has an id); an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -139,16 +139,17 @@ BLOCK_FORM = "block_id long, n_shingles long, docs binary, digests binary, paylo
 
 
 def _blocks(width: int, shift: int):
-    """Blocks of documents: ids, sizes and digests of all, and of each distinct set its shingles below the
+    """Blocks of documents: ids, text hashes, sizes and digests of all, and of each distinct set its shingles below the
     ``shift``-th halving of the hash range."""
     limit = np.uint64((1 << (64 - shift)) - 1)
 
     def run(batches):
-        ids, sizes, digests, seen, rows, counts, tokens, size = [], [], [], set(), [], [], [], 0
+        ids, texts, sizes, digests, seen, rows, counts, tokens, size = [], [], [], [], set(), [], [], [], 0
 
         def block():
             known = pa.concat_arrays(ids)
-            docs = pack(np.asarray(known.fill_null(0), np.int64), np.asarray(known.is_null()), np.concatenate(sizes).astype(np.int32))
+            docs = pack(np.asarray(known.fill_null(0), np.int64), np.asarray(known.is_null()), np.concatenate(sizes).astype(np.int32),
+                        np.concatenate(texts))
             payload = pack(np.array(rows, np.uint32), np.array(counts, np.uint32), np.concatenate([np.zeros(0, np.uint64), *tokens]))
             return pa.RecordBatch.from_arrays([
                 pa.array([secrets.randbits(62)], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([docs], pa.binary()),
@@ -158,6 +159,7 @@ def _blocks(width: int, shift: int):
             for lo, hi, words, first in hashed_words(batch.column(1)):
                 sets, bounds = _sets(words, first, width)
                 ids.append(batch.column(0).slice(lo, hi - lo))
+                texts.append(np.asarray(batch.column(2).slice(lo, hi - lo), np.int64))
                 sizes.append(np.diff(bounds))
                 size += len(sets) + 50 * (hi - lo)
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -170,7 +172,7 @@ def _blocks(width: int, shift: int):
                         counts.append(len(tokens[-1]))
                 if size >= BLOCK_SHINGLES:
                     yield block()
-                    ids, sizes, digests, seen, rows, counts, tokens, size = [], [], [], set(), [], [], [], 0
+                    ids, texts, sizes, digests, seen, rows, counts, tokens, size = [], [], [], [], set(), [], [], [], 0
         if ids:
             yield block()
     return run
@@ -180,28 +182,27 @@ def _digests(block) -> list[bytes]:
     return [block.digests[k:k + 16] for k in range(0, len(block.digests), 16)]
 
 
-INFO = "doc_id long, n int, digest binary"
+INFO = "doc_id long, n int, text_hash long, digest binary"
 
 
 def _info(batches):
     for batch in batches:
         for docs, digests in zip(*(c.to_pylist() for c in batch.columns)):
-            ids, nulls, sizes = unpack(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=nulls), pa.array(sizes),
-                                              pa.array([digests[k:k + 16] for k in range(0, len(digests), 16)], pa.binary())], ["doc_id", "n", "digest"])
+            ids, nulls, sizes, texts = unpack(docs)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=nulls), pa.array(sizes), pa.array(texts),
+                                              pa.array([digests[k:k + 16] for k in range(0, len(digests), 16)], pa.binary())], ["doc_id", "n", "text_hash", "digest"])
 
 
 def _staying(percent: int):
     """Step 2: the sets of a block that may have a link."""
     def run(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         row = next(block.itertuples())
-        ids, nulls, sizes = unpack(row.docs)
+        _, _, sizes, texts = unpack(row.docs)
         rows, counts, tokens = unpack(row.payload)
         lonely = np.bincount(np.repeat(np.arange(len(rows)), counts), weights=_heard(tokens, told) == 1, minlength=len(rows))
         keep = rows[lonely <= may_differ(sizes[rows].astype(np.int64), percent)]
         digests = _digests(row)
-        return pd.DataFrame({"doc_id": pd.array(ids[keep], "Int64").copy() if not nulls[keep].any() else pd.array(
-            [None if nulls[k] else ids[k] for k in keep], "Int64"), "digest": [digests[k] for k in keep]})
+        return pd.DataFrame({"text_hash": texts[keep], "digest": [digests[k] for k in keep]})
     return run
 
 
@@ -305,9 +306,13 @@ def _candidates(percent: int):
     return run
 
 
+def text_hash():
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+
+
 def similarity_links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, n, digest of every row; links (a, b) between digests, enough to connect all linked classes."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(documents, links): doc_id, n, text_hash, digest of every row; links (a, b) between digests, enough to connect all linked classes."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash())
     shift = max(0, int(np.floor(np.log2(100 / (2 * (100 - percent))))) if percent < 100 else 6)
     blocks = bucketed(chosen.mapInArrow(_blocks(width, shift), BLOCK_FORM), "block_id", "jaccard-blocks")
     info = blocks.select("docs", "digests").mapInArrow(_info, INFO)
@@ -316,9 +321,10 @@ def similarity_links(docs: DataFrame, width: int = 3, percent: int = 90) -> tupl
         return max(1, round(np.log2((blocks.agg(F.sum("n_shingles")).first()[0] or 0) / BUCKET_SHINGLES + 1)))
 
     stay = (blocks.groupBy("block_id").cogroup(_ask(blocks, shift, bits(blocks)).groupBy("block_id"))
-            .applyInPandas(_staying(percent), "doc_id long, digest binary"))
-    ids = stored(stay.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "jaccard-ids")
-    whole = bucketed(chosen.join(small(ids), "doc_id", "left_semi").mapInArrow(_blocks(width, 0), BLOCK_FORM), "block_id", "jaccard-sets")
+            .applyInPandas(_staying(percent), "text_hash long, digest binary"))
+    # the sets that stay are known by a text of theirs: rows without an id, and rows that share one, count as well
+    texts = stored(stay.groupBy("digest").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct(), "jaccard-texts")
+    whole = bucketed(chosen.join(small(texts), "text_hash", "left_semi").select("doc_id", "text", "text_hash").mapInArrow(_blocks(width, 0), BLOCK_FORM), "block_id", "jaccard-sets")
     sets = stored(whole.groupBy("block_id").cogroup(_ask(whole, 0, bits(whole)).groupBy("block_id"))
                   .applyInPandas(_entries(percent), SETS), "jaccard-index")
 
@@ -352,14 +358,18 @@ def similarity_links(docs: DataFrame, width: int = 3, percent: int = 90) -> tupl
     return info, links
 
 
-def similarity_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links) of every row."""
+def _rooted(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, text_hash, digest of every row; digest and root -- the least digest of its component -- of every set)."""
     info, links = similarity_links(docs, width, percent)
     roots = components(links)
-    full = info.where("n > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    rooted = classes.join(roots, classes.digest == roots.node, "left").select("digest", "doc_id", F.coalesce("root", "digest").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = info.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    return info, classes.join(roots, classes.digest == roots.node, "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
+
+
+def similarity_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable by links) of every row."""
+    info, rooted = _rooted(docs, width, percent)
+    least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     named = rooted.select("digest", "root").join(least, "root").select("digest", "component_id")
     return (info.join(named, "digest", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
@@ -367,18 +377,32 @@ def similarity_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Filter: of each group of linked documents the row with the least id stays, with all its columns.
+    """Filter: of each group of linked documents the row with the least id stays (then the least hash of its text), with all its columns.
 
-    Rows with a null id stay, as no decision can name them.  Of several rows with the same id one stays.
+    Rows are told apart by id and text, so a text never goes because another
+    one shares its id; a null id comes after all others.  Rows equal in both
+    are one document, of which one row stays.  Texts without words are groups
+    of their own.
     """
-    groups = stored(similarity_groups(docs, width, percent).where("doc_id is not null"), "jaccard-groups")
-    gone = stored(groups.where("doc_id != component_id").select("doc_id").distinct(), "jaccard-gone")
-    again = stored(groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "jaccard-again")
-    left = docs.join(small(gone), "doc_id", "left_anti")
-    repeated = again.count()
-    if repeated:
-        one = left.join(small(again, repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(small(again, repeated), "doc_id", "left_anti").unionByName(one)
+    info, rooted = _rooted(docs, width, percent)
+    rooted = stored(rooted, "jaccard-roots")
+    best = rooted.groupBy("root").agg(F.min("first").alias("best")).withColumnRenamed("root", "of")
+    kept = rooted.join(best, rooted.root == best.of).select("digest", "best")
+    rows = stored(info.join(kept, "digest", "left").select(
+        "doc_id", "text_hash", (F.col("best").isNull() | (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_hash") == F.col("text_hash")))).alias("stays"))
+        .groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")), "jaccard-decisions")
+    mark = "_text_hash"
+    marked = docs.withColumn(mark, text_hash())
+
+    def among(decisions: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        d = small(decisions.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+        return of.join(d, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_hash")), how)
+
+    left = among(rows.where("not stays"), "left_anti", marked)
+    again = rows.where("stays and rows > 1")
+    if not again.isEmpty():
+        one = among(again, "left_semi", left).dropDuplicates(["doc_id", mark])
+        left = among(again, "left_anti", left).unionByName(one)
     return left.select(*docs.columns)
 
 
@@ -390,7 +414,8 @@ def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 #: The same by brute force; DuckDB counts the shared shingles of all pairs.
 OP6_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
