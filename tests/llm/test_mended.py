@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import brute_groups
 
-from hourglass.llm import common, decontamination, language, ngram_jaccard, private_data, quality, token_store
+from hourglass.llm import common, decontamination, language, neighbours, ngram_jaccard, private_data, quality, token_store
 
 
 def chain(k, n=60, moved=2):
@@ -204,3 +204,52 @@ def test_op6_sql_takes_rows_without_an_id(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(tuple(r) for r in ngram_jaccard.op6_ngram_jaccard(spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(ngram_jaccard.OP6_SQL).fetchall())
+
+
+# --- neighbours with the registered settings
+
+def clustered(n, dim=32, centres=60, seed=3):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim))
+    return middle[rng.integers(0, centres, n)] + 0.25 * rng.normal(size=(n, dim))
+
+
+def recall_and_share(spark, x, ids, **settings):
+    """(recall, share of rows compared, rows found for each query) of a search against brute force."""
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>").repartition(8)
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, **settings).toPandas()
+    asked = np.flatnonzero(ids % 20 == 0)
+    hits = 0
+    for q in asked:
+        score = x @ x[q]
+        score[ids == ids[q]] = -np.inf
+        true = set(ids[np.lexsort((ids, -score))[:20]])
+        mine = got[got.query_id == ids[q]].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 21)) and np.allclose(mine.score, score[np.searchsorted(ids, mine.vec_id)], atol=1e-9)
+        hits += len(true & set(mine.vec_id))
+    rows, dim = neighbours.usable(df)
+    index = neighbours.fit_partition(rows, dim, len(x))
+    placed = spark.createDataFrame([(int(i), int(p), r.tobytes()) for i, p, r in zip(ids, index.home(x), x)], neighbours.FORM)
+    probes = neighbours.measured_probes(placed, index, dim, len(x), 20)
+    sizes = np.bincount(index.home(x), minlength=index.parts)
+    share = sizes[index.order(x[asked], probes)].sum(1).mean() / len(x)
+    return hits / (20 * len(asked)), share, index.parts
+
+
+@pytest.mark.parametrize("n", [6_000, 24_000])
+def test_neighbours_prune_clustered_vectors(spark, n):
+    recall, share, parts = recall_and_share(spark, clustered(n), np.arange(n))
+    assert recall >= 0.9 and share <= 0.3 and parts >= n / 2000
+
+
+def test_neighbours_of_random_vectors_reach_recall(spark):
+    recall, _, _ = recall_and_share(spark, np.random.default_rng(1).normal(size=(3000, 32)), np.arange(3000))
+    assert recall >= 0.9
+
+
+def test_neighbours_fill_up_from_other_parts(spark):
+    x = clustered(3000, centres=40)
+    ids = np.arange(3000)
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, probes=1, part_rows=30).groupBy("query_id").count().collect()
+    assert len(got) == 30 and all(r["count"] == 20 for r in got)
