@@ -197,12 +197,12 @@ def _staying(percent: int):
     """Step 2: the sets of a block that may have a link."""
     def run(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         row = next(block.itertuples())
-        _, _, sizes, texts = unpack(row.docs)
+        ids, nulls, sizes, texts = unpack(row.docs)
         rows, counts, tokens = unpack(row.payload)
         lonely = np.bincount(np.repeat(np.arange(len(rows)), counts), weights=_heard(tokens, told) == 1, minlength=len(rows))
         keep = rows[lonely <= may_differ(sizes[rows].astype(np.int64), percent)]
         digests = _digests(row)
-        return pd.DataFrame({"text_hash": texts[keep], "digest": [digests[k] for k in keep]})
+        return pd.DataFrame({"doc_id": pd.array([None if nulls[k] else ids[k] for k in keep], "Int64"), "text_hash": texts[keep], "digest": [digests[k] for k in keep]})
     return run
 
 
@@ -321,12 +321,16 @@ def similarity_links(docs: DataFrame, width: int = 3, percent: int = 90) -> tupl
         return max(1, round(np.log2((blocks.agg(F.sum("n_shingles")).first()[0] or 0) / BUCKET_SHINGLES + 1)))
 
     stay = (blocks.groupBy("block_id").cogroup(_ask(blocks, shift, bits(blocks)).groupBy("block_id"))
-            .applyInPandas(_staying(percent), "text_hash long, digest binary"))
-    # the sets that stay are known by a text of theirs: rows without an id, and rows that share one, count as well
-    texts = stored(stay.groupBy("digest").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct(), "jaccard-texts")
-    whole = bucketed(chosen.join(small(texts), "text_hash", "left_semi").select("doc_id", "text", "text_hash").mapInArrow(_blocks(width, 0), BLOCK_FORM), "block_id", "jaccard-sets")
+            .applyInPandas(_staying(percent), "doc_id long, text_hash long, digest binary"))
+    # each set that stays is known by one row of it, told by id and text: rows without an id, and rows that share one, count as well
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("own")
+    known = stored(stay.groupBy("digest").agg(own).select(F.col("own.doc_id").alias("_id"), F.col("own.text_hash").alias("_hash")), "jaccard-rows")
+    whole = bucketed(chosen.join(small(known), chosen.doc_id.eqNullSafe(F.col("_id")) & (chosen.text_hash == F.col("_hash")), "left_semi").mapInArrow(_blocks(width, 0), BLOCK_FORM), "block_id", "jaccard-sets")
     sets = stored(whole.groupBy("block_id").cogroup(_ask(whole, 0, bits(whole)).groupBy("block_id"))
                   .applyInPandas(_entries(percent), SETS), "jaccard-index")
+    sizes = sets.agg(F.count("*").alias("rows"), F.count_distinct("digest").alias("sets")).first()
+    if sizes["rows"] > sizes["sets"]:   # rows alike in id and text, in several blocks
+        sets = stored(sets.dropDuplicates(["digest"]), "jaccard-index")
 
     # 4: one hub for each set, the set that most often leads its lists
     entries = sets.select("digest", "n", F.explode("entries").alias("e")).select("digest", "n", "e.token", "e.pos")
