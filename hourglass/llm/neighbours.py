@@ -18,7 +18,8 @@ Within a part, rows are dealt to blocks of a bounded size, so a part with a
 third of all rows (copies of one vector) is many blocks, each a key of its own
 in the join.  A block meets a block of queries in one matrix product, which
 finds the rows that may be among the best; those are scored anew in one fixed
-order of addition, and a window over them takes the final k.  A query whose
+order of addition and go, packed, to the bucket of their query, where one task
+takes the final k.  A query whose
 parts hold fewer than k rows looks into all parts.
 
 Scores are inner products of the original vectors in double precision, added
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sampled, small, stored
+from .common import mixed, sampled, small, stored
 from .vectors import clean_vectors
 
 #: Rows of a part; rows of the sample that a level is fitted on (by expectation); neighbours in the graph; rows of a block.
@@ -48,6 +49,8 @@ PART_ROWS, SAMPLE_ROWS, GRAPH, BLOCK_ROWS = 1_000, 12_000, 12, 2_000
 ONE_LEVEL, SIDE, MEASURED, TARGET = 16, 256, 100, 0.95
 #: Entries of a matrix that is held at once.
 CELLS = 1 << 22
+#: What a block of rows gives a block of queries goes on packed; rows that one task merges, by expectation.
+FOUND, BUCKET_ROWS = np.dtype([("query", np.int64), ("row", np.int64), ("score", np.float64)]), 1_000_000
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -311,24 +314,37 @@ def nearest(vectors: DataFrame, query, k: int = 20, probes: int | None = None, p
     candidates = blocked(placed)
     blocks = candidates.groupBy("part").agg(F.collect_set("block").alias("blocks"))
 
-    def compare(batches):
-        for batch in batches:
-            for q_ids, q_vecs, c_ids, c_vecs in zip(*(c.to_pylist() for c in batch.columns)):
-                q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                q, c = np.frombuffer(q_vecs).reshape(-1, dim), np.frombuffer(c_vecs).reshape(-1, dim)
-                yield from best_pairs(q_ids, q, c_ids, c, k)
+    def search(asking: DataFrame, probes: int) -> DataFrame:
+        asked = asking.mapInArrow(route(probes), FORM)
+        buckets = max(1, -(-asking.count() * probes * k // BUCKET_ROWS))
+
+        def compare(batches):
+            for batch in batches:
+                for q_ids, q_vecs, c_ids, c_vecs in zip(*(c.to_pylist() for c in batch.columns)):
+                    q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
+                    found = np.concatenate([*best_pairs(q_ids, np.frombuffer(q_vecs).reshape(-1, dim), c_ids, np.frombuffer(c_vecs).reshape(-1, dim), k),
+                                            np.zeros(0, FOUND)])
+                    bucket = (mixed(found["query"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(bucket[order][edges]), pa.array([x.tobytes() for x in np.split(found[order], edges[1:])][:len(edges)], pa.binary())], ["bucket", "found"])
+
+        def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            found = np.concatenate([np.frombuffer(x, FOUND) for x in rows.found])
+            found = found[np.lexsort((found["row"], -found["score"], found["query"]))]
+            rank = np.arange(len(found)) - np.searchsorted(found["query"], found["query"]) + 1
+            found, rank = found[rank <= k], rank[rank <= k]
+            return pd.DataFrame({"query_id": found["query"], "rank": rank.astype(np.int32), "vec_id": found["row"], "score": found["score"]})
 
-    def search(asked: DataFrame) -> DataFrame:
         questions = blocked(asked).select("part", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
         # a key for each block of rows: a large part is no large key
         each = questions.join(F.broadcast(blocks), "part").select("part", F.explode("blocks").alias("block"), "q_ids", "q_vecs")
-        pairs = (each.join(candidates, ["part", "block"]).select("q_ids", "q_vecs", "ids", "vecs")
-                 .mapInArrow(compare, "query_id long, vec_id long, score double"))
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return (each.join(candidates, ["part", "block"]).select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(compare, "bucket long, found binary")
+                .groupBy("bucket").applyInPandas(merge, "query_id long, rank int, vec_id long, score double"))
 
     asking = rows.where(query).select("vec_id", "vec")
-    found = search(asking.mapInArrow(route(probes), FORM))
+    found = search(asking, probes)
     if probes == index.parts:
         return found
     found = stored(found, "ann-found")
@@ -338,11 +354,11 @@ def nearest(vectors: DataFrame, query, k: int = 20, probes: int | None = None, p
         return found
     again = stored(short, "ann-short")
     return (found.join(small(again.select(F.col("vec_id").alias("query_id")).distinct()), "query_id", "left_anti").select(*found.columns)
-            .unionByName(search(again.mapInArrow(route(index.parts), FORM))))
+            .unionByName(search(again, index.parts)))
 
 
 def best_pairs(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int):
-    """Batches of (query_id, vec_id, score) with each query's best k of the candidates."""
+    """Arrays (query, row, score) with each query's best k of the candidates."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     most = float(np.sqrt((c * c).sum(1).max(initial=0)))
@@ -361,7 +377,9 @@ def best_pairs(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
         best = np.lexsort((at, -value, row))
         row, at, value = row[best], at[best], value[best]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        yield pa.RecordBatch.from_arrays([pa.array(own[row[keep]]), pa.array(c_ids[at[keep]]), pa.array(value[keep])], ["query_id", "vec_id", "score"])
+        out = np.zeros(int(keep.sum()), FOUND)
+        out["query"], out["row"], out["score"] = own[row[keep]], c_ids[at[keep]], value[keep]
+        yield out
 
 
 def op8_learned_partitions(spark, sf_dir: str) -> DataFrame:
