@@ -17,7 +17,7 @@ def con_small():
 def test_every_query_has_oracle_or_is_model():
     q, s = E.core_queries(), E.core_sql()
     assert set(s) <= set(q)
-    assert set(q) - set(s) == {"linear_forecast", "forest_forecast"}
+    assert set(q) - set(s) == {"linear_forecast", "linear_moments", "forest_forecast"}
 
 
 @pytest.mark.parametrize("name", NAMES)
