@@ -7,7 +7,7 @@ templates: per host, the paths form a tree; level by level
   (two-proportion z-test) stays a branch of its own, however many there are;
 * all others, those without labels too, are merged into one branch: ``*`` if
   the segment is variable (many children, or several that all hold digits),
-  otherwise ``~``.
+  otherwise ``~``; a segment that all paths of a node share keeps its name.
 
 From ``children`` labelled siblings on, the test asks for more (z squared plus
 twice the logarithm of their number over ``children``, a Bonferroni bound), so
@@ -20,10 +20,11 @@ rows are the urls that rules decide, unless the caller gives labels.
 
 Work is done on the distinct (host, path) with their counts, so a host or a
 url with a third of all rows is pre-aggregated before any shuffle; the joins
-back have unique right sides, which AQE may split.  Each level is written to
-the shared folder, with the paths that reach it only: those that end leave,
-and so do those alone in their node, whose further levels (one child each) are
-written down at once.  The levels go on until no path is left.
+back have unique right sides, which AQE may split.  Each round is written to
+the shared folder, with the paths that go on only.  A node passes all the
+segments that its paths share at once, up to the first where they differ (a
+path alone: to its end), so the rounds follow the tree's forks, not the length
+of its paths.  They go on until no path is left.
 
 Null urls and urls without ``://`` have empty host and path and are judged by
 the template of the empty host; repeated rows are judged alike, one row each;
@@ -77,17 +78,17 @@ def path_templates(urls: DataFrame, children: int = 8, z: float = 1.96, weight:
              .select("host", _smoothed("host_bad", "host_known", F.lit(overall), weight).alias("purity")))
     tree = (urls.join(hosts, "host", "left").withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != ""))
             .withColumn("template", F.lit("")).withColumn("ended", F.size("segments") == 0))
-    tree, done, level = stored(tree, "url-tree"), [], 0
+    tree, done = stored(tree, "url-tree"), []
     while True:
         done.append(tree.where("ended").select("host", "path", "template", "purity"))
-        if tree.where("not ended").isEmpty():
+        here = tree.where("not ended")
+        if here.isEmpty():
             return functools.reduce(DataFrame.unionByName, done)
-        here = tree.where("not ended").withColumn("segment", F.get("segments", F.lit(level)))
-        level += 1
+        here = (here.withColumn("segment", F.get("segments", F.lit(0))).withColumn("rest", F.slice("segments", F.lit(2), F.size("segments"))))
         kids = (here.groupBy("host", "template", "segment")
-                .agg(F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"), F.first("purity").alias("purity")))
+                .agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"), F.first("purity").alias("purity"), F.min("rest").alias("low"), F.max("rest").alias("high")))
         family = kids.groupBy("host", "template").agg(
-            F.count("*").alias("kids"), (F.sum("paths") == 1).alias("alone"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"),
+            F.count("*").alias("kids"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"),
             F.count_if(F.col("known") > 0).alias("all_labelled"), F.min(F.col("segment").rlike("[0-9]")).alias("all_digits"))
         rest_known, rest_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
         pooled = F.try_divide("all_bad", "all_known")
@@ -96,20 +97,25 @@ def path_templates(urls: DataFrame, children: int = 8, z: float = 1.96, weight:
                    & (F.abs(F.try_divide("bad", "known") - F.try_divide(rest_bad, rest_known))
                       >= strict * F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("known")) + F.try_divide(F.lit(1), rest_known)))))
         variable = (F.col("kids") >= children) | ((F.col("kids") >= 2) & F.col("all_digits"))
-        branch = F.when(F.coalesce(differs, F.lit(False)), F.col("segment")).when(variable, "*").otherwise("~")
+        branch = (F.when(F.coalesce(differs, F.lit(False)), F.col("segment")).when(variable, "*")
+                  .when(F.col("kids") == 1, F.col("segment")).otherwise("~"))
         named = (kids.join(family, ["host", "template"])
-                 .select("host", "template", "segment", "known", "bad", "purity", "alone", F.concat("template", F.lit("/"), branch).alias("next")))
-        nodes = (named.groupBy("host", "next").agg(F.sum("known").alias("node_known"), F.sum("bad").alias("node_bad"), F.first("purity").alias("above"))
-                 .select("host", "next", _smoothed("node_bad", "node_known", F.col("above"), weight).alias("next_purity")))
-        step = named.select("host", "template", "segment", "next", "alone").join(nodes, ["host", "next"])
-        # a path alone: the same counts smooth its purity again at each further level
-        further = F.size("segments") - F.lit(level)
-        rate, kept = F.try_divide("bad", "known"), F.pow(F.lit(weight) / (F.col("known") + F.lit(weight)), further)
-        purity = F.when(F.col("alone") & (F.col("known") > 0), rate + (F.col("next_purity") - rate) * kept).otherwise(F.col("next_purity"))
-        template = F.concat("next", F.when(F.col("alone"), F.repeat(F.lit("/~" if children > 1 else "/*"), further)).otherwise(""))
+                 .select("host", "template", "segment", "known", "bad", "purity", "low", "high", F.concat("template", F.lit("/"), branch).alias("next")))
+        nodes = named.groupBy("host", "next").agg(F.sum("known").alias("node_known"), F.sum("bad").alias("node_bad"), F.first("purity").alias("above"),
+                                                  F.min("low").alias("low"), F.max("high").alias("high"))
+        # the least and the greatest of a node's rests share what all of them share
+        unlike = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+        nodes = nodes.withColumn("shared", F.when(unlike == 0, F.size("low")).otherwise(unlike - 1))
+        # the same counts smooth the purity again at each shared segment
+        once = _smoothed("node_bad", "node_known", F.col("above"), weight)
+        rate, kept = F.try_divide("node_bad", "node_known"), F.pow(F.lit(weight) / (F.col("node_known") + F.lit(weight)), F.col("shared"))
+        chain = F.transform(F.slice("low", F.lit(1), F.col("shared")), lambda s: F.concat(F.lit("/"), s if children > 1 else F.lit("*")))
+        nodes = nodes.select("host", "next", "shared", F.concat("next", F.array_join(chain, "")).alias("node"),
+                             F.when((F.col("node_known") > 0) & (F.col("shared") > 0), rate + (once - rate) * kept).otherwise(once).alias("node_purity"))
+        step = named.select("host", "template", "segment", "next").join(nodes, ["host", "next"])
         tree = stored(here.join(step, ["host", "template", "segment"])
-                      .select("host", "path", "n", "known", "bad", "segments", purity.alias("purity"), template.alias("template"),
-                              (F.col("alone") | (further == 0)).alias("ended")), "url-tree")
+                      .select("host", "path", "known", "bad", F.slice("rest", F.col("shared") + 1, F.size("rest")).alias("segments"),
+                              F.col("node_purity").alias("purity"), F.col("node").alias("template"), (F.size("rest") == F.col("shared")).alias("ended")), "url-tree")
 
 
 def judge_urls(pages: DataFrame, rules=None, labels: DataFrame | None = None, reject: float = 0.8,
