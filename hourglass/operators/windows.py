@@ -21,12 +21,13 @@ predict                 r-W+1 .. r      r+H          H
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..session import scratch_path
 
 DEFAULT_CHUNK = 1_000_000
 #: Chunk where every row carries its window as an array (72 rows of three doubles: about 2 KB).
@@ -41,20 +42,33 @@ class Framed:
     spec: object
     order: str
     chunk: int
+    keys: tuple = ()
+    back: int = 0
+    forward: int = 0
+
+    def reaching(self, order: str, keys, back: int, forward: int) -> "Framed":
+        """This frame, if it serves the keys, the order and the reach asked for."""
+        if (order, tuple(keys)) != (self.order, self.keys) or back > self.back or forward > self.forward:
+            raise ValueError(f"a frame by {self.keys}, {self.order} with {self.back} rows before and {self.forward} after does not serve "
+                             f"{tuple(keys)}, {order} with {back} and {forward}")
+        return self
 
     def home(self, df: DataFrame | None = None) -> DataFrame:
         d = self.df if df is None else df
         return d.where(F.col("_chunk") == F.floor(F.col(self.order) / F.lit(self.chunk))).drop("_chunk")
 
 
-def framed(df: DataFrame, order: str, keys=(), back: int = 0, forward: int = 0, chunk: int = DEFAULT_CHUNK) -> Framed:
+def framed(df: DataFrame | Framed, order: str, keys=(), back: int = 0, forward: int = 0, chunk: int = DEFAULT_CHUNK) -> Framed:
     """Halo expansion on a numeric ``order`` column (row position or epoch seconds).
 
     A row at ``p`` is needed by home rows ``q`` with ``q - back <= p <= q + forward``,
     so it is copied to chunks ``(p - forward) div C .. (p + back) div C`` (numbers below
     zero are chunks like any other: epoch seconds before 1970 have them).
+    A series that :func:`laid_out` has stored is taken as it lies.
     """
     keys = list(keys)
+    if isinstance(df, Framed):
+        return df.reaching(order, keys, back, forward)
     if chunk <= max(back, forward):
         raise ValueError("chunk must be larger than the frame reach")
     p = F.col(order)
@@ -62,7 +76,28 @@ def framed(df: DataFrame, order: str, keys=(), back: int = 0, forward: int = 0,
     hi = F.floor((p + F.lit(back)) / F.lit(chunk))
     ex = df.withColumn("_chunk", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
     spec = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    return Framed(ex, spec, order, chunk)
+    return Framed(ex, spec, order, chunk, tuple(keys), back, forward)
+
+
+def laid_out(series: DataFrame, keys=(), order: str = "idx", back: int = 96, forward: int = 25, chunk: int = DEFAULT_CHUNK,
+             buckets: int | None = None) -> Framed:
+    """A series stored for all its windows: halo chunks, bucketed by (keys, chunk) and sorted by ``order`` (JN-1, JN-3).
+
+    The rows are shuffled once, here.  Every window function, look-up frame and
+    history count that takes the result in place of the series reads its
+    buckets as they lie: no further exchange of rows.  A key's rows are dealt by
+    chunk, so a hot key fills many buckets.  ``buckets`` (by default the session's
+    shuffle partitions) is to be sized so that a bucket fits a task: one
+    file each.  Null keys are a key of their own; an empty series gives an empty table.
+    """
+    fr = framed(series, order, keys, back, forward, chunk)
+    spark, place = series.sparkSession, [*keys, "_chunk"]
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "layout")
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    (fr.df.repartition(n, *place).write.format("parquet").option("compression", "zstd").option("path", path)
+     .bucketBy(n, place).sortBy([*place, order]).saveAsTable(table))
+    return replace(fr, df=spark.table(table))
 
 
 def _feature_struct(value_cols) -> Column:
@@ -109,7 +144,7 @@ def window_samples(
     ]
     if arrays:
         cols.append(F.collect_list(_feature_struct(value_cols)).over(frame).alias("x"))
-    carry = ["n"] if "n" in series.columns else []
+    carry = ["n"] if "n" in fr.df.columns else []
     out = fr.df.select(*keys, idx_col, date_col, *carry, "_chunk", *cols)
     out = fr.home(out)
     out = out.where((F.col("x_size") == window) & F.col("target_date").isNotNull())
@@ -161,7 +196,7 @@ def persistence(series: DataFrame, value_cols=None, keys=(), window: int = 72, h
     value_cols = list(value_cols or vocab.MEASURES)
     keys = list(keys)
     fr = framed(series, idx_col, keys, back=horizon, forward=0, chunk=chunk)
-    carry = ["n"] if "n" in series.columns else []
+    carry = ["n"] if "n" in fr.df.columns else []
     out = fr.df.select(
         *keys, idx_col, date_col, *carry, "_chunk",
         *[F.col(c).alias(f"y_{c}") for c in value_cols],
@@ -173,16 +208,22 @@ def persistence(series: DataFrame, value_cols=None, keys=(), window: int = 72, h
     return out.where(F.col("sample_idx") >= 0).withColumnRenamed(date_col, "target_date")
 
 
-def history_counts(series: DataFrame, keys=(), hours: int = 72, date_col: str = "date",
-                   chunk_hours: int = 24 * 365) -> DataFrame:
+def history_counts(series: DataFrame | Framed, keys=(), hours: int = 72, date_col: str = "date",
+                   chunk_hours: int = 24 * 365, period_hours: int = 1) -> DataFrame:
     """Rows in the time range [t - hours h, t - 1 h] before each row (WIN-11).
 
     A RANGE frame on epoch seconds inside a time-chunked halo partition.
     Adds ``history_rows`` and ``history_complete`` (= exactly ``hours`` rows).
+    A stored series has at most one row of a key in ``period_hours``, so the
+    range lies within the ``hours / period_hours`` rows before.
     """
     keys = list(keys)
-    s = series.withColumn("_sec", F.unix_seconds(F.col(date_col).cast("timestamp")))
-    fr = framed(s, "_sec", keys, back=hours * 3600, forward=0, chunk=chunk_hours * 3600)
+    seconds = F.unix_seconds(F.col(date_col).cast("timestamp"))
+    if isinstance(series, Framed):
+        fr = framed(series, series.order, keys, back=-(-hours // period_hours))
+        fr = replace(fr, df=fr.df.withColumn("_sec", seconds), spec=Window.partitionBy(*keys, "_chunk").orderBy("_sec"))
+    else:
+        fr = framed(series.withColumn("_sec", seconds), "_sec", keys, back=hours * 3600, forward=0, chunk=chunk_hours * 3600)
     frame = fr.spec.rangeBetween(-hours * 3600, -3600)
     out = fr.df.withColumn("history_rows", F.count(F.lit(1)).over(frame).cast("bigint"))
     out = fr.home(out).drop("_sec")

@@ -13,6 +13,7 @@ from ..sources import files
 from ..sources import fixtures as fx
 from ..sources.runlog import RunLog
 from ..streaming.collapse import HourlyLog
+from . import more as M
 from . import oracle as O
 
 MEASURES = vocab.MEASURES
@@ -102,6 +103,35 @@ def q_record_shapes(spark: SparkSession, sf: str) -> DataFrame:
                                                                                         for s, n in (("e", "expected"), ("p", "predicted"), ("a", "actual")) for m in MEASURES])
 
 
+# -- a panel stored for its windows ---------------------------------------------------------------
+
+KEY = ["l_suppkey"]
+
+
+def _stored_panel(spark: SparkSession, sf: str) -> W.Framed:
+    return W.laid_out(fx.panel(spark, sf), KEY, back=71, forward=24, chunk=500)
+
+
+def q_stored_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The forecast frame of every supplier day from the stored panel: no exchange of rows (JN-1, FLT-6)."""
+    f = requests.forecast_frame(_stored_panel(spark, sf), fx.PANEL_MEASURES, KEY)
+    return f.select(*KEY, "date", "status", "input_window_start", "target_date", "p_l_quantity", "a_l_quantity")
+
+
+def q_stored_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in the ten days before each day of a supplier from the stored panel: no exchange of rows (JN-3, WIN-11)."""
+    h = W.history_counts(_stored_panel(spark, sf), KEY, hours=240, period_hours=24)
+    return h.select(*KEY, "date", "history_rows", "history_complete")
+
+
+def q_stored_persistence(spark: SparkSession, sf: str) -> DataFrame:
+    """Persistence errors per supplier from the stored panel: only the averages are exchanged (WIN-9, WIN-10)."""
+    p = W.time_split(W.persistence(_stored_panel(spark, sf), fx.PANEL_MEASURES, KEY), KEY)
+    err = F.abs(F.col("y_l_quantity") - F.col("p_l_quantity"))
+    return p.where("split = 'test'").groupBy(*KEY).agg(
+        F.count(F.lit(1)).cast("bigint").alias("test_examples"), F.round(F.avg(err), 6).alias("quantity_mae"))
+
+
 # -- models ------------------------------------------------------------------------------------
 
 def _sizes(s: DataFrame, window: int = 72, horizon: int = 24) -> int:
@@ -150,7 +180,7 @@ def q_forest_stump(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "reports_by_name": q_reports_by_name, "stream_hourly": q_stream_hourly, "run_log": q_run_log, "time_range": q_time_range,
     "record_shapes": q_record_shapes, "lag_moments": q_lag_moments, "linear_moments": q_linear_moments, "linear_residuals": q_linear_residuals,
-    "forest_stump": q_forest_stump,
+    "forest_stump": q_forest_stump, "stored_lookup": q_stored_lookup, "stored_history": q_stored_history, "stored_persistence": q_stored_persistence,
 }
 
 _PRODUCTS = "WITH " + O.SERIES + """,
@@ -199,4 +229,7 @@ FROM x a JOIN x b ON b.sample = a.sample AND b.place = 71 JOIN long t ON t.idx =
     "linear_residuals": "WITH " + O.SERIES + "SELECT place, CAST(floor((max(n) - 95) * 0.8) AS BIGINT) AS samples, " + ", ".join(
         f"CAST(0 AS DOUBLE) AS {a}_{b}" for a in MEASURES for b in MEASURES) + " FROM series, range(72) r(place) GROUP BY 1 HAVING max(n) > 96",
     "forest_stump": _STUMP,
+    "stored_lookup": M.SQL["panel_lookup"],
+    "stored_history": M.SQL["panel_history"],
+    "stored_persistence": M.SQL["panel_persistence"],
 }

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from hourglass.operators import clean, forecast, moments, position, requests
+from hourglass.operators import clean, forecast, moments, position, requests, windows
 from hourglass.sources import files, storage
 from hourglass.sources import fixtures as fx
 from hourglass.sources.runlog import RunLog
@@ -288,3 +288,34 @@ def test_time_ranges_read_only_the_days_they_need(spark, tmp_path):
     plan.collect()
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in text
+
+
+# --- a series stored for its windows
+
+def panel_of_a_hot_key(spark):
+    rows = [(k, T0 + dt.timedelta(hours=h), float(h % 17 + (k or 0))) for k, n in ((1, 900), (2, 40), (None, 90)) for h in range(n) if h % 11]
+    return position.with_position(spark.createDataFrame(rows, "k int, date timestamp_ntz, v double"), ["date"], keys=["k"])
+
+
+def test_a_stored_series_gives_what_the_series_gives(spark):
+    s = panel_of_a_hot_key(spark)
+    store = windows.laid_out(s, ["k"], chunk=100)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for f in (lambda x: requests.forecast_frame(x, ["v"], ["k"]), lambda x: windows.persistence(x, ["v"], ["k"]), lambda x: windows.step_sizes(x, ["k"]),
+              lambda x: windows.verify_windows(x, ["v"], ["k"]), lambda x: windows.train_windows(x, ["v"], ["k"]),
+              lambda x: windows.history_counts(x, ["k"]).select("k", "date", "history_rows", "history_complete")):
+        plain, stored = f(s), f(store)
+        assert rows(stored) == rows(plain) and plain.count() > 0
+        assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    sizes = [r["count"] for r in store.df.where("k = 1").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 0.8 * sum(sizes)
+
+
+def test_a_stored_series_refuses_more_than_it_holds(spark):
+    s = panel_of_a_hot_key(spark)
+    store = windows.laid_out(s.where("k = 2"), ["k"], back=10, forward=2, chunk=20)
+    for wrong in (lambda: windows.persistence(store, ["v"], ["k"]), lambda: windows.history_counts(store, ["k"], hours=11),
+                  lambda: requests.forecast_frame(store, ["v"], ["k"]), lambda: windows.step_sizes(store)):
+        with pytest.raises(ValueError, match="does not serve"):
+            wrong()
+    assert windows.laid_out(s.where("false"), ["k"]).df.count() == 0
