@@ -81,7 +81,7 @@ def framed(df: DataFrame | Framed, order: str, keys=(), back: int = 0, forward:
 
 def laid_out(series: DataFrame, keys=(), order: str = "idx", back: int = 96, forward: int = 25, chunk: int = DEFAULT_CHUNK,
              buckets: int | None = None) -> Framed:
-    """A series stored for all its windows: halo chunks, bucketed by (keys, chunk) and sorted by ``order`` (JN-1, JN-3).
+    """A series stored for all its windows: halo chunks, bucketed by (keys, chunk) and sorted by ``order`` (JN-1, WIN-11).
 
     The rows are shuffled once, here.  Every window function, look-up frame and
     history count that takes the result in place of the series reads its

@@ -119,7 +119,7 @@ def q_stored_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_stored_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows in the ten days before each day of a supplier from the stored panel: no exchange of rows (JN-3, WIN-11)."""
+    """Rows in the ten days before each day of a supplier from the stored panel: no exchange of rows (WIN-11)."""
     h = W.history_counts(_stored_panel(spark, sf), KEY, hours=240, period_hours=24)
     return h.select(*KEY, "date", "history_rows", "history_complete")
 
