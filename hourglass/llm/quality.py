@@ -9,9 +9,10 @@ share of capitals, marks, digits, repeated neighbours, ...).  A network with
 one hidden layer of ReLU units and a sigmoid is fitted by Adam on standardised
 features; a temperature chosen on a fifth of the fitted rows calibrates it.
 
-Word vectors and network are fitted on a bounded sample of labelled rows: at
-most ``fit_rows`` by expectation, chosen by a hash of the id, repeated ids
-once (their smallest text).  All rows and whole texts are scored.
+Word vectors are summed over the whole texts of all documents (no labels go
+in).  The network is fitted on a bounded sample of labelled rows: at most
+``fit_rows`` by expectation, chosen by a hash of the id, repeated ids once
+(their smallest text).  All rows and whole texts are scored.
 
 Null and empty texts are scored like any other (no words: zero vectors);
 conflicting labels of an id count by their mean; without labelled rows, or
@@ -23,12 +24,11 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, hashed, pack, pieces, randoms, remainder, sampled, small, stored, text_bytes, unpack, word_spans
+from .common import LOWERED, hashed, pack, pieces, randoms, release, remainder, sampled, small, stored, text_bytes, unpack, word_spans
 
 #: Rows fitted on at most (by expectation); word slots; dimensions; nonzeros of an index vector; hidden units.
 FIT_ROWS, SLOTS, DIM, NONZERO, HIDDEN = 20_000, 1 << 14, 64, 4, 32
@@ -38,18 +38,25 @@ SHAPE[97:123], SHAPE[65:91], SHAPE[48:58], SHAPE[128:] = ord("x"), ord("X"), ord
 SHAPE_SLOTS = 512
 #: Words whose vectors are gathered at once; rows whose shapes are counted at once.
 POOLED, SHAPE_ROWS = 4096, 1024
+#: Blocks of slots whose sums are added in one task; tasks a core that the word vectors are summed in at most.
+BLOCKS, TASKS = 16, 8
 
 
-def _index_vectors(slots: int, seed: int) -> np.ndarray:
-    out = np.zeros((slots, DIM), np.float32)
+def _index_places(slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, sign) of the NONZERO entries of each slot's index vector; entries of one dimension add up."""
     values = randoms(seed, slots * NONZERO).reshape(slots, NONZERO)
-    for k in range(NONZERO):
-        at = (values[:, k] % np.uint64(DIM)).astype(np.int64)
-        out[np.arange(slots), at] += np.where(values[:, k] >> np.uint64(63), 1.0, -1.0)
+    return (values % np.uint64(DIM)).astype(np.int64), np.where(values >> np.uint64(63), 1.0, -1.0)
+
+
+def _index_vectors(places: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(places), DIM), np.float32)
+    for at, sign in zip(places.T, signs.T):
+        out[np.arange(len(places)), at] += sign
     return out
 
 
-INDEX, SHAPE_INDEX = _index_vectors(SLOTS, 11), _index_vectors(SHAPE_SLOTS, 12)
+PLACES, SIGNS = _index_places(SLOTS, 11)
+INDEX, SHAPE_INDEX = _index_vectors(PLACES, SIGNS), _index_vectors(*_index_places(SHAPE_SLOTS, 12))
 
 
 def _read(data: np.ndarray, offsets: np.ndarray):
@@ -184,6 +191,60 @@ class QualityModel:
         return out
 
 
+def _slots(part: np.ndarray, bounds: np.ndarray):
+    """(word slots, first word of each row)."""
+    starts, ends, first = word_spans(part, bounds)
+    return (hashed(LOWERED[part], starts, ends) % np.uint64(SLOTS)).astype(np.int64), first
+
+
+def neighbour_sums(batches) -> np.ndarray:
+    """Each slot's sum of its neighbours' index vectors, over the texts of the batches (whole numbers)."""
+    sums = np.zeros(SLOTS * DIM)
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(0))
+        for lo, hi in pieces(offsets):
+            slots, first = _slots(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+            near = np.ones(len(slots), bool)
+            near[first[:-1][np.diff(first) > 0]] = False   # a row's first word has no left neighbour
+            right = np.flatnonzero(near)
+            a, b = np.concatenate([slots[right], slots[right - 1]]), np.concatenate([slots[right - 1], slots[right]])
+            for at, sign in zip(PLACES.T, SIGNS.T):
+                sums += np.bincount(a * DIM + at[b], weights=sign[b], minlength=SLOTS * DIM)
+    release()
+    return sums.reshape(SLOTS, DIM).astype(np.int64)
+
+
+def word_vectors(texts: DataFrame) -> np.ndarray:
+    """Unit word vectors of all slots from all texts (slots without neighbours: their index vector).
+
+    Each task sends its sums once, in blocks of slots; there are at most
+    ``TASKS`` tasks a core, whatever the input, so a block's sums are added in
+    one task as they arrive.  The driver gets SLOTS x DIM numbers.
+    """
+    sc = texts.sparkSession.sparkContext
+    blocks = np.array_split(np.arange(SLOTS), BLOCKS)
+
+    def learn(batches):
+        sums = neighbour_sums(batches)
+        used = [k for k, block in enumerate(blocks) if sums[block].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pack(sums[blocks[k]].reshape(-1)) for k in used], pa.binary())], ["block", "sums"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                got = unpack(value.as_py())[0]
+                total[k] = total[k] + got if k in total else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pack(v) for v in total.values()], pa.binary())], ["block", "sums"])
+
+    parts = texts.coalesce(TASKS * sc.defaultParallelism).mapInArrow(learn, "block int, sums binary")
+    vectors = np.zeros((SLOTS, DIM))
+    for r in parts.repartition(BLOCKS, "block").mapInArrow(add, "block int, sums binary").collect():   # SLOTS x DIM numbers
+        vectors[blocks[r.block]] = unpack(bytes(r.sums))[0].reshape(-1, DIM)
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.where(norms > 0, vectors / np.maximum(norms, 1e-9), INDEX / 2).astype(np.float32)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, train, label: str = "quality", fit_rows: int = FIT_ROWS) -> QualityModel:
     spark = docs.sparkSession
     marks = (labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
@@ -195,28 +256,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train, label: str = "quality
     # about fit_rows ids; of several texts of an id the smallest
     rows = stored(texts.join(small(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
                   .repartition(16, "doc_id").select("text", "y"), "quality-sample")
-    def learn(batches):
-        sums = np.zeros((SLOTS, DIM))
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for lo, hi in pieces(offsets):
-                slots, _, first, _ = _read(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                near = np.ones(len(slots), bool)
-                near[first[:-1][np.diff(first) > 0]] = False   # a row's first word has no left neighbour
-                right = np.flatnonzero(near)
-                for a, b in ((right, right - 1), (right - 1, right)):
-                    # the neighbours' index vectors, dimension by dimension
-                    for d in range(DIM):
-                        sums[:, d] += np.bincount(slots[a], weights=INDEX[slots[b], d], minlength=SLOTS)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int64()), "sums": [pack(sums.reshape(-1).astype(np.float32))]})
-
-    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [0], "sums": [pack(sum(unpack(x)[0] for x in parts.sums))]})
-
-    total = rows.select("text").mapInArrow(learn, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").first()
-    vectors = unpack(bytes(total.sums))[0].reshape(SLOTS, DIM) if total else np.zeros((SLOTS, DIM), np.float32)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors = np.where(norms > 0, vectors / np.maximum(norms, 1e-9), INDEX / 2).astype(np.float32)
+    vectors = word_vectors(texts.select("text"))
     table = spark.sparkContext.broadcast(vectors)   # SLOTS x DIM, whatever the input
 
     def describe(batches):
