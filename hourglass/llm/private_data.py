@@ -12,9 +12,12 @@ shape, the shape with runs as one, its ends, its number of digits, its marks,
 and the shapes of both neighbours.  Only words near a digit or an ``@`` are
 decoded (``NEAR`` words to each side); all others are no personal data.
 
-The labelled table holds at most ``LABELLED_WINDOWS`` windows of each of at most
+The labelled table is the lines of ``private_examples``, marked by hand, the same
+for every input, unless the caller gives one: windows of other lines
+(:func:`marked_windows`), or of a corpus with base spans as labels
+(:func:`labelled_windows`: at most ``LABELLED_WINDOWS`` windows of each of at most
 about ``fit_rows`` documents, chosen by hashes of the id and of the window's
-place, with base spans as labels, unless the caller gives one.  Null texts are empty; texts without personal data have zero counts and
+place).  Null texts are empty; texts without personal data have zero counts and
 empty spans; rows with equal or null ids are rows of their own; without any
 labelled window nothing is added; an empty table gives an empty result; other
 columns are passed over (``private_spans``) or kept (``mask_private``).
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed, pieces, release, sampled, text_bytes, word_spans
+from .private_examples import examples
 from .sequences import viterbi
 
 #: Kinds in order, patterns.
@@ -236,7 +240,7 @@ def windows(column: pa.Array):
 
 
 def labelled_windows(docs: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[list[str], list[int]]]:
-    """The small labelled table: (shapes, states) of the windows of a bounded sample of documents, labelled by the base."""
+    """A table for a corpus without hand-made labels: (shapes, states) of the windows of a bounded sample of documents, labelled by the base."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text rlike '[0-9@]'")
     n = rows.count()
     share = min(1.0, fit_rows / max(n, 1))
@@ -286,13 +290,24 @@ def find(column: pa.Array, field: Field):
         yield row, text, base, sorted(base + [s for s in added if not any(b[0] < s[2] and s[0] < b[2] for b in base)])
 
 
-def fit_field(docs: DataFrame, labelled=None) -> Field:
-    return Field(labelled_windows(docs) if labelled is None else labelled)
+def marked_windows(lines=None) -> list[tuple[list[str], list[int]]]:
+    """(shapes, states) of the windows of lines marked by hand, (text, spans) each; without any, of this operator's own."""
+    lines = examples() if lines is None else lines
+    out = []
+    for row, text, found in windows(pa.array([text for text, _ in lines], pa.string())):
+        spans = lines[row][1]
+        for w in found:
+            out.append(([shape(text[a:b]) for a, b in w], [next((KINDS.index(k) + 1 for s, k, e in spans if s < b and e > a), 0) for a, b in w]))
+    return out
+
+
+def fit_field(labelled=None) -> Field:
+    return Field(marked_windows() if labelled is None else labelled)
 
 
 def private_spans(docs: DataFrame, labelled=None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans (all), n_added of every row."""
-    field = docs.sparkSession.sparkContext.broadcast(fit_field(docs, labelled))   # features of a small table
+    field = docs.sparkSession.sparkContext.broadcast(fit_field(labelled))   # features of a small table
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     empty = hashlib.sha256(b"").hexdigest()
 
@@ -324,7 +339,7 @@ def masked(text: str, spans) -> str:
 
 def mask_private(docs: DataFrame, labelled=None) -> DataFrame:
     """All rows and columns, personal data in ``text`` replaced and ``n_chars``, where there is one, counted anew."""
-    field = docs.sparkSession.sparkContext.broadcast(fit_field(docs, labelled))
+    field = docs.sparkSession.sparkContext.broadcast(fit_field(labelled))
     place = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
