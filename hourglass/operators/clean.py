@@ -79,10 +79,21 @@ def coerce_reports(df: DataFrame, time_col: str = "date", value_cols=None, time_
     return df.withColumns(cols).where(F.col(time_col).isNotNull())
 
 
-def _packed_order(time: Column, period: Column, tie: Column) -> Column:
-    """(microseconds into the period, tie) as one DECIMAL: a day has 11 digits of them, a bigint 19."""
-    into = F.unix_micros(time.cast("timestamp")) - F.unix_micros(period.cast("timestamp"))
-    return (into.cast("decimal(11,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+#: Digits of the microseconds of a day, of a bigint, and that a DECIMAL holds.
+_DAY_DIGITS, _LONG_DIGITS, _DECIMAL_DIGITS = 11, 19, 38
+
+
+def _packed_order(time: Column, period: Column, ties) -> Column:
+    """(microseconds into the period, *ties) as one DECIMAL; ``ties``: (column name, its digits) each."""
+    digits = _DAY_DIGITS
+    order = (F.unix_micros(time.cast("timestamp")) - F.unix_micros(period.cast("timestamp"))).cast(f"decimal({digits},0)")
+    for name, width in ties:
+        digits += width
+        if digits > _DECIMAL_DIGITS:
+            raise ValueError(f"the ties have more than {_DECIMAL_DIGITS - _DAY_DIGITS} digits together")
+        # a tie of more digits than stated fails the cast (ANSI)
+        order = (order * F.lit("1" + "0" * width).cast(f"decimal({width + 1},0)") + F.col(name).cast(f"decimal({width},0)")).cast(f"decimal({digits},0)")
+    return order.cast(f"decimal({_DECIMAL_DIGITS},0)")
 
 
 def last_per_period(
@@ -93,7 +104,7 @@ def last_per_period(
     tie_cols=(),
     period: str = "hour",
     drop_incomplete: bool = True,
-    unique_tie: str | None = None,
+    unique_tie=None,
 ) -> DataFrame:
     """Last non-null value per column within each period (AGG-1, FLT-2).
 
@@ -101,9 +112,11 @@ def last_per_period(
     The order inside a period is (time, *tie_cols, value): ending the ordering
     key with the value makes equal timestamps deterministic.  Rows whose
     measure is null carry a null ordering key and are ignored by ``max_by``.
-    ``unique_tie`` names, instead of ``tie_cols``, one integer column that is
-    not negative or null and tells rows of one time apart: (time, tie) is then packed into
-    one DECIMAL(38), whose buffer a hash aggregate can hold.
+    ``unique_tie`` names, instead of ``tie_cols``, one integer column, or gives
+    (column, digits) of several with 27 digits together, that are not negative
+    or null and tell rows of one key and time apart: (time, *ties) are then packed into one
+    DECIMAL(38), whose buffer a hash aggregate can hold; a tie of more digits
+    than stated is an error.
     Output is one row per (keys, period) with at least one time; periods with
     any null measure are dropped when ``drop_incomplete``.
     """
@@ -116,7 +129,8 @@ def last_per_period(
         raise ValueError("give tie_cols or unique_tie, not both")
     p = df.withColumn("_period", floor(F.col(time_col)))
     if unique_tie:
-        p = p.withColumn("_order", _packed_order(F.col(time_col), F.col("_period"), F.col(unique_tie)))
+        ties = [(unique_tie, _LONG_DIGITS)] if isinstance(unique_tie, str) else unique_tie
+        p = p.withColumn("_order", _packed_order(F.col(time_col), F.col("_period"), ties))
     aggs = []
     for c in value_cols:
         v = F.col(c)
@@ -130,7 +144,7 @@ def last_per_period(
 
 
 def clean_hourly(raw: DataFrame, time_col: str = "date", value_cols=None, keys=(), tie_cols=(), time_format=None,
-                 unique_tie: str | None = None) -> DataFrame:
+                 unique_tie=None) -> DataFrame:
     """Raw reports to the clean hourly series: coerce, drop bad times, collapse, drop incomplete hours."""
     value_cols = list(value_cols or vocab.MEASURES)
     coerced = coerce_reports(raw, time_col, value_cols, time_format)

@@ -68,13 +68,13 @@ PANEL_MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
 def panel(spark: SparkSession, sf_dir: str, with_idx: bool = True, materialized: bool = True) -> DataFrame:
-    """PANEL: last value per (l_suppkey, day), ties by order key, line, part, value."""
+    """PANEL: last value per (l_suppkey, day), ties by order key, line and part, which tell the rows of a key and day apart."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_suppkey", F.col("l_shipdate").cast("timestamp_ntz").alias("date"),
         "l_orderkey", "l_linenumber", "l_partkey", *PANEL_MEASURES,
     )
     p = clean.last_per_period(li, "date", PANEL_MEASURES, keys=["l_suppkey"],
-                              tie_cols=["l_orderkey", "l_linenumber", "l_partkey"], period="day")
+                              unique_tie=[("l_orderkey", 13), ("l_linenumber", 3), ("l_partkey", 11)], period="day")
     if not with_idx:
         return p
     if materialized:
