@@ -19,6 +19,8 @@ from ..functions import vocab
 from . import windows as W
 
 MEASURES = vocab.MEASURES
+#: Training rows that one task of a tree fit reads at least.
+ROWS_PER_TASK = 5_000
 
 
 def features(samples: DataFrame, value_cols=None) -> DataFrame:
@@ -46,19 +48,37 @@ def estimator(kind: str, label: str, pred: str, **params):
     raise ValueError(f"unknown model kind {kind!r}")
 
 
-def fit(train: DataFrame, kind: str = "forest", value_cols=None, concurrent: bool = False, **params) -> PipelineModel:
+def _dealt(train: DataFrame) -> tuple[DataFrame, int]:
+    """Training rows in as many partitions as their number asks for, and how many those are.
+
+    A tree fit holds and shuffles the split statistics of every open node for
+    each partition, empty ones too, so they are dealt by rows, not by the
+    session's shuffle partitions.  Ranges of the sample columns, sorted: the
+    bootstrap depends on a row's partition and place, and so on nothing else.
+    """
+    place = [c for c in train.columns if c != "features"]
+    n = -(-max(train.count(), 1) // ROWS_PER_TASK)
+    return train.repartitionByRange(n, *place).sortWithinPartitions(*place), n
+
+
+def fit(train: DataFrame, kind: str = "forest", value_cols=None, concurrent: bool | None = None, **params) -> PipelineModel:
     """Fit one regressor per measure (ML-1 forest, ML-2 linear) as one pipeline model.
 
     The training rows are persisted (memory and disk) for the passes the fits
     make and released afterwards.  The per-measure fits are independent; with
     ``concurrent`` they are submitted from separate threads so their jobs share
-    the cluster.  Off by default: each tree fit holds ``maxMemoryInMB`` of split
-    statistics per task, and concurrent fits multiply that.
+    the cluster.  Each tree fit holds ``maxMemoryInMB`` of split statistics per
+    task, and concurrent fits multiply that: by default forests are fitted at
+    once where all their tasks together do not fill the cluster's cores.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     value_cols = list(value_cols or MEASURES)
     stages = [estimator(kind, f"y_{c}", f"p_{c}", **params) for c in value_cols]
+    if kind == "forest":
+        train, parts = _dealt(train)
+        if concurrent is None:
+            concurrent = parts * len(stages) <= train.sparkSession.sparkContext.defaultParallelism
     data = train.select("features", *[f"y_{c}" for c in value_cols]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if concurrent and len(stages) > 1:
