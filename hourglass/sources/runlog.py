@@ -20,17 +20,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from . import storage
+from . import files, storage
 
 _END = "\n#end"
 
 
 class RunLog:
-    """Runs under ``path``, each a set of files of ``fmt``, all of one ``schema``."""
+    """Runs under ``path``, each a set of files of ``fmt`` (JSON gzipped, unless ``options`` say otherwise), all of one ``schema``."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", **options):
         self.spark, self.path, self.schema, self.fmt = spark, path.rstrip("/"), schema, fmt
-        self.options = {"ignoreNullFields": "false", **options} if fmt == "json" else options
+        self.options = {"ignoreNullFields": "false", **files.GZIP, **options} if fmt == "json" else options
 
     def _versions(self) -> list[int]:
         fs, p = storage.file_system(self.spark, f"{self.path}/ledger")
