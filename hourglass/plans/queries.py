@@ -410,7 +410,7 @@ def q_stream_score_v2(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import hourly
 
     path = scratch_path(spark, "responses-jsonl")
-    files.write_jsonl(fx.responses(spark, sf), path)
+    files.write_jsonl(fx.responses(spark, sf), path, gzip=True)
     stream = spark.readStream.schema(files.RESPONSE_SCHEMA).option("maxFilesPerTrigger", 64).json(path)
     return hourly.run_available_now(hourly.score_stream(stream, "v2"), "stream-score")
 
