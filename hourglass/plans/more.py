@@ -78,10 +78,10 @@ def q_file_records(spark: SparkSession, sf: str) -> DataFrame:
     """Two systems' JSONL logs, one appended to, and one absent, read as tagged records (SNK-4/5, SRC-6/7, SET-1)."""
     r = fx.responses(spark, sf)
     paths = {name: scratch_path(spark, f"log-{name}") for name in ("agentic", "single_tool", "absent")}
-    files.write_jsonl(r.where("system = 'agentic'"), paths["agentic"])
+    files.write_jsonl(r.where("system = 'agentic'"), paths["agentic"], gzip=True)
     single = r.where("system = 'single_tool'")
-    files.write_jsonl(single.where("case_id % 2 = 0"), paths["single_tool"], mode="append")
-    files.write_jsonl(single.where("case_id % 2 <> 0 OR case_id IS NULL"), paths["single_tool"], mode="append")
+    files.write_jsonl(single.where("case_id % 2 = 0"), paths["single_tool"], mode="append", gzip=True)
+    files.write_jsonl(single.where("case_id % 2 <> 0 OR case_id IS NULL"), paths["single_tool"], mode="append", gzip=True)
     back = files.read_records(spark, paths)
     return records.normalise(back.drop("system", "system_type")).drop("request_time")
 
