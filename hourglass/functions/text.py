@@ -33,21 +33,28 @@ def normalize_text(text) -> Column:
     return F.replace(F.lower(_c(text)), F.lit("_"), F.lit(" "))
 
 
-def extract_datetime(text) -> Column:
-    """First ``yyyy-mm-dd<ws>hh:mm:ss`` in the raw text, null when absent (FN-7)."""
+def _later(t: Column, later: Column | None) -> Column:
+    return t.rlike(_LATER_SCRIPTS) if later is None else later
+
+
+def extract_datetime(text, later: Column | None = None) -> Column:
+    """First ``yyyy-mm-dd<ws>hh:mm:ss`` in the raw text, null when absent (FN-7).
+
+    ``later``: whether the text may hold digits of later scripts, if that is known already.
+    """
     t = _c(text)
     pattern = vocab.DATETIME_PATTERN.replace(r"\s", vocab.BLANK_CLASS)
     # the property class is slower, so only texts that may hold such digits are searched with it
-    return F.when(t.rlike(_LATER_SCRIPTS), F.regexp_substr(t, F.lit(pattern.replace(r"\d", r"\p{Nd}")))).otherwise(
-        F.regexp_substr(t, F.lit(pattern)))
+    found = F.when(_later(t, later), F.regexp_extract(t, pattern.replace(r"\d", r"\p{Nd}"), 0)).otherwise(F.regexp_extract(t, pattern, 0))
+    return let(found, lambda s: F.when(s != F.lit(""), s))
 
 
-def ascii_digits(text) -> Column:
+def ascii_digits(text, later: Column | None = None) -> Column:
     """Decimal digits of every script as 0-9; a text without such digits is passed on as it is."""
     t = _c(text)
     digits = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd")
     plain = "".join(str(unicodedata.decimal(c)) for c in digits)
-    return F.when(t.rlike(_LATER_SCRIPTS), F.translate(t, digits, plain)).otherwise(t)
+    return F.when(_later(t, later), F.translate(t, digits, plain)).otherwise(t)
 
 
 def _num(s: Column) -> Column:
@@ -125,11 +132,15 @@ def extract_forecast_fields(text) -> Column:
     appears once in the expression tree.
     """
     t = _c(text)
-    first = F.struct(t.alias("t"), normalize_text(ascii_digits(t)).alias("n"), extract_datetime(t).alias("dt"))
+    first = F.struct(t.alias("t"), t.rlike(_LATER_SCRIPTS).alias("later"))
+
+    def stage1(s):
+        return let(F.struct(s["t"].alias("t"), s["later"].alias("later"), normalize_text(ascii_digits(s["t"], s["later"])).alias("n"),
+                            extract_datetime(s["t"], s["later"]).alias("dt")), stage2)
 
     def stage2(s):
         found = F.struct(
-            s["t"].alias("t"), s["dt"].alias("dt"),
+            s["t"].alias("t"), s["later"].alias("later"), s["dt"].alias("dt"),
             number_near_label(s["n"], vocab.LABELS["predicted_temperature"]).alias("a"),
             number_near_label(s["n"], vocab.LABELS["predicted_dew_point"]).alias("b"),
             number_near_label(s["n"], vocab.LABELS["predicted_wind_speed"]).alias("c"),
@@ -137,12 +148,12 @@ def extract_forecast_fields(text) -> Column:
 
         def stage3(v):
             absent = v["a"].isNull() | v["b"].isNull() | v["c"].isNull()
-            nums = F.when(absent, number_texts(ascii_digits(text_after(v["t"], v["dt"]))))
+            nums = F.when(absent, number_texts(ascii_digits(text_after(v["t"], v["dt"]), v["later"])))
             return let(nums, lambda ns: _fallback(v["dt"], v["a"], v["b"], v["c"], F.coalesce(ns, F.array().cast("array<string>"))))
 
         return let(found, stage3)
 
-    return let(first, stage2)
+    return let(first, stage1)
 
 
 def with_extracted(df: DataFrame, text_col: str, out_col: str = "_x") -> DataFrame:

@@ -245,7 +245,7 @@ def write_csv(df: DataFrame, path: str, columns=None, mode: str = "overwrite", s
         return False
     if line_sep == "\n":
         (out.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
-            .option("emptyValue", "").csv(path))
+            .option("emptyValue", "").option("maxRecordsPerFile", ROWS_PER_FILE).csv(path))
         return True
     spark = out.sparkSession
     header = spark.createDataFrame([(0, 0, ",".join(out.columns))], "_o int, _r long, value string")

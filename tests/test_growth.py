@@ -65,3 +65,11 @@ def test_a_forest_is_fitted_in_partitions_by_rows(spark, monkeypatch):
     monkeypatch.setattr(forecast, "ROWS_PER_TASK", 20)
     dealt, n = forecast._dealt(rows)
     assert n == dealt.rdd.getNumPartitions() == 3 and sorted(dealt.rdd.glom().map(len).collect())[0] > 0 and dealt.count() == 60
+
+
+def test_csv_files_are_one_task_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ROWS_PER_FILE", 1000)
+    r = spark.range(2500).coalesce(1).select("id", F.concat(F.lit("two\nlines, "), F.col("id")).alias("text"))
+    files.write_csv(r, str(tmp_path / "csv"))
+    back = files.read_scores_csv(spark, str(tmp_path / "csv"), "id long, text string")
+    assert len(data_files(tmp_path / "csv")) == 3 and sorted(back.collect()) == r.collect()
